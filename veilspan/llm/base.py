@@ -17,6 +17,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     Columns are found by position, so further columns whose names clash (also only by case) do no harm; of several with
     the same exact name the first counts.
     """
+    small_batches(df.sparkSession)
     at = {name: i for i, name in reversed(list(enumerate(df.columns)))}
     for source in wanted.values():
         if source not in at:
@@ -25,6 +26,16 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*(F.col(f"_{at[source]}").alias(new) for new, source in wanted.items()))
 
 
+#: Rows of documents that go to a Python worker at once, where the session has Spark's default: long texts make large batches, held by the JVM and by the worker.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -74,3 +85,14 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.
             yield from function(batch)
 
     return df.mapInArrow(over, schema)
+
+
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, load: Callable[[], object]) -> object:
+    """A worker's model: loaded once for a key, and given up for the next one, so a worker that serves many stages holds one at a time."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = load()
+    return _RESIDENT[key]

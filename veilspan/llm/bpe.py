@@ -13,18 +13,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable
-from functools import lru_cache
+import string
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veilspan.llm.base import groups_by_size, map_batches, pick
+from veilspan.llm.base import groups_by_size, map_batches, pick, resident
 
-CHUNK_CHARS = 1_000_000
-REMEMBERED_PIECES = 400_000
+CHUNK_CHARS = 2_000_000
+MOST_PAIRS = 1_000_000
+REMEMBERED_CHUNKS = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,24 +41,21 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pair_ranks: dict[int, int] = {}  # pair of ids to the rank that it makes, or -1
         self.bytes_to_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.byte_pairs = np.full((256, 256), -1, np.int64)
+        self.byte_pair_ranks: dict[int, int] = {}  # pair of ids to the rank that it makes, or -1
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.byte_pairs[token[0], token[1]] = rank
+                self.byte_pair_ranks[int(self.bytes_to_ids[token[0]]) << 32 | int(self.bytes_to_ids[token[1]])] = rank
+        self.pair_ranks = dict(self.byte_pair_ranks)
 
     def pair_rank(self, left: int, right: int) -> int:
-        key = left << 32 | right
-        rank = self.pair_ranks.get(key)
-        if rank is None:
-            rank = self.pair_ranks[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pair_ranks) > 2_000_000:
-                self.pair_ranks.clear()
+        rank = self.pair_ranks[left << 32 | right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece (none of them empty)."""
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece (none of them empty), as little-endian unsigned 32-bit integers."""
         laid = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(piece) for piece in pieces])
         n = len(laid)
@@ -78,129 +77,180 @@ class MergeReplay:
         index = {int(rank): run.tolist() for rank, run in zip(made, np.split(at, starts[1:]), strict=True)} if len(at) else {}
         heap = list(index)
         heapq.heapify(heap)
-        known, pair_rank = self.pair_ranks, self.pair_rank
+        if len(self.pair_ranks) > MOST_PAIRS:
+            self.pair_ranks = dict(self.byte_pair_ranks)
+        known, pair_rank = self.pair_ranks.get, self.pair_rank
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            rank = heapq.heappop(heap)
+            rank = pop(heap)
             positions = index.pop(rank)
             positions.sort()
             held = -1  # a piece where a merge made a pair that comes first; its further positions wait
             for i in positions:
+                left = symbols[i]
+                j = follows[i]
+                if left < 0 or j < 0 or known(left << 32 | symbols[j]) != rank:
+                    continue
                 if piece_of[i] == held:
-                    later = index.get(rank)
-                    if later is None:
-                        index[rank] = [i]
-                        heapq.heappush(heap, rank)
+                    if rank in index:
+                        index[rank].append(i)
                     else:
-                        later.append(i)
-                    continue
-                j = follows[i]
-                if j < 0 or symbols[i] < 0 or known.get(symbols[i] << 32 | symbols[j], -2) not in (rank, -2) or pair_rank(symbols[i], symbols[j]) != rank:
+                        index[rank] = [i]
+                        push(heap, rank)
                     continue
                 symbols[i], symbols[j] = rank, -1
-                n1 = follows[i] = follows[j]
-                follows[j] = -1
-                p1 = before[i]
-                if n1 >= 0:
-                    before[n1] = i
-                for left, right in ((p1, i), (i, n1)):
-                    if left < 0 or right < 0:
-                        continue
-                    new = known.get(symbols[left] << 32 | symbols[right])
+                after = follows[i] = follows[j]
+                if after >= 0:
+                    before[after] = i
+                    right = symbols[after]
+                    new = known(rank << 32 | right)
                     if new is None:
-                        new = pair_rank(symbols[left], symbols[right])
+                        new = pair_rank(rank, right)
                     if new >= 0:
                         if new in index:
-                            index[new].append(left)
+                            index[new].append(i)
                         else:
-                            index[new] = [left]
-                            heapq.heappush(heap, new)
+                            index[new] = [i]
+                            push(heap, new)
                         if new <= rank:
                             held = piece_of[i]
-        out: list[list[int]] = []
-        start = 0
-        for end in ends.tolist():
-            out.append([s for s in symbols[start:end] if s >= 0])
-            start = end
-        return out
-
-
-class PieceStore:
-    """Ids of the pieces met so far, laid end to end."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def add(self, pieces: list[str], ids: list[list[int]]) -> None:
-        laid = np.fromiter((x for run in ids for x in run), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n = len(self.at)
-        for name, need in (("flat", self.used + len(laid)), ("starts", n + len(ids)), ("sizes", n + len(ids))):
-            old = getattr(self, name)
-            if need > len(old):
-                new = np.zeros(max(need, 2 * len(old)), old.dtype)
-                new[: len(old)] = old
-                setattr(self, name, new)
-        self.flat[self.used : self.used + len(laid)] = laid
-        self.sizes[n : n + len(ids)] = sizes
-        self.starts[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(laid)
-        self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.sizes[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(total)]
+                p = before[i]
+                if p >= 0:
+                    left = symbols[p]
+                    new = known(left << 32 | rank)
+                    if new is None:
+                        new = pair_rank(left, rank)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            push(heap, new)
+                        if new <= rank:
+                            held = piece_of[i]
+        final = np.array(symbols, np.int64)
+        left = final >= 0
+        raw = final[left].astype("<u4").tobytes()
+        at = (4 * np.cumsum(left)[ends - 1]).tolist()
+        return [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+
+class ChunkStore(dict):
+    """Numbers of chunks, and by number their ids as little-endian unsigned 32-bit integers.
+
+    A chunk is what stands between single spaces, with the space before it; a text's first chunk has none. A pattern that lets a space begin a
+    piece, and none hold one further on, cuts a chunk alike wherever it stands, unless white space stands on both sides of its space: such a
+    chunk is marked, and its text is encoded whole. A new chunk gets the next number at once; ``fresh`` holds those to learn.
+    """
+
+    FIRST = "\0"
+    MARKED = ""  # not bytes, so a join that meets it fails
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.learn, self.whole, self.most = learn, whole, most
+        self.ids: list[bytes | str] = []
+        self.fresh: list[str] = []
+        self.parted: bool | None = None  # whether signs behind letters are a piece of their own
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self.ids)
+        self.ids.append(b"")
+        self.fresh.append(chunk)
+        return number
+
+    def shorten(self) -> None:
+        """Forgets half of the chunks where there are too many: those that came last, as chunks that come often come early."""
+        if len(self.ids) > self.most:
+            kept = list(islice(self.items(), self.most // 2))
+            self.clear()
+            self.update(kept)
+            del self.ids[len(kept) :]
+
+    def _learn_fresh(self) -> None:
+        """Letters with signs behind them are two pieces, so only those of the letters and of the signs are asked for."""
+        if self.parted is None:
+            self.parted = all(self.learn([" ab" + tail]) == [self.learn([" ab"])[0] + self.learn([tail])[0]] for tail in (".", ",", "...", '."', "***", "'", "_)"))
+        fresh, self.fresh = self.fresh, []
+        asked, parted, ids = [], [], self.ids
+        for chunk in fresh:
+            if chunk[:1] == self.FIRST:
+                asked.append(chunk)
+            elif not chunk or chunk[0].isspace():
+                ids[self[chunk]] = self.MARKED
+            else:
+                stem = chunk.rstrip(string.punctuation)
+                if self.parted and len(stem) < len(chunk) and stem.isalpha():
+                    parted.append((self[chunk], self[stem], self[self.FIRST + chunk[len(stem) :]]))
+                else:
+                    asked.append(chunk)
+        asked += self.fresh  # stems and signs that weren't known
+        self.fresh = []
+        for chunk, found in zip(asked, self.learn([chunk[1:] if chunk[:1] == self.FIRST else " " + chunk for chunk in asked]), strict=True):
+            ids[self[chunk]] = found
+        for number, stem, tail in parted:
+            ids[number] = ids[stem] + ids[tail]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.shorten()
+        number = self.__getitem__
+        cut: list[list[int] | None] = []
+        for text in texts:
+            if not text:
+                cut.append([])
+            elif self.FIRST in text:
+                cut.append(None)
+            else:
+                parts = text.split(" ")
+                parts[0] = self.FIRST + parts[0]
+                cut.append(list(map(number, parts)))
+        if self.fresh:
+            self._learn_fresh()
+        return [self._joined(text, numbers) for text, numbers in zip(texts, cut, strict=True)]
+
+    def _joined(self, text: str | None, numbers: list[int] | None) -> bytes:
+        if numbers is None:
+            return self.whole(text)
+        try:
+            return b"".join(map(self.ids.__getitem__, numbers))
+        except TypeError:
+            return self.whole(text)
 
 
 class Codec:
     """Text to ids and ids to bytes, by a rank file and the pattern that cuts text into pieces."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_PIECES) -> None:
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_CHUNKS) -> None:
         self.model = MergeReplay(read_ranks(path))
         # White space is Unicode's property here, as in the rank file's own library.
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.store = PieceStore(remembered)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit integers."""
-        cut = [self.pieces.findall(text) if text else [] for text in texts]
-        known = self.store.at
-        new = {piece for pieces in cut for piece in pieces if piece not in known}
-        if len(known) + len(new) > self.store.most and known:
-            self.store.clear()
-            new = {piece for pieces in cut for piece in pieces}
-        if new:
-            self._learn(list(new))
-        return [self.store.ids(pieces) for pieces in cut]
-
-    def _learn(self, pieces: list[str]) -> None:
-        raw = [piece.encode() for piece in pieces]
-        whole = [self.model.ranks.get(piece) for piece in raw]
-        rest = [i for i, rank in enumerate(whole) if rank is None]
-        ids: list[list[int]] = [[rank] for rank in whole]  # type: ignore[list-item]
+        self.store = ChunkStore(self._learn, lambda text: self._learn([text])[0], remembered)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        return self.store.encode(texts)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks: their distinct pieces are replayed together, as one corpus."""
+        cut = [self.pieces.findall(chunk) for chunk in chunks]
+        known: dict[str, bytes] = {}
+        rest = []
+        for piece in {piece for pieces in cut for piece in pieces}:
+            rank = self.model.ranks.get(piece.encode())
+            if rank is None:
+                rest.append(piece)
+            else:
+                known[piece] = rank.to_bytes(4, "little")
         if rest:
-            for i, found in zip(rest, self.model.replay([raw[i] for i in rest]), strict=True):
-                ids[i] = found
-        self.store.add(pieces, ids)
+            known.update(zip(rest, self.model.replay([piece.encode() for piece in rest]), strict=True))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.model.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.model.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    return Codec(path, pattern)
+    return resident(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +269,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             part = batch.slice(start, end - start)
             ids = own.encode(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],
+                [part.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],
                 names=["doc_id", "ids", "decoded"],
             )
 
@@ -232,7 +282,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         own = codec(path, pattern)
-        decoded = [own.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
+        decoded = [own.decode(x or b"") for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
 
     return map_batches(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, decoded binary")

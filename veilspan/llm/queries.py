@@ -63,7 +63,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_pattern())
+    stored = token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return stored.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -18,19 +18,17 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import groups_by_size, pick, scratch
-from veilspan.llm.bpe import PieceStore
+from veilspan.llm.base import groups_by_size, pick, resident, scratch
+from veilspan.llm.bpe import ChunkStore
 
 # Fixed values of the seekable zstandard format, and of this format's index.
 SEEK_FRAME, SEEK_END, DOCUMENTS_FRAME, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
@@ -38,8 +36,9 @@ SEEK_FRAME, SEEK_END, DOCUMENTS_FRAME, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1,
 FRAME_IDS = 1 << 20
 LEVEL = 3
 END_ID = 2
-CHUNK_CHARS = 1_000_000
-REMEMBERED_PIECES = 400_000
+CHUNK_CHARS = 2_000_000
+REMEMBERED_CHUNKS = 800_000
+LAID_CHUNKS = 2_000
 NO_ID = -(1 << 63)
 
 
@@ -55,10 +54,10 @@ class Writer:
         self.frames: list[bytes] = []
         self.documents: list[bytes] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         count = 0
-        for start in range(0, max(len(ids), 1), FRAME_IDS):
-            raw = ids[start : start + FRAME_IDS].astype("<u4", copy=False).tobytes()
+        for start in range(0, max(len(ids), 1), 4 * FRAME_IDS):
+            raw = ids[start : start + 4 * FRAME_IDS]
             packed = self.pack.compress(raw)
             self.sink.write(packed)
             self.frames.append(struct.pack("<III", len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -119,50 +118,74 @@ class Reader:
 
 
 class LibraryEncoder:
-    """A tokenizer file of the tokenizers library, with the pieces of its byte-level pattern remembered.
+    """A tokenizer file of the tokenizers library, with the ids of chunks of text remembered.
 
-    The library cuts a text by the pattern and encodes each piece by itself, so a piece's ids are asked for once. Texts that hold
-    an added token go through the library whole.
+    The library's byte-level pattern cuts a chunk alike wherever it stands, so it is asked for each chunk once. Texts that hold an added token go
+    through it whole.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_PIECES) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED_CHUNKS, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(pattern)
-        self.store = PieceStore(remembered)
+        self.library.encode_special_tokens = special_as_text
+        self.added = [] if special_as_text else [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.store = ChunkStore(self.learn, self._whole, remembered)
+        self.sizes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            self.sizes[i] = len(token)  # a byte-level token has a character for each byte
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks. Those that begin with a space are laid end to end, which cuts them alike."""
+        out: list[bytes] = [b""] * len(chunks)
+        laid = [i for i, chunk in enumerate(chunks) if chunk[:1] == " "]
+        single = [i for i, chunk in enumerate(chunks) if chunk[:1] != " "]
+        for i, found in zip(single, self.library.encode_batch_fast([chunks[i] for i in single], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
+        if laid:
+            ids, sizes = self.laid_ids([chunks[i] for i in laid], np.fromiter((len(chunks[i].encode()) for i in laid), np.int64, len(laid)))
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(laid, (4 * np.cumsum(sizes)).tolist(), strict=True):
+                out[i] = raw[start:end]
+                start = end
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def laid_ids(self, chunks: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each chunk's) of chunks that begin with a space; ``lengths``: their bytes, which tell where one's ids end."""
+        places = range(0, len(chunks), LAID_CHUNKS)
+        found = self.library.encode_batch_fast(["".join(chunks[k : k + LAID_CHUNKS]) for k in places], add_special_tokens=False)
+        ids = np.array([i for run in found for i in run.ids], "<u4") if len(found) < 2 else np.concatenate([np.array(run.ids, "<u4") for run in found])
+        reached, ends = np.cumsum(self.sizes[ids]), np.cumsum(lengths)
+        at = np.searchsorted(reached, ends)
+        if len(ids) != int(at[-1]) + 1 or (reached[at] != ends).any():
+            raise ValueError("the vocabulary isn't byte-level: its tokens don't add up to the text")
+        return ids, np.diff(at, prepend=-1)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
         whole = [i for i, text in enumerate(texts) if text and any(token in text for token in self.added)]
-        cut = [self.pieces.findall(text) if text else [] for text in texts]
+        kept = list(texts)
         for i in whole:
-            cut[i] = []
-        known = self.store.at
-        new = {piece for pieces in cut for piece in pieces if piece not in known}
-        if len(known) + len(new) > self.store.most and known:
-            self.store.clear()
-            new = {piece for pieces in cut for piece in pieces}
-        if new:
-            asked = list(new)
-            self.store.add(asked, [x.ids for x in self.library.encode_batch_fast(asked, add_special_tokens=False)])
-        out = [self.store.ids(pieces) for pieces in cut]
+            kept[i] = None
+        out = self.store.encode(kept)
         for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            out[i] = self._whole(texts[i])
         return out
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str) -> LibraryEncoder:
-    return LibraryEncoder(path, pattern)
+def library_encoder(path: str) -> LibraryEncoder:
+    return resident(("encoder", path), lambda: LibraryEncoder(path))
 
 
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` to files below ``folder`` (a shared one) and returns their manifest: (shard, path, n_docs, n_tokens, start), by shard.
 
     Rows are dealt out by ranges of the id, null ids first, rows with one id by text; each range becomes a file. A file is
@@ -175,21 +198,22 @@ def write(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, shard = library_encoder(tokenizer, pattern), TaskContext.get().partitionId()
+        own, shard = library_encoder(tokenizer), TaskContext.get().partitionId()
         system, root = _file_system(folder)
         writer = sink = None
+        end = end_id.to_bytes(4, "little")
         n_docs = n_tokens = 0
         path, attempt = f"{root}/{shard:06d}.ids", f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1).cast(pa.binary())]
-            for start, end in groups_by_size(sizes, CHUNK_CHARS):
-                part = batch.slice(start, end - start)
+            for first, last in groups_by_size(sizes, CHUNK_CHARS):
+                part = batch.slice(first, last - first)
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     writer = Writer(sink := system.open_output_stream(attempt))
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
-                    n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) + 1
+                    writer.add(doc_id, ids + end)
+                    n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
         if writer is not None:
             writer.close()
             sink.close()
@@ -245,7 +269,7 @@ def new_folder(spark: SparkSession) -> str:
     return scratch(spark, "tokens")
 
 
-def store_and_read(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, ids) of each row, written to new files below the shared folder and read back from them.
 
     A null or empty text has the end id alone. Rows with one id stand side by side, in the order of their texts; null ids come
@@ -253,4 +277,4 @@ def store_and_read(docs: DataFrame, tokenizer: str, pattern: str, end_id: int =
     follows the longest text and ``CHUNK_CHARS``.
     """
     folder = new_folder(docs.sparkSession)
-    return read(write(docs, tokenizer, pattern, folder, end_id, id_col, text_col), folder)
+    return read(write(docs, tokenizer, folder, end_id, id_col, text_col), folder)
