@@ -11,15 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import groups_by_size, map_batches, pick
-from veilspan.llm.bpe import PieceStore
+from veilspan.llm.base import groups_by_size, map_batches, pick, resident, small_batches
+from veilspan.llm.token_store import LibraryEncoder
 
 # The symbols that count, and the base limits.
 SYMBOLS = b"#*$%&|<>"
@@ -28,7 +29,8 @@ MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 
 CHUNK_CHARS = 1_000_000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
+LAID_WORDS = 2_000
 
 
 @dataclass(frozen=True)
@@ -72,60 +74,108 @@ def script(text: str) -> str:
     return "Other" if n_other > n_ascii else "Latin"
 
 
+class WordStore(dict):
+    """Numbers of words, and by number the ids and counts of each word's tokens, laid end to end. A new word gets the next number at once; ``fresh`` holds those to learn."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most = most
+        self.fresh: list[bytes] = []
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.figures = np.zeros((1 << 14, 4), np.int64)  # where a word's ids begin, how many, its pieces, those of bytes
+        self.used = 0
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, pieces: np.ndarray) -> None:
+        """Figures of the fresh words."""
+        first, n = len(self) - len(self.fresh), len(self)
+        for name, need in (("flat", self.used + len(ids)), ("figures", n)):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros((max(need, 2 * len(old)), *old.shape[1:]), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.figures[first:n, 0] = self.used + np.cumsum(sizes) - sizes
+        self.figures[first:n, 1] = sizes
+        self.figures[first:n, 2:] = pieces
+        self.used += len(ids)
+        self.fresh.clear()
+
+    def shorten(self) -> None:
+        """Forgets half of the words where there are too many: those that came last, as words that come often come early."""
+        if len(self) > self.most:
+            kept = list(islice(self.items(), self.most // 2))
+            self.clear()
+            self.update(kept)
+            start, size = self.figures[len(kept) - 1, :2]
+            self.used = int(start + size)
+
+
 class Meter:
-    """Counts of words and tokens of a text, by a tokenizer file and a piece model."""
+    """Counts of words and tokens of a text, by a byte-level tokenizer file and a piece model. Words' figures are remembered within a bound."""
 
     def __init__(self, tokenizer: str, pieces: str, remembered: int = REMEMBERED_WORDS) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(tokenizer)
-        self.library.encode_special_tokens = True
+        self.encoder = LibraryEncoder(tokenizer, special_as_text=True)
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.store = PieceStore(remembered)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.store.clear()
-        self.counts = np.zeros((1 << 14, 2), np.int64)  # piece tokens and bytes of each word
-
-    def learn(self, words: set[bytes]) -> None:
-        known = self.store.at
-        new = [word for word in words if word not in known]
-        if len(known) + len(new) > self.store.most and known:
-            self._clear()
-            new = list(words)
-        if not new:
-            return
-        asked = [word.decode() for word in new]
-        n = len(self.store.at)
-        if n + len(new) > len(self.counts):
-            grown = np.zeros((max(n + len(new), 2 * len(self.counts)), 2), np.int64)
-            grown[: len(self.counts)] = self.counts
-            self.counts = grown
-        for i, ids in enumerate(self.model.encode(asked, num_threads=1), n):
-            self.counts[i] = len(ids), sum(map(self.is_byte.__getitem__, ids))
-        self.store.add(new, [x.ids for x in self.library.encode_batch_fast([f" {word}" for word in asked], add_special_tokens=False)])
-
-    def measure(self, text: str | None) -> tuple[int, int, int, int, int, int, int, int, float]:
-        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens, n_pieces, n_bytes and entropy; ``learn`` comes first."""
-        if not text:
+        n = self.model.get_piece_size()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
+        self.begins = np.array([self.model.id_to_piece(i)[:1] == "\u2581" for i in range(n)])
+        self.store = WordStore(remembered)
+
+    def _piece_counts(self, words: list[str]) -> np.ndarray:
+        """(pieces, bytes) of each word. Words are laid in a row; where the model finds other beginnings than theirs, halves are, down to one word."""
+        laid = " ".join(words)
+        ids = np.array(self.model.encode(laid, num_threads=1), np.int64)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) == len(words) and len(ids) and starts[0] == 0 and "\u2581" not in laid:
+            return np.stack((np.diff(starts, append=len(ids)), np.add.reduceat(self.is_byte[ids].astype(np.int64), starts)), axis=1)
+        if len(words) > 1:
+            half = len(words) // 2
+            return np.concatenate((self._piece_counts(words[:half]), self._piece_counts(words[half:])))
+        return np.array([[len(ids), int(self.is_byte[ids].sum()) if len(ids) else 0]])
+
+    def numbers(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The words of each text, by their numbers; new words are learned."""
+        self.store.shorten()
+        get = self.store.__getitem__
+        out = []
+        for text in texts:
+            words = text.split() if text else []
+            out.append(np.fromiter(map(get, words), np.int64, len(words)))
+        if self.store.fresh:
+            fresh = self.store.fresh
+            words = b" ".join(fresh).decode().split(" ")
+            pieces = [self._piece_counts(words[i : i + LAID_WORDS]) for i in range(0, len(words), LAID_WORDS)]
+            ids, sizes = self.encoder.laid_ids([" " + word for word in words], np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1)
+            self.store.add(ids, sizes, np.concatenate(pieces))
+        return out
+
+    def measure(self, raw: bytes | None, points: int, which: np.ndarray) -> tuple[int, int, int, int, int, int, int, int, float]:
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens, n_pieces, n_bytes and entropy of a text of so many code points and these words."""
+        if not raw:
             return 0, 0, 0, 0, 0, 0, 0, 0, 0.0
-        raw = text.encode()
-        words = raw.split()
-        if not words:
-            return 0, 0, len(raw) - len(raw.translate(None, SYMBOLS)), 0, 0, 0, 0, 0, 0.0
-        chars = len(text) - (len(raw) - len(raw.translate(None, b" \t\n\v\f\r")))
-        lines = [line for line in raw.split(b"\n") if line.split(None, 1)]
-        which = np.fromiter(map(self.store.at.__getitem__, words), np.int64, len(words))
-        ids = self.store.ids(words)
-        _, counts = np.unique(ids, return_counts=True)
-        share = counts / max(len(ids), 1)
-        entropy = float(-(share * np.log2(share)).sum()) + 0.0
-        n_pieces, n_bytes = self.counts[which].sum(0).tolist()
         symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-        return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(which), len(ids), n_pieces, n_bytes, entropy
+        if not len(which):
+            return 0, 0, symbols, 0, 0, 0, 0, 0, 0.0
+        chars = points - (len(raw) - len(raw.translate(None, b" \t\n\v\f\r")))
+        lines = [line for line in raw.split(b"\n") if line.strip()]
+        figures = self.store.figures[which]
+        sizes = figures[:, 1]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        ids = np.sort(self.store.flat[np.repeat(figures[:, 0] - ends + sizes, sizes) + np.arange(n)])
+        counts = np.diff(np.flatnonzero(np.diff(ids, prepend=ids[:1] ^ 1, append=ids[-1:] ^ 1)))
+        share = counts / max(n, 1)
+        entropy = float(-(share * np.log2(share)).sum()) + 0.0
+        n_pieces, n_bytes = figures[:, 2:].sum(0).tolist()
+        return len(which), chars, symbols, len(lines) - len(set(lines)), repeated_words(which), n, n_pieces, n_bytes, entropy
 
 
 def repeated_words(words: np.ndarray) -> int:
@@ -133,22 +183,26 @@ def repeated_words(words: np.ndarray) -> int:
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
+    most = int(words.max()) + 1
+    if most**WINDOW >= 1 << 62:
+        words = np.unique(words, return_inverse=True)[1]
+        most = int(words.max()) + 1
     codes = words[:n].copy()
     for k in range(1, WINDOW):
-        if k > 1 or codes.max() > 1 << 31:
-            codes = np.unique(codes, return_inverse=True)[1]
-        codes = codes * (int(words.max()) + 1) + words[k : k + n]
-    _, where, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[where] > 1)
+        codes = codes * most + words[k : k + n]
+    found = np.sort(codes)
+    again = found[1:][found[1:] == found[:-1]]
+    if not len(again):
+        return 0
+    starts = np.flatnonzero(np.isin(codes, again))
     inside = np.zeros(len(words), bool)
     for k in range(WINDOW):
         inside[starts + k] = True
     return int(inside.sum())
 
 
-@lru_cache(maxsize=1)
 def meter(tokenizer: str, pieces: str) -> Meter:
-    return Meter(tokenizer, pieces)
+    return resident(("meter", tokenizer, pieces), lambda: Meter(tokenizer, pieces))
 
 
 def verdict(band: Band, chars: int, tokens: int, n_pieces: int, n_bytes: int, entropy: float) -> bool:
@@ -173,6 +227,7 @@ def apply_rules(docs: DataFrame, tokenizer: str, pieces: str, bands: Mapping[str
     """
     bands = dict(BANDS if bands is None else bands)
     if carry:
+        small_batches(docs.sparkSession)
         columns = docs.columns
         chosen = docs.withColumn("_text", F.col(text_col)).withColumn("_lang", F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string"))
     else:
@@ -182,16 +237,16 @@ def apply_rules(docs: DataFrame, tokenizer: str, pieces: str, bands: Mapping[str
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = meter(tokenizer, pieces)
-        sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(n - 2).cast(pa.binary())]
-        for start, end in groups_by_size(sizes, CHUNK_CHARS):
+        column = batch.column(n - 2)
+        raw, points, langs = column.cast(pa.binary()).to_pylist(), pc.utf8_length(column).to_pylist(), batch.column(n - 1).to_pylist()
+        for start, end in groups_by_size([len(text or b"") for text in raw], CHUNK_CHARS):
             part = batch.slice(start, end - start)
-            texts, langs = part.column(n - 2).to_pylist(), part.column(n - 1).to_pylist()
-            own.learn({word for text in texts if text for word in text.encode().split()})
             rows = []
-            for text, lang in zip(texts, langs, strict=True):
-                words, chars, symbols, lines, repeats, tokens, n_pieces, n_bytes, entropy = own.measure(text)
+            for i, which in enumerate(own.numbers(raw[start:end]), start):
+                text, lang = raw[i], langs[i]
+                words, chars, symbols, lines, repeats, tokens, n_pieces, n_bytes, entropy = own.measure(text, points[i] or 0, which)
                 failed = words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * words
-                kept = not failed and verdict(bands.get(lang or "") or bands[script(text)], chars, tokens, n_pieces, n_bytes, entropy)
+                kept = not failed and verdict(bands.get(lang or "") or bands[script(text.decode())], chars, tokens, n_pieces, n_bytes, entropy)
                 rows.append((words, chars, symbols, lines, repeats, failed, kept, chars / tokens if tokens else None, n_bytes / n_pieces if n_pieces else None, entropy))
             if carry:
                 keep = pa.array([row[6] for row in rows], pa.bool_())
