@@ -249,7 +249,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = staged(found, "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # Always a merge join: a size at which the list of ids fits a broadcast would only hide what the next size costs.
+    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
     if not repeated.isEmpty():
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
     return kept
