@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.base import groups_by_size, map_batches, pick
+from veilspan.llm.base import groups_by_size, map_batches, pick, small_batches
 from veilspan.llm.toxicity import logistic
 
 #: Bounds of the sample that is learned from: labelled documents of each label, and unlabelled ones.
@@ -199,6 +199,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
     model = train(docs, labels, label_id, label_col)
     columns = pick(docs, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
     if carry:
+        small_batches(docs.sparkSession)
         chosen = docs.select("*", F.col("text").alias("_t"), F.col("source").cast("string").alias("_s"), F.col("lang").cast("string").alias("_l"), F.col("n_chars").cast("long").alias("_n"))
     else:
         chosen = columns.select("doc_id", F.col("text").alias("_t"), F.col("source").cast("string").alias("_s"), F.col("lang").cast("string").alias("_l"), F.col("n_chars").cast("long").alias("_n"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import groups_by_size, hash_remainder, map_batches, pick, staged
+from veilspan.llm.base import groups_by_size, hash_remainder, map_batches, pick, resident, staged
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -362,15 +362,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.select("doc_id", (hash_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _scorer(machine: Machine) -> Scorer:
     """One scorer in a worker for one machine."""
     import hashlib
 
     key = hashlib.sha256(machine.weights.tobytes() + str(machine.constant).encode()).digest()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(machine)
-    return _SCORERS[key]
+    return resident(("toxicity", key), lambda: Scorer(machine))
