@@ -82,11 +82,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
         raise ValueError(f"a source would be repeated {highest:.0f} times; lower its weight or the epochs")
     kept = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
     own = docs.select(*kept)
-    rated = own.join(rates.withColumnRenamed("source", "_source"), own[source_col].eqNullSafe(F.col("_source")), "inner") if _small(rates) else None
+    rated = own.join(rates.withColumnsRenamed({"source": "_source", "rate": "_rate"}), own[source_col].eqNullSafe(F.col("_source")), "inner") if _small(rates) else None
     if rated is None:
         salted = F.struct(F.coalesce(F.col(source_col), F.lit("")).alias("s"), F.col(source_col).isNull().alias("n"))
-        rated = own.withColumn("_s", salted).join(rates.select(F.struct(F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("n")).alias("_s"), "rate"), "_s").drop("_s")
-    count = poisson_inverse(uniform(F.lit(seed), F.col(id_col)), F.col("rate"), most_copies(highest))
+        rated = own.withColumn("_s", salted).join(rates.select(F.struct(F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("n")).alias("_s"), F.col("rate").alias("_rate")), "_s").drop("_s")
+    count = poisson_inverse(uniform(F.lit(seed), F.col(id_col)), F.col("_rate"), most_copies(highest))
     counted = rated.withColumn("_count", count).where("_count > 0")
     repeated = counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
     keyed = repeated.withColumn("mix_key", uniform(F.lit(seed), F.lit("order"), F.col(id_col), F.col("copy")))
