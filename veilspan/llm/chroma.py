@@ -4,9 +4,9 @@ A recording (PCM, or a WAV file) is cut into overlapping frames; each frame's sp
 normalised. Filters of six shapes are laid over the frames by an integral image: each compares the sums of two areas, and the logarithm
 of their ratio falls into one of four ranges, written as two bits. Sixteen filters give an integer of 32 bits for each position.
 
-Recordings with one fingerprint form a class. Queries meet the other classes through equal integers: a histogram of offsets is
-built from each pair's equal integers, and the share of differing bits over the whole overlap at the best offset decides. A pair of which no
-integer is equal can't reach the limit in practice and is not met.
+Recordings with one fingerprint form a class. Queries meet the other classes through two integers in a row that are equal: a histogram of
+offsets is built from all such places of a pair, and the share of differing bits over the whole overlap at the best offset decides. Recordings without
+any two equal integers in a row don't meet.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ LOWEST, HIGHEST = 60.0, 2600.0
 SMOOTHING = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 16
 FILTERS = 16
-CUTS = (-0.1, 0.0, 0.1)
+#: Bounds of a ratio's four ranges, by the filter's shape; each range is about as frequent in music of single notes.
+CUTS = [(-1.1, -0.5, -0.2), (-0.55, 0.05, 0.7), (-0.24, 0.0, 0.24), (-0.54, 0.0, 0.54), (-1.3, -0.55, 0.05), (-0.45, -0.2, -0.05)]
 MAX_ERRORS = 0.15  # share of differing bits in an overlap
 LEAST_OVERLAP = 0.5  # of the shorter recording
-BIN_WIDTH = 1
 
 
 def samples(media: bytes | None, rate: int = RATE) -> np.ndarray:
@@ -78,7 +78,7 @@ def pitch_classes(sound: np.ndarray) -> np.ndarray:
 
 def filters() -> list[tuple[int, int, int, int]]:
     """(shape, first class, height, width) of each filter, by a rule: shapes in turn, classes and sizes spread over the image."""
-    return [(i % 6, (5 * i) % (12 - h + 1), h, w) for i in range(FILTERS) for h, w in [(4 + 2 * (i % 3), 4 + 4 * (i * 7 % 4))]]
+    return [(i % 6, (5 * i + i // 3) % (12 - h + 1), h, w) for i in range(FILTERS) for h, w in [(4 + 2 * (i % 3), 4 + 4 * (i * 7 % 4))]]
 
 
 def integers(chroma: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def integers(chroma: np.ndarray) -> np.ndarray:
             part = area(w // 3, w - w // 3, c, c + h)
             rest = whole - part
         ratio = np.log((1 + part) / (1 + rest))
-        step = np.searchsorted(CUTS, ratio, side="right").astype(np.uint32)
+        step = np.searchsorted(CUTS[shape], ratio, side="right").astype(np.uint32)
         packed = (packed << np.uint32(2)) | (step ^ (step >> np.uint32(1)))
     return packed
 
@@ -153,12 +153,18 @@ def align(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS,
     named = staged(prints.select("id", "fingerprint", F.size("fingerprint").alias("n_integers"), digest.alias("digest")), "prints")
     classes = staged(named.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fingerprint").alias("fingerprint"), F.max("n_integers").alias("n")), "classes")
     asked = named.join(queries.select("id").distinct(), "id", "left_semi").select("digest").distinct()
-    chosen = staged(classes.join(asked, "digest", "left_semi").where("n > 0").select("class_id", "fingerprint"), "asked")
-    left = chosen.select(F.col("class_id").alias("a"), F.posexplode("fingerprint").alias("i", "value"))
-    right = classes.where("n > 0").select(F.col("class_id").alias("b"), F.posexplode("fingerprint").alias("j", "value"))
-    wanted = left.select("value").distinct()
-    met = left.join(right.join(wanted, "value", "left_semi"), "value").where("a <> b")
-    histogram = met.groupBy("a", "b", (F.floor((F.col("j") - F.col("i")) / BIN_WIDTH) * BIN_WIDTH).alias("offset")).count()
+    chosen = staged(classes.join(asked, "digest", "left_semi").select("class_id", "fingerprint"), "asked")
+
+    def places(rows: DataFrame, name: str, at: str) -> DataFrame:
+        """(name, at, key) of each place: the key is its integer and the one after it."""
+        keys = F.transform(F.sequence(F.lit(0), F.size("fingerprint") - 2), lambda i: F.shiftleft(F.get("fingerprint", i), 32).bitwiseOR(F.get("fingerprint", i + 1)))
+        return rows.where(F.size("fingerprint") > 1).select(F.col("class_id").alias(name), F.posexplode(keys).alias(at, "key"))
+
+    # A query's key counts at its first place, so a recording that repeats itself doesn't meet itself all over.
+    left = places(chosen, "a", "i").groupBy("a", "key").agg(F.min("i").alias("i"))
+    right = places(classes, "b", "j")
+    met = left.join(right.join(left.select("key").distinct(), "key", "left_semi"), "key").where("a <> b")
+    histogram = met.groupBy("a", "b", (F.col("j") - F.col("i")).alias("offset")).count()
     best = histogram.groupBy("a", "b").agg(F.max(F.struct(F.col("count"), -F.abs("offset"), "offset")).alias("best")).select("a", "b", F.col("best.offset").cast("long").alias("offset"))
     paired = best.join(chosen.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("fingerprint").alias("fb")), "b")
 
@@ -184,7 +190,8 @@ def render(values: list[float] | None, rate: int = RATE, note: int = 512) -> byt
     """A vector as a recording: each component is a note whose pitch follows its value; 16-bit PCM. Null or empty: no sound."""
     if not values:
         return b""
-    pitch = 440.0 * 2 ** (np.round(12 * np.clip(np.nan_to_num(np.array(values, float)), -1, 1)) / 12.0)
+    own = np.nan_to_num(np.array(values, float), posinf=0.0, neginf=0.0)
+    pitch = 440.0 * 2 ** (np.round(12 * own / max(float(np.abs(own).max()), 1e-9)) / 12.0)
     phase = np.cumsum(np.repeat(2 * np.pi * pitch / rate, note))
     return (np.sin(phase) * 0.6 * 32767).astype("<i2").tobytes()
 
