@@ -32,14 +32,16 @@ from veilspan.llm.base import map_batches, pick, staged
 FOLDS, HELD_OUT = 5, 1  # documents whose hash has remainder HELD_OUT aren't learned from
 GROWTH = 1.25  # of the counts that bound the levels
 DISCOUNT, MU = 0.75, 2.0
-PROBES, BITS_PER_KEY = 6, 12
+PROBES, BITS_PER_KEY = 6, 16
 MOST_BITS = 1 << 32
-HEAVY = 1 << 18
+HEAVY = 1 << 17
 HEAVY_WORD_BYTES = 256
-SEGMENT_ENTRIES = 1 << 20
-FLUSH_PAIRS = 3_000_000
-REMEMBERED_WORDS = 400_000
+SEGMENT_ENTRIES = 1 << 20  # pairs of a segment, with repeats; of words fewer, as one has more levels
+SEGMENT_WORDS = 1 << 18
+FLUSH_PAIRS = 1_500_000
+REMEMBERED_WORDS = 300_000
 SALTS = 64
+PROBED_TOKENS = 250_000  # at once
 
 END = b""  # no word is empty
 WORD, PAIR, REST = 1, 2, 3
@@ -93,24 +95,24 @@ def segments(keys: np.ndarray, count: int) -> np.ndarray:
 
 
 class Filter:
-    """Segments of bits, end to end. ``count`` of each kind of entry; a segment has its own size."""
+    """Segments of 64-bit words, end to end, by kind of entry. A level of an entry is ``PROBES`` bits of one word, so a probe reads memory once."""
 
-    def __init__(self, bits: np.ndarray, starts: dict[int, np.ndarray], least_pair: int) -> None:
-        self.bits, self.starts, self.least_pair = bits, starts, least_pair
+    def __init__(self, words: np.ndarray, starts: dict[int, np.ndarray], least_pair: int, texts: float) -> None:
+        self.words, self.starts, self.least_pair, self.texts = words, starts, least_pair, texts
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing levels 1, 2, ... until one is missing."""
         starts = self.starts[kind]
         own = segments(keys, len(starts) - 1).astype(np.int64)
         base, size = starts[own], (starts[own + 1] - starts[own]).astype(np.uint64)
-        out, left, j = np.zeros(len(keys), np.int64), np.flatnonzero(size > 0), 1
-        while len(left):
-            hashes = level_hash(kind, keys[left], j)
-            for i in range(PROBES):
-                at = base[left] + probe(hashes, i, size[left])
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                left, hashes = left[hit], hashes[hit]
-            out[left] = j
+        out = np.zeros(len(keys), np.int64)
+        at = np.flatnonzero(size > 0)
+        keys, base, size, j = keys[at], base[at], size[at], 1
+        while len(at):
+            place, mask = probe(level_hash(kind, keys, j), size)
+            hit = np.flatnonzero((self.words[base + place] & mask) == mask)
+            at, keys, base, size = at[hit], keys[hit], base[hit], size[hit]
+            out[at] = j
             j += 1
         return out
 
@@ -119,25 +121,26 @@ def level_hash(kind: int, keys: np.ndarray, j: int | np.ndarray) -> np.ndarray:
     return mixed(keys ^ (np.asarray(j, np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(kind)))
 
 
-def probe(hashes: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
-    step = (hashes >> np.uint64(17)) | np.uint64(1)
-    return ((hashes + np.uint64(i) * step) % size).astype(np.int64)
+def probe(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a segment of ``size`` words, and its bits."""
+    place = ((hashes >> np.uint64(36)) * size) >> np.uint64(28)
+    mask = np.zeros(len(hashes), np.uint64)
+    for i in range(PROBES):
+        mask |= np.uint64(1) << ((hashes >> np.uint64(6 * i)) & np.uint64(63))
+    return place.astype(np.int64), mask
 
 
-def segment_bits(kind: int, keys: np.ndarray, levels: np.ndarray) -> bytes:
-    """The bits of a segment: ``BITS_PER_KEY`` for each level of each entry."""
+def segment_words(kind: int, keys: np.ndarray, levels: np.ndarray) -> bytes:
+    """The words of a segment: ``BITS_PER_KEY`` bits for each level of each entry."""
     total = int(levels.sum())
     if not total:
         return b""
-    size = max(64, -(-total * BITS_PER_KEY // 64) * 64)
-    bits = np.zeros(size, bool)
-    repeated = np.repeat(keys, levels)
+    words = np.zeros(-(-total * BITS_PER_KEY // 64), np.uint64)
     ends = np.cumsum(levels)
     j = np.arange(total) - np.repeat(ends - levels, levels) + 1
-    hashes = level_hash(kind, repeated, j.astype(np.uint64))
-    for i in range(PROBES):
-        bits[probe(hashes, i, np.uint64(size))] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    place, mask = probe(level_hash(kind, np.repeat(keys, levels), j.astype(np.uint64)), np.full(total, len(words), np.uint64))
+    np.bitwise_or.at(words, place, mask)
+    return words.astype("<u8").tobytes()
 
 
 class Words:
@@ -287,7 +290,7 @@ def pair_segments(blobs: DataFrame, least: int) -> DataFrame:
             first, where = np.unique(keys >> np.uint64(32), return_inverse=True)
             mass = np.bincount(where, np.maximum(value(levels, least) - DISCOUNT, 0.0), len(first))
             yield pa.RecordBatch.from_pydict(
-                {"segment": pa.array([name], pa.int64()), "bits": pa.array([segment_bits(PAIR, keys, levels)], pa.binary()), "first": pa.array([first.tolist()], pa.list_(pa.int64())), "mass": pa.array([mass.tolist()], pa.list_(pa.float64()))}
+                {"segment": pa.array([name], pa.int64()), "bits": pa.array([segment_words(PAIR, keys, levels)], pa.binary()), "first": pa.array([first.tolist()], pa.list_(pa.int64())), "mass": pa.array([mass.tolist()], pa.list_(pa.float64()))}
             )
 
     dealt = blobs.repartition("segment").sortWithinPartitions("segment")
@@ -295,18 +298,21 @@ def pair_segments(blobs: DataFrame, least: int) -> DataFrame:
 
 
 def entry_segments(entries: DataFrame, kind: int, count: int) -> DataFrame:
-    """(segment, bits) for entries (key, n): rows of other kinds than pairs."""
+    """(segment, bits) for entries of other kinds than pairs: (key or word, n)."""
 
     def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(segments(keys, count).astype(np.int64)), batch.column(0), batch.column(1)], names=["segment", "key", "n"])
+        if pa.types.is_binary(batch.schema.field(0).type):
+            keys = np.fromiter((word_hash(x) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        else:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(segments(keys, count).astype(np.int64)), pa.array(keys.view(np.int64)), batch.column(1)], names=["segment", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_name, keys, counts = None, [], []
 
         def out() -> pa.RecordBatch:
             own = np.concatenate(keys).view(np.uint64)
-            return pa.RecordBatch.from_pydict({"segment": pa.array([held_name], pa.int64()), "bits": pa.array([segment_bits(kind, own, level(np.concatenate(counts)))], pa.binary())})
+            return pa.RecordBatch.from_pydict({"segment": pa.array([held_name], pa.int64()), "bits": pa.array([segment_words(kind, own, level(np.concatenate(counts)))], pa.binary())})
 
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
@@ -321,29 +327,26 @@ def entry_segments(entries: DataFrame, kind: int, count: int) -> DataFrame:
         if keys:
             yield out()
 
-    named = map_batches(entries.select("key", "n"), name, "segment long, key long, n long")
+    named = map_batches(entries, name, "segment long, key long, n long")
     return named.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "segment long, bits binary")
 
 
-def _word_entries(vocabulary: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter((word_hash(x) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], names=["key", "n"])
-
-    return map_batches(vocabulary.where("n_train > 0").select("word", "n_train"), run, "key long, n long")
-
-
-def _laid(parts: dict[int, tuple[int, list]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Segments of all kinds end to end, and where each begins, in bits."""
-    raw, starts, at = [], {}, 0
+def _laid(parts: dict[int, tuple[int, DataFrame]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Segments of all kinds end to end, and where each begins. The driver holds the filter once and a partition's segments."""
+    starts, at = {}, 0
     for kind, (count, rows) in parts.items():
         sizes = np.zeros(count, np.int64)
-        for row in sorted(rows, key=lambda row: row["segment"]):
-            sizes[row["segment"]] = 8 * len(row["bits"])
-            raw.append(bytes(row["bits"]))
+        for row in rows.select("segment", F.octet_length("bits").alias("n")).collect():
+            sizes[row.segment] = row.n // 8
         starts[kind] = at + np.concatenate(([0], np.cumsum(sizes)))
         at += int(sizes.sum())
-    return np.frombuffer(b"".join(raw) or b"\0", np.uint8), starts
+    laid = np.zeros(max(at, 1), np.uint64)
+    for kind, (_, rows) in parts.items():
+        for row in rows.select("segment", "bits").toLocalIterator():
+            own = np.frombuffer(row.bits, "<u8")
+            first = int(starts[kind][row.segment])
+            laid[first : first + len(own)] = own
+    return laid, starts
 
 
 class Model:
@@ -362,38 +365,83 @@ def least_pair(blobs: DataFrame, room: float) -> int:
     return 2 if room <= MOST_BITS else 2 + int(np.ceil(np.log2(room / MOST_BITS)))
 
 
-class Scorer:
-    """Scores texts in a worker."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.hashes = model, Words()
-        self.end = np.array([word_hash(END)], np.uint64)
+class Scorer(dict):
+    """Scores texts in a worker. Words have numbers, and by number what the model says of each: hash, count, discounted mass, exact count (or -1). A new word gets
+    the next number at once; ``fresh`` holds those that are yet to be looked up."""
 
-    def levels(self, kind: int, keys: np.ndarray, least: int = 1) -> np.ndarray:
-        return value(self.model.table.levels(kind, keys), least)
-
-    def logs(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each tokenised text; all texts are probed together."""
-        sizes = np.array([len(words) + 1 for words in texts])
-        own = np.concatenate([x for words in texts for x in (self.hashes(words), self.end)])
-        starts = np.cumsum(sizes) - sizes
-        unique, where = np.unique(own, return_inverse=True)
-        counts = self.levels(WORD, unique)
-        # A first word's discounted mass stands under its half key; at a text's start it is the start mark.
-        firsts = mixed(unique) & np.uint64(0xFFFFFFFF00000000)
+    def __init__(self, model: Model, most: int = REMEMBERED_WORDS) -> None:
+        super().__init__()
+        self.model, self.most = model, most
+        self.names: list[bytes] = []
+        self.looked_up = 0
+        self.hashes = np.zeros(1 << 14, np.uint64)
+        self.figures = np.zeros((1 << 14, 3))
         start_key = mixed(_START[None]) & np.uint64(0xFFFFFFFF00000000)
-        mass = self.levels(REST, np.concatenate((firsts, start_key)))
+        self.start_mass = float(value(model.table.levels(REST, start_key))[0])
+        self.end = self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        self.names.append(word)
+        return number
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The words of a text and its end, by their numbers."""
+        words = split_words(text)
+        words.append(END)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def shorten(self) -> None:
+        """Forgets half of the words where there are too many: those that came last, as words that come often come early."""
+        if len(self.names) > self.most:
+            del self.names[self.most // 2 :]
+            self.looked_up = min(self.looked_up, len(self.names))
+            self.clear()
+            self.update(zip(self.names, range(len(self.names)), strict=True))
+
+    def look_up(self) -> None:
+        first, n = self.looked_up, len(self.names)
+        if first == n:
+            return
+        if n > len(self.hashes):
+            for name in ("hashes", "figures"):
+                old = getattr(self, name)
+                new = np.zeros((max(n, 2 * len(old)), *old.shape[1:]), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        fresh, table, heavy = self.names[first:n], self.model.table, self.model.heavy
+        hashes = np.fromiter(map(word_hash, fresh), np.uint64, n - first)
+        self.hashes[first:n] = hashes
+        self.figures[first:n, 0] = value(table.levels(WORD, hashes))
+        self.figures[first:n, 1] = value(table.levels(REST, mixed(hashes) & np.uint64(0xFFFFFFFF00000000)))
+        self.figures[first:n, 2] = [heavy.get(word, -1) for word in fresh]
+        self.looked_up = n
+
+    def logs(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text, given by its numbers; all are probed together."""
+        self.look_up()
+        table = self.model.table
+        sizes = np.array([len(x) for x in texts])
+        own = np.concatenate(texts)
+        starts = np.cumsum(sizes) - sizes
         before = np.concatenate((own[:1], own[:-1]))
-        before_at = np.concatenate((where[:1], where[:-1]))
-        before[starts] = _START
-        first_count, first_mass = counts[before_at], mass[before_at]
-        first_count[starts], first_mass[starts] = self.model.table.texts, mass[-1]
-        pairs = self.levels(PAIR, pair_keys(before, own), self.model.table.least_pair)
-        word = (counts[where] + 0.5) / self.model.total
-        below = np.maximum(first_count, first_mass) + MU
-        p = np.maximum(pairs - DISCOUNT, 0.0) / below + (1.0 - first_mass / below) * word
+        hashes, first = self.hashes[own], self.hashes[before]
+        count, mass = self.figures[before, 0], self.figures[before, 1]
+        first[starts], count[starts], mass[starts] = _START, table.texts, self.start_mass
+        pairs = value(table.levels(PAIR, pair_keys(first, hashes)), table.least_pair)
+        word = (self.figures[own, 0] + 0.5) / self.model.total
+        below = np.maximum(count, mass) + MU
+        p = np.maximum(pairs - DISCOUNT, 0.0) / below + (1.0 - mass / below) * word
         return np.add.reduceat(np.log10(p), starts)
 
+    def exact(self, text: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+        """Known tokens and base score of the words whose exact counts are at hand; the numbers and frequencies of the others."""
+        numbers, times = np.unique(text, return_counts=True)
+        counts = self.figures[numbers, 2]
+        here = counts >= 0
+        base = float(times[here] @ np.log10((counts[here] + 0.5) / self.model.total))
+        return int(times[counts > 0].sum()), base, numbers[~here], times[~here]
+
 
 def train(chosen: DataFrame) -> tuple[Model, DataFrame]:
     """The model of ``chosen`` (doc_id, text), and the table (word, n_all, n_train) of all its words."""
@@ -416,15 +464,11 @@ def train(chosen: DataFrame) -> tuple[Model, DataFrame]:
     least_count = least_pair(None, 0.25 * n * BITS_PER_KEY)
     pairs = staged(pair_segments(pair_blobs(chosen, n_segments), least_count), "pairs")
     masses = pairs.select(F.explode(F.arrays_zip("first", "mass")).alias("x")).groupBy(F.shiftleft(F.col("x.first"), 32).alias("key")).agg(F.round(F.sum("x.mass")).cast("long").alias("n")).where("n > 0")
-    n_words = max(1, -(-v // SEGMENT_ENTRIES))
-    parts = {
-        WORD: (n_words, entry_segments(_word_entries(vocabulary), WORD, n_words).collect()),
-        PAIR: (n_segments, pairs.select("segment", "bits").collect()),
-        REST: (n_words, entry_segments(masses, REST, n_words).collect()),
-    }
-    bits, starts = _laid(parts)
-    table = Filter(bits, starts, least_count)
-    table.texts = float(n_texts)
+    n_words = max(1, -(-v // SEGMENT_WORDS))
+    words = staged(entry_segments(vocabulary.where("n_train > 0").select("word", "n_train"), WORD, n_words), "words")
+    rests = staged(entry_segments(masses, REST, n_words), "rests")
+    bits, starts = _laid({WORD: (n_words, words), PAIR: (n_segments, pairs), REST: (n_words, rests)})
+    table = Filter(bits, starts, least_count, float(n_texts))
     return Model(table, n, v, heavy), vocabulary
 
 
@@ -444,43 +488,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = shared.value
-        scorer, heavy = Scorer(own), own.heavy
+        scorer = Scorer(shared.value)
         number = TaskContext.get().partitionId() << 36
         names = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+
+        def out(ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            logs = scorer.logs(texts)
+            rows = list(range(number, number + len(ids)))
+            number += len(ids)
+            known, base, rest, times = zip(*map(scorer.exact, texts), strict=True)
+            kinds = [pa.int64(), pa.binary(), pa.int64(), kind_, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            n = len(ids)
+            # No word holds a space, so such a row's key meets none.
+            columns = [rows, [b" %d" % row for row in rows], [0] * n, ids, [is_held_out(x) for x in ids], [len(x) for x in texts], known, base, logs]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
+            others = np.concatenate(rest)
+            if len(others):
+                words = list(map(scorer.names.__getitem__, others.tolist()))
+                columns = [np.repeat(rows, [len(x) for x in rest]), words, np.concatenate(times)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(column, kind) for column, kind in zip(columns, kinds, strict=False)), *(pa.nulls(len(words), kind) for kind in kinds[3:])], names=names)
+
         for batch in batches:
-            held, size = [], 0
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            for i, (doc_id, text) in enumerate(rows, 1):
-                words = split_words(text.as_py())
-                held.append((doc_id, words))
-                size += len(words) + 1
-                if size < 250_000 and i < batch.num_rows:
-                    continue
-                logs = scorer.logs([words for _, words in held])
-                columns: list[list] = [[] for _ in names]
-                for (doc_id, words), log in zip(held, logs.tolist(), strict=True):
-                    number += 1
-                    counts = Counter(words)
-                    counts[END] += 1
-                    known = base = 0
-                    seen, times, rest = [], [], []
-                    for word, tf in counts.items():
-                        c = heavy.get(word)
-                        if c is None:
-                            rest.append((number, word, tf, None, None, None, None, None, None))
-                        else:
-                            seen.append(c)
-                            times.append(tf)
-                            known += tf if c else 0
-                    base = float(np.dot(times, np.log10((np.array(seen) + 0.5) / total))) if seen else 0.0
-                    # No word holds a space, so this row's key meets none.
-                    rest.append((number, b" %d" % number, 0, doc_id, is_held_out(doc_id), len(words) + 1, known, base, log))
-                    for column, values in zip(columns, zip(*rest, strict=True), strict=True):
-                        column.extend(values)
-                kinds = [pa.int64(), pa.binary(), pa.int64(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
-                held, size = [], 0
+            kind_ = batch.schema.field(0).type
+            ids, texts, size = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(doc_id)
+                texts.append(scorer.numbers(text.as_py()))
+                size += len(texts[-1])
+                if size > PROBED_TOKENS:
+                    yield from out(ids, texts)
+                    ids, texts, size = [], [], 0
+                    scorer.shorten()
+            if ids:
+                yield from out(ids, texts)
+                scorer.shorten()
 
     kind = dict(chosen.dtypes)["doc_id"]
     rows = chosen.mapInArrow(run, f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
