@@ -41,10 +41,10 @@ def weighted_sum(digits: Column, weights: list[int]) -> Column:
 
 def valid_account_number(base: Column, prefix: Column | None = None) -> Column:
     """Both parts' weighted sums divide by 11; the base has 2 to 10 digits, not all zero. An empty or null prefix is none."""
-    valid = base.rlike(r"^\d{2,10}$") & ~base.rlike(r"^0+$") & (weighted_sum(base, BASE_WEIGHTS) % 11 == 0)
+    valid = base.rlike(r"^\d{2,10}\z") & ~base.rlike(r"^0+\z") & (weighted_sum(base, BASE_WEIGHTS) % 11 == 0)
     valid = F.coalesce(valid, F.lit(False))
     if prefix is not None:
-        own = F.coalesce(prefix.rlike(r"^\d{1,6}$") & (weighted_sum(prefix, PREFIX_WEIGHTS) % 11 == 0), F.lit(False))
+        own = F.coalesce(prefix.rlike(r"^\d{1,6}\z") & (weighted_sum(prefix, PREFIX_WEIGHTS) % 11 == 0), F.lit(False))
         valid = valid & (prefix.isNull() | (prefix == "") | own)
     return valid
 
@@ -54,7 +54,7 @@ def valid_company_id(value: Column) -> Column:
     digits = F.regexp_replace(value, r"\s", "")
     rest = weighted_sum(F.substring(digits, 1, 7), COMPANY_WEIGHTS) % 11
     expected = F.when(rest == 0, 1).when(rest == 1, 0).otherwise(11 - rest)
-    return F.coalesce(digits.rlike(r"^\d{8}$") & (digit(digits, 8) == expected), F.lit(False))
+    return F.coalesce(digits.rlike(r"^\d{8}\z") & (digit(digits, 8) == expected), F.lit(False))
 
 
 def mod97(text: Column) -> Column:
@@ -73,7 +73,7 @@ def valid_iban(value: Column) -> Column:
     country = F.substring(iban, 1, 2)
     lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
     known = F.try_element_at(lengths, country)
-    shape = iban.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]+$") & F.length(iban).between(15, 34) & (known.isNull() | (F.length(iban) == known))
+    shape = iban.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]+\z") & F.length(iban).between(15, 34) & (known.isNull() | (F.length(iban) == known))
     rotated = F.concat(F.substring(iban, 5, 30), F.substring(iban, 1, 4))
     prefix, base = (F.regexp_replace(F.substring(iban, at, n), "^0+", "") for at, n in ((9, 6), (15, 34)))
     inner = ~country.isin("CZ", "SK") | valid_account_number(base, prefix)
@@ -90,7 +90,7 @@ def matches_issuer(digits: Column) -> Column:
 def valid_card(value: Column) -> Column:
     """An issuer's prefix and length, and Luhn."""
     digits = F.regexp_replace(value, "[ -]", "")
-    return F.coalesce(F.when(digits.rlike(r"^\d+$"), matches_issuer(digits) & F.call_function("luhn_check", digits)), F.lit(False))
+    return F.coalesce(F.when(digits.rlike(r"^\d+\z"), matches_issuer(digits) & F.call_function("luhn_check", digits)), F.lit(False))
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
@@ -115,7 +115,7 @@ def valid_birth_number(value: Column) -> Column:
     born = birth_number_date(digits)
     rest = F.substring(digits, 1, 9).try_cast("long") % 11
     checked = F.when(F.length(digits) == 9, F.year(born) < 1954).otherwise(F.when(rest == 10, 0).otherwise(rest) == digit(digits, 10))
-    return F.coalesce(F.when(digits.rlike(r"^\d{9,10}$") & born.isNotNull(), checked), F.lit(False))
+    return F.coalesce(F.when(digits.rlike(r"^\d{9,10}\z") & born.isNotNull(), checked), F.lit(False))
 
 
 def plausible_nanp(digits: Column) -> Column:

@@ -22,7 +22,7 @@ def _nfc(text: pd.Series) -> pd.Series:
 def normalize_text(text: Column | str) -> Column:
     """Unicode NFC. Text that is plain ASCII, most of it, never leaves the JVM's result."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.pandas_udf(_nfc, "string")(text))
+    return F.when(text.rlike(r"^\p{ASCII}*\z"), text).otherwise(F.pandas_udf(_nfc, "string")(text))
 
 
 def fold(text: Column) -> Column:
@@ -72,8 +72,8 @@ def leak_pattern(text: Column) -> Column:
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     body = F.when(short, F.array_join(F.transform(words, quoted), SPACE + "*")).otherwise(_apart(bare))
     first = F.when(bare.rlike(r"(?U)^\w"), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
-    number = F.when(bare.rlike(r"(?U)\d$"), F.lit(r"(?!\d)(?!\.\d)")).otherwise(F.lit(""))
-    whole = F.when(short & bare.rlike(r"(?U)\w$"), F.lit(r"(?!\w)")).otherwise(F.lit(""))
+    number = F.when(bare.rlike(r"(?U)\d\z"), F.lit(r"(?!\d)(?!\.\d)")).otherwise(F.lit(""))
+    whole = F.when(short & bare.rlike(r"(?U)\w\z"), F.lit(r"(?!\w)")).otherwise(F.lit(""))
     return F.concat(F.lit("(?U)"), first, body, number, whole)
 
 
@@ -81,5 +81,5 @@ def literal_pattern(text: Column) -> Column:
     """A pattern for a text as files store it: white space anywhere, and no digit of a longer number at either end."""
     bare = compact(text)
     first = F.when(bare.rlike(r"(?U)^\d"), F.lit(r"(?<!\d)(?<!\d\.)")).otherwise(F.lit(""))
-    last = F.when(bare.rlike(r"(?U)\d$"), F.lit(r"(?!\d)(?!\.\d)")).otherwise(F.lit(""))
+    last = F.when(bare.rlike(r"(?U)\d\z"), F.lit(r"(?!\d)(?!\.\d)")).otherwise(F.lit(""))
     return F.concat(F.lit("(?U)"), first, _apart(bare), last)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.spans import exploded
 from veilspan.operators import finders
-from veilspan.operators.merge import merge_entities
+from veilspan.operators.merge import merged_spans
 
 
 def entity_id(*parts: str) -> Column:
@@ -21,12 +21,14 @@ def as_entities(spans: DataFrame, source: str = "rule", review: str = "pending")
     return named.withColumn("source", F.lit(source)).withColumn("review", F.lit(review))
 
 
-def scan(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None) -> DataFrame:
-    """(doc_id, page_index, surface_id, ordinal, type, start, end, text): what the finders find in a relation with ``text``, before merging.
+def scan(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None, merged: bool = False) -> DataFrame:
+    """(doc_id, page_index, surface_id, ordinal, type, start, end, text): what the finders find in a relation with ``text``, before merging or ``merged``.
 
-    All finders run in one projection, so a text is read once.
+    All finders run in one projection, so a text is read once, and a place's spans are merged where they stand.
     """
-    found = places.withColumn("_spans", finders.find_all("text", language, scanned, only)).where(F.size("_spans") > 0)
+    spans = finders.find_all("text", language, scanned, only)
+    # No filter on empty arrays: it would be pushed below and find all over again.
+    found = places.withColumn("_spans", merged_spans(spans) if merged else spans)
     for name, kind in (("page_index", "int"), ("surface_id", "string")):
         if name not in found.columns:
             found = found.withColumn(name, F.lit(0 if name == "page_index" else None).cast(kind))
@@ -35,7 +37,7 @@ def scan(places: DataFrame, language: Column | None = None, scanned: Column | No
 
 def detect(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None) -> DataFrame:
     """The merged findings of the rules as entities."""
-    return as_entities(merge_entities(scan(places, language, scanned, only)))
+    return as_entities(scan(places, language, scanned, only, merged=True).withColumn("score", F.lit(None).cast("double")))
 
 
 def places_of(pages: DataFrame, surfaces: DataFrame) -> DataFrame:

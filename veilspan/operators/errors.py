@@ -24,12 +24,12 @@ HYPHENS = r"[-‐‑–'’ʼ]"
 
 
 def _is_title(word: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(word, f"^[{EDGE}]+|[{EDGE}]+$", ""), r"\.+$", "")
+    bare = F.regexp_replace(F.regexp_replace(word, rf"^[{EDGE}]+|[{EDGE}]+\z", ""), r"\.+\z", "")
     return F.lower(bare).isin(*TITLE_WORDS)
 
 
 def _is_initial(word: Column) -> Column:
-    return F.regexp_replace(word, f"^[{EDGE}]+|[{EDGE}]+$", "").rlike(r"^\p{Lu}\.?$")
+    return F.regexp_replace(word, rf"^[{EDGE}]+|[{EDGE}]+\z", "").rlike(r"^\p{Lu}\.?\z")
 
 
 def _words(text: Column) -> Column:
@@ -43,7 +43,7 @@ def shape(text: Column | str, start: Column, end: Column) -> Column:
     words = _words(value)
     before = F.regexp_extract(piece(text, F.lit(0), start), r"[^\n]*\z", 0)
     earlier = _words(before)
-    trimmed = F.regexp_replace(before, f"[{OPENERS}]+$", "")
+    trimmed = F.regexp_replace(before, rf"[{OPENERS}]+\z", "")
     last = F.try_element_at(_words(trimmed), F.lit(-1))
     head = F.substring_index(before, ":", 1)
     label = before.contains(":") & F.size(_words(head)).between(1, 4) & F.ltrim(head).rlike(r"(?U)^\s*\p{L}")

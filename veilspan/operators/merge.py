@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import contains, overlap
+from veilspan.functions.spans import contains, let, overlap
 from veilspan.schema import PRIORITY, REGION
 
 PLACE = ["doc_id", "page_index", "surface_id"]
@@ -66,6 +66,23 @@ def merge_entities(spans: DataFrame, priority: list[str] = PRIORITY) -> DataFram
     return kept.unionByName(spans.where(F.col("type") == REGION))
 
 
+def merged_spans(spans: Column, priority: list[str] = PRIORITY) -> Column:
+    """The same for an array of spans of one place, in their order: nothing is shuffled, as a place's spans stand in one row already."""
+
+    def kept(own: Column) -> Column:
+        placed = F.transform(own, lambda s, i: F.struct(F.struct(rank(s["type"], priority).alias("rank"), (s["start"] - s["end"]).alias("size"), s["start"].alias("start"), i.alias("i")).alias("order"), s.alias("span")))
+        return let(placed, outer)
+
+    def outer(placed: Column) -> Column:
+        def held(x: Column) -> Column:
+            inside = lambda y: contains(y["span"]["start"], y["span"]["end"], x["span"]["start"], x["span"]["end"]) & (y["order"] < x["order"])
+            return F.exists(placed, inside)
+
+        return F.transform(F.filter(placed, lambda x: ~held(x)), lambda x: x["span"])
+
+    return let(spans, lambda own: F.when(F.size(own) < 2, own).otherwise(kept(own)))
+
+
 def outermost(spans: DataFrame) -> DataFrame:
     """Spans that lie in no other span of their type; repeated ones once."""
     unique = with_places(spans).dropDuplicates([*PLACE, "type", "start", "end"])

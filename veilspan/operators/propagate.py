@@ -20,7 +20,7 @@ def _choices(names: str) -> str:
     return "|".join(r"\s+".join("\\Q" + part + "\\E" for part in name.split()) for name in longest_first)
 
 
-BEFORE = r"(?iuU)(?:(?<!\w)(?:" + _choices(TITLES) + r")\s*)+$"
+BEFORE = r"(?iuU)(?:(?<!\w)(?:" + _choices(TITLES) + r")\s*)+\z"
 AFTER = r"(?iuU)^(?:\s*,?\s*(?:" + _choices(DEGREES) + r")(?!\w))+"
 
 

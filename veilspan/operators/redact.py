@@ -24,8 +24,8 @@ def whole_words(text: Column, start: Column, end: Column, words: Column | None =
         return F.least(start, F.coalesce(F.array_min(F.transform(hit, lambda w: w["start"])), start)), F.greatest(end, F.coalesce(F.array_max(F.transform(hit, lambda w: w["end"])), end))
     # A span that begins or ends in white space touches no word there.
     inner = piece(text, start, end)
-    left = F.when(inner.rlike(r"(?U)^\S"), F.length(F.regexp_extract(piece(text, F.lit(0), start), r"(?U)\S*$", 0))).otherwise(0)
-    right = F.when(inner.rlike(r"(?U)\S$"), F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"(?U)^\S*", 0))).otherwise(0)
+    left = F.when(inner.rlike(r"(?U)^\S"), F.length(F.regexp_extract(piece(text, F.lit(0), start), r"(?U)\S*\z", 0))).otherwise(0)
+    right = F.when(inner.rlike(r"(?U)\S\z"), F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"(?U)^\S*", 0))).otherwise(0)
     return start - left, end + right
 
 

@@ -18,7 +18,7 @@ KEY = ["doc_id", "entity_id"]
 def trimmed(text: Column, start: Column, end: Column) -> Column:
     """(start, end) narrowed past signs at the edges unless nothing would be left."""
     inner = piece(text, start, end)
-    left, right = F.length(F.regexp_extract(inner, r"(?U)^\W*", 0)), F.length(F.regexp_extract(inner, r"(?U)\W*$", 0))
+    left, right = F.length(F.regexp_extract(inner, r"(?U)^\W*", 0)), F.length(F.regexp_extract(inner, r"(?U)\W*\z", 0))
     some = left < F.length(inner)
     return F.struct(F.when(some, start + left).otherwise(start).cast("int").alias("start"), F.when(some, end - right).otherwise(end).cast("int").alias("end"))
 

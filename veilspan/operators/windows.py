@@ -38,20 +38,20 @@ def token_windows(tokens: Column, window: int = WINDOW_TOKENS, overlap: int = OV
 def widen_to_words(text: Column | str, start: Column, end: Column) -> Column:
     """(start, end) of the whole words that a span touches, without edge signs and a sentence's full stop; null if nothing is left."""
     text = _col(text)
-    left = start - F.length(F.regexp_extract(piece(text, F.lit(0), start), r"(?U)\S*$", 0))
+    left = start - F.length(F.regexp_extract(piece(text, F.lit(0), start), r"(?U)\S*\z", 0))
     right = end + F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"(?U)^\S*", 0))
 
     def stripped(a: Column, b: Column) -> Column:
         inner = piece(text, a, b)
         before = F.length(F.regexp_extract(inner, rf"(?U)^[\s{EDGE}]*", 0))
-        after = F.when(before < F.length(inner), F.length(F.regexp_extract(inner, rf"(?U)[\s{EDGE}]*$", 0))).otherwise(0)
+        after = F.when(before < F.length(inner), F.length(F.regexp_extract(inner, rf"(?U)[\s{EDGE}]*\z", 0))).otherwise(0)
         return F.struct((a + before).cast("int").alias("start"), (b - after).cast("int").alias("end"))
 
     once = stripped(left, right)
     inner = piece(text, once["start"], once["end"])
-    closed = inner.rlike(rf"[{EDGE}]\.$")
+    closed = inner.rlike(rf"[{EDGE}]\.\z")
     twice = F.when(closed, stripped(once["start"], once["end"] - 1)).otherwise(once)
-    word = F.regexp_extract(piece(text, twice["start"], twice["end"]), r"(?U)\S+$", 0)
+    word = F.regexp_extract(piece(text, twice["start"], twice["end"]), r"(?U)\S+\z", 0)
     stop = word.endswith(".") & (F.length(F.regexp_replace(word, r"[^.]", "")) == 1) & (F.length(word) > 1)
     final = F.struct(twice["start"].alias("start"), (twice["end"] - stop.cast("int")).cast("int").alias("end"))
     return F.when(final["end"] > final["start"], final)

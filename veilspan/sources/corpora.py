@@ -50,7 +50,7 @@ def numbered_sentences(lines: DataFrame) -> DataFrame:
 def parse_columns(lines: DataFrame, types: dict[str, str] = IOB2_TYPES) -> tuple[DataFrame, DataFrame]:
     """Sentences and spans of two-column IOB2 lines ("token tag"); running it fails on a line without a tag."""
     rows = numbered_sentences(lines)
-    split = F.regexp_extract("line", r"(?U)^(.*\S)\s+(\S+)\s*$", 1), F.regexp_extract("line", r"(?U)^(.*\S)\s+(\S+)\s*$", 2)
+    split = F.regexp_extract("line", r"(?U)^(.*\S)\s+(\S+)\s*\z", 1), F.regexp_extract("line", r"(?U)^(.*\S)\s+(\S+)\s*\z", 2)
     checked = rows.withColumn("token", F.when(split[0] == "", F.raise_error("a line holds no tag")).otherwise(split[0])).withColumn("tag", split[1])
     return labelled_sentences(checked.select("doc_id", "sentence", "token_no", "token", "tag"), types)
 
@@ -207,7 +207,7 @@ def openpii_spans(records: DataFrame) -> DataFrame:
     order = Window.partitionBy("uid").orderBy("start", "end")
     label, end = F.lag("label").over(order), F.lag("end").over(order)
     gap = piece(F.col("source_text"), end, F.col("start"))
-    names = label.isin(*OPENPII_PERSON) & F.col("label").isin(*OPENPII_PERSON) & gap.rlike(r"(?U)^[^\S\n]*$")
+    names = label.isin(*OPENPII_PERSON) & F.col("label").isin(*OPENPII_PERSON) & gap.rlike(r"(?U)^[^\S\n]*\z")
     places = label.isin(*OPENPII_ADDRESS) & F.col("label").isin(*OPENPII_ADDRESS) & (F.length(gap) <= OPENPII_GAP) & ~gap.contains("\n")
     flagged = rows.withColumn("_new", (~F.coalesce(names | places, F.lit(False))).cast("int"))
     runs = flagged.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
