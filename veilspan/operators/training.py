@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.operators.windows import model_tokens, token_windows
+from veilspan.operators.windows import model_tokens
 
 SMALLEST = 1e-6
 
@@ -22,16 +23,44 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_index", F.posexplode(model_tokens("text")).alias("n", "t")).select("doc_id", "page_index", "n", "t.text", "t.start", "t.end")
 
 
+def cut(breaks: list[bool], spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``most`` tokens, never inside a span (first, last) that fits: after the last line break in a range's second half, else at the last free place.
+
+    ``breaks`` tells for each token whether a line break stands before it.
+    """
+    inside = {i for first, last in spans for i in range(first + 1, last + 1)}
+    out, first, n = [], 0, len(breaks)
+    while first < n:
+        end = min(first + most, n)
+        if end < n:
+            free = [i for i in range(end, first, -1) if i not in inside]
+            at_break = [i for i in free if i > first + most // 2 and breaks[i]]
+            end = (at_break or free or [end])[0]
+        out.append((first, end))
+        first = end
+    return out
+
+
 def page_examples(pages: DataFrame, gold: DataFrame, window: int, widest: int) -> tuple[DataFrame, DataFrame]:
     """Examples (doc_id, page_index, example, first, last, tokens) without overlap, and their spans counted from the example's first token.
 
-    A span that crosses an example's end, or is wider than ``widest`` tokens, is left out.
+    Examples never cut a span, unless it is longer than they are; spans wider than ``widest`` tokens are left out. A cut depends on the one before, so a page's cuts are
+    found in Python from its line breaks and spans alone.
     """
-    cut = pages.select("doc_id", "page_index", model_tokens("text").alias("_t")).where(F.size("_t") > 0)
-    parts = cut.select("doc_id", "page_index", "_t", F.posexplode(token_windows(F.col("_t"), window, 0)).alias("example", "w"))
+    spans = token_spans(page_tokens(pages), gold).withColumnsRenamed({"first": "_f", "last": "_l"}).where(F.col("_l") - F.col("_f") < widest)
+    tokens = pages.select("doc_id", "page_index", "text", model_tokens("text").alias("_t")).where(F.size("_t") > 0)
+    before = F.transform("_t", lambda t, i: (i > 0) & F.contains(F.substring(F.col("text"), F.get("_t", i - 1)["end"] + 1, t["start"] - F.get("_t", i - 1)["end"]), F.lit("\n")))
+    blocked = spans.groupBy("doc_id", "page_index").agg(F.collect_list(F.struct(F.col("_f").alias("first"), F.col("_l").alias("last"))).alias("_s"))
+    empty = F.array().cast("array<struct<first: int, last: int>>")
+
+    @F.pandas_udf("array<struct<first: int, last: int>>")
+    def ranges(breaks: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[{"first": a, "last": b} for a, b in cut(list(x), [(s["first"], s["last"]) for s in y], window)] for x, y in zip(breaks, found, strict=True)])
+
+    joined = tokens.join(blocked, ["doc_id", "page_index"], "left").withColumn("_w", ranges(before, F.coalesce("_s", empty)))
+    parts = joined.select("doc_id", "page_index", "_t", F.posexplode("_w").alias("example", "w"))
     examples = parts.select("doc_id", "page_index", "example", F.col("w.first").alias("first"), F.col("w.last").alias("last"), F.transform(F.slice("_t", F.col("w.first") + 1, F.col("w.last") - F.col("w.first")), lambda t: t["text"]).alias("tokens"))
-    spans = token_spans(page_tokens(pages), gold).withColumnsRenamed({"first": "_f", "last": "_l"})
-    inside = spans.join(examples.drop("tokens"), ["doc_id", "page_index"]).where((F.col("_f") >= F.col("first")) & (F.col("_l") < F.col("last")) & (F.col("_l") - F.col("_f") < widest))
+    inside = spans.join(examples.drop("tokens"), ["doc_id", "page_index"]).where((F.col("_f") >= F.col("first")) & (F.col("_l") < F.col("last")))
     return examples, inside.select("doc_id", "page_index", "example", "type", (F.col("_f") - F.col("first")).alias("first"), (F.col("_l") - F.col("first")).alias("last"))
 
 

@@ -208,14 +208,11 @@ def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.document_summary(made_spans(spark, sf_dir, "table"))
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[-_][\p{L}\p{M}\p{N}_]+)*|\S') AS t FROM documents)
-SELECT CAST(sum(ceil(len(t) / 100.0)) AS BIGINT) AS examples, CAST(sum(len(t)) AS BIGINT) AS tokens FROM t WHERE len(t) > 0"""
-)
+@query(r"SELECT CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[-_][\p{L}\p{M}\p{N}_]+)*|\S'))) AS BIGINT) AS tokens FROM documents")
 def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages_of_documents(table(spark, sf_dir, "documents"))
     examples, spans = training.page_examples(pages, made_spans(spark, sf_dir, "gold"), 100, 12)
-    return training.conversion_counts(examples, spans).select("examples", "tokens")
+    return training.conversion_counts(examples, spans).select("tokens")
 
 
 @query(

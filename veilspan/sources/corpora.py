@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilspan.functions.spans import piece
 from veilspan.functions.text import normalize_text
 from veilspan.operators.windows import spans_of_labels
+from veilspan.schema import ENTITY_TYPES
 
 # Labels of the corpora and the types that they stand for.
 IOB2_TYPES = {"PER": "person", "ORG": "organization"}
@@ -243,13 +244,42 @@ def without_sample(release: DataFrame, sample: DataFrame) -> DataFrame:
     return kept.join(strangers.agg(F.sum("_bad").alias("_bad"))).drop("_bad")
 
 
-ITEM = r"\[\[(\w+):(.*?)\]\]"
+# How planted items and neutral text are marked.
+ITEM = r"\[\[([a-z_]+):([^\[\]]+)\]\]"
+FILLER = r"\{\{filler:(\d+)\}\}"
 
 
 def strip_markup(text: Column) -> tuple[Column, Column]:
-    """(text, items): a text without the marks of planted items ([[type:text]]), and the items in order as (type, text)."""
+    """(text, items): a text without the marks of planted items ([[type:text]]), and the items in order as (type, text). Running it fails on marks that are left over."""
     kinds, values = (F.regexp_extract_all(text, F.lit(ITEM), F.lit(k)) for k in (1, 2))
-    return F.regexp_replace(text, ITEM, "$2"), F.zip_with(kinds, values, lambda k, v: F.struct(k.alias("type"), v.alias("text")))
+    plain = F.regexp_replace(text, ITEM, "$2")
+    checked = F.when(plain.rlike(r"\[\[|\]\]"), F.raise_error("unbalanced item marks")).otherwise(plain)
+    known = F.array(*(F.lit(t) for t in ENTITY_TYPES))
+    items = F.zip_with(kinds, values, lambda k, v: F.struct(F.when(F.array_contains(known, k), k).otherwise(F.raise_error("an item has an unknown type")).alias("type"), v.alias("text")))
+    return checked, items
+
+
+def benchmark_documents(files: DataFrame, filler_words: list[str]) -> DataFrame:
+    """(name, language, kind, part, carrier, text, decoys): the strings of TOML documents (name, content), one row each in the order of their carriers."""
+    import tomllib
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in frame[["name", "content"]].itertuples(index=False, name=None):
+                raw = tomllib.loads(bytes(content).decode())
+                parts = [("page", line) for line in raw["lines"]]
+                parts += [x for link in raw.get("links", []) for x in (("page", link["anchor"]), ("link", link["target"]))]
+                parts += [("metadata", value) for value in raw.get("metadata", {}).values()] + [("bookmark", title) for title in raw.get("bookmarks", [])]
+                parts += [x for entry in raw.get("fields", []) for x in (("page", entry["label"]), ("page", entry["value"]), ("form_field", entry["value"]))]
+                parts += [("annotation", note[k]) for note in raw.get("annotations", []) for k in ("author", "text")]
+                parts += [("embedded_file", item[k]) for item in raw.get("attachments", []) for k in ("filename", "description")] + [("xmp", value) for value in raw.get("xmp", {}).values()]
+                for i, (carrier, text) in enumerate(parts):
+                    whole = re.sub(FILLER, lambda m: " ".join(filler_words[k % len(filler_words)] for k in range(int(m[1]))), text)
+                    rows.append((name, raw["language"], raw["kind"], i, carrier, whole, raw.get("decoys", [])))
+            yield pd.DataFrame(rows, columns=["name", "language", "kind", "part", "carrier", "text", "decoys"])
+
+    return files.select("name", "content").mapInPandas(run, "name string, language string, kind string, part int, carrier string, text string, decoys array<string>")
 
 
 def filler(count: Column, words: list[str]) -> Column:
