@@ -1,6 +1,9 @@
 """A training corpus from ``documents``: quality classifier, quality rules, near-duplicates, mixing, and byte-level BPE.
 
 Each stage works on all that the one before kept. All but the last return the columns of ``documents``.
+
+Nulls in any column, empty and very long texts, repeated rows and empty tables are what the stages' operators say of them: a null text counts as empty, so the quality
+rules reject it; a null in the metadata is a category of its own; of rows with one id near-duplicates keep one; rows without an id stay; a null source is a source.
 """
 
 from __future__ import annotations

@@ -65,6 +65,16 @@ def test_run(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[-1][2].collect()))
 
 
+def test_awkward_rows_through_all_stages(spark, awkward, empty):
+    for rows in (awkward, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, rows, SF)
+            assert found.columns == rows.columns
+            kept = found.collect()
+            assert not set(map(repr, kept)) - set(map(repr, rows.collect()))
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count()
+
+
 def test_registered():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {name.split("_")[0] + "_" for name in names} and "pipeline" in names

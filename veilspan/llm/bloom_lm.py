@@ -279,7 +279,7 @@ def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_segments(blobs: DataFrame, least: int) -> DataFrame:
-    """(segment, bits, entries, rests): each segment's filter, and the discounted mass of its first words as packed (half key, mass)."""
+    """(segment, bits, first, mass): each segment's filter, and its first words (half keys) with the discounted mass of their pairs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _grouped(batches):
@@ -360,8 +360,8 @@ class Model:
         return self.n + 0.5 * (self.v + 1)
 
 
-def least_pair(blobs: DataFrame, room: float) -> int:
-    """2, or the smallest count from which all pairs fit the filter (by how many pairs have each count, at most)."""
+def least_pair(room: float) -> int:
+    """The least count of a pair that the filter holds: 2, and one more for each doubling of the expected bits beyond ``MOST_BITS``."""
     return 2 if room <= MOST_BITS else 2 + int(np.ceil(np.log2(room / MOST_BITS)))
 
 
@@ -461,7 +461,7 @@ def train(chosen: DataFrame) -> tuple[Model, DataFrame]:
     n_texts = ends.n_train if ends else 0
 
     n_segments = max(8, -(-n // SEGMENT_ENTRIES))
-    least_count = least_pair(None, 0.25 * n * BITS_PER_KEY)
+    least_count = least_pair(0.25 * n * BITS_PER_KEY)
     pairs = staged(pair_segments(pair_blobs(chosen, n_segments), least_count), "pairs")
     masses = pairs.select(F.explode(F.arrays_zip("first", "mass")).alias("x")).groupBy(F.shiftleft(F.col("x.first"), 32).alias("key")).agg(F.round(F.sum("x.mass")).cast("long").alias("n")).where("n > 0")
     n_words = max(1, -(-v // SEGMENT_WORDS))

@@ -26,7 +26,7 @@ from veilspan.llm.base import groups_by_size, map_batches, pick, resident
 
 CHUNK_CHARS = 2_000_000
 MOST_PAIRS = 1_000_000
-REMEMBERED_CHUNKS = 800_000
+REMEMBERED_CHUNKS = 1_200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -37,7 +37,7 @@ FRAME_IDS = 1 << 20
 LEVEL = 3
 END_ID = 2
 CHUNK_CHARS = 2_000_000
-REMEMBERED_CHUNKS = 800_000
+REMEMBERED_CHUNKS = 1_200_000
 LAID_CHUNKS = 2_000
 NO_ID = -(1 << 63)
 
