@@ -44,7 +44,7 @@ def propagate_occurrences(pages: DataFrame, entities: DataFrame, marked: DataFra
     pairs = pages.select("doc_id", "page_index", F.col("text").alias("page")).join(asked, "doc_id")
     # A cheap test first: the first word must stand somewhere on the page.
     pairs = pairs.where(F.contains("page", F.regexp_extract("marked", r"(?U)\S+", 0)))
-    found = pairs.withColumn("_spans", matches("page", words_pattern(F.col("marked")))).where(F.size("_spans") > 0)
+    found = pairs.withColumn("_spans", matches("page", words_pattern(F.col("marked"))))
     rows = exploded(found.withColumn("kind", F.col("type")), "_spans", ["doc_id", "page_index", "kind", "place"]).select("doc_id", "page_index", F.col("kind").alias("type"), "place", "start", "end", "text")
     here = lambda b: (F.col("a.doc_id") == F.col(f"{b}.doc_id")) & (F.col("a.page_index") == F.col(f"{b}.page_index"))
     cols = lambda a, b: (F.col(f"{a}.start"), F.col(f"{a}.end"), F.col(f"{b}.start"), F.col(f"{b}.end"))
@@ -69,8 +69,10 @@ def extend_with_titles(pages: DataFrame, entities: DataFrame) -> DataFrame:
 
     Two persons that would meet only when both are widened: the earlier one is widened, the later one isn't.
     """
-    entities = with_places(entities).withColumn("_n", F.monotonically_increasing_id())
-    persons = entities.where("type = 'person' AND surface_id IS NULL").select("_n", "doc_id", "page_index", "start", "end")
+    # An entity's name is what it is, so a step that runs again names it alike; entities that are alike in all collide with one another.
+    entities = with_places(entities)
+    entities = entities.withColumn("_n", F.xxhash64("doc_id", "page_index", "surface_id", "type", "start", "end"))
+    persons = entities.where("type = 'person' AND surface_id IS NULL").groupBy("_n", "doc_id", "page_index", "start", "end").count().where("count = 1").drop("count")
     joined = persons.join(pages.select("doc_id", "page_index", F.col("text").alias("page")), ["doc_id", "page_index"])
     new_start, new_end = widened_over_titles(F.col("page"), F.col("start"), F.col("end"))
     wide = joined.select("_n", "doc_id", "page_index", "start", "end", new_start.cast("int").alias("new_start"), new_end.cast("int").alias("new_end"), "page")
