@@ -21,6 +21,13 @@ def test_page_without_marks_by_its_lines():
     assert len(found) == 5 and found[0].endswith("0") and found[-1].endswith("4")
 
 
+def test_frames_are_no_furniture():
+    inner = "<div class='entry'>" + "Some long text of the page itself, in one block. " * 3 + "</div>"
+    for frame in ("page with-sidebar", "has-sidebar", "content no-ads", "wrap"):
+        assert H.extract(f"<div class='{frame}'>{inner}<div class='sidebar-box'>{'Other things to read here. ' * 6}</div></div>").startswith("Some long text")
+        assert "Other things" not in H.extract(f"<div class='{frame}'>{inner}<div class='sidebar-box'>{'Other things to read here. ' * 6}</div></div>")
+
+
 def test_broken_markup():
     assert H.extract("<article><p>a<b>b<p>c</article>") == "ab\n\nc"
     assert H.extract("1 < 2 & 3") == "1 < 2 & 3"

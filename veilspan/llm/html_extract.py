@@ -41,6 +41,9 @@ FURNITURE_WORDS = frozenset(
     "contentinfo complementary skip copyright".split()
 )
 HEADER_WORDS = frozenset("header topbar".split())
+#: A class of its own among these names a page's frame, whatever else stands beside it; a class that begins with one of the last says what the frame has.
+FRAME_CLASSES = frozenset("page main layout site content article post".split())
+MODIFIERS = frozenset("has with no without is not".split())
 
 _PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -63,11 +66,12 @@ def _is_furniture(tag: str, attributes: str, in_content: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    for marks in _MARKS.finditer(attributes):
-        words = set(_WORDS.findall((marks[1] or marks[2] or marks[3] or "").lower()))
-        if words & FURNITURE_WORDS or (not in_content and words & HEADER_WORDS):
-            return True
-    return False
+    unwanted = FURNITURE_WORDS if in_content else FURNITURE_WORDS | HEADER_WORDS
+    names = [name for marks in _MARKS.finditer(attributes) for name in (marks[1] or marks[2] or marks[3] or "").lower().split()]
+    if FRAME_CLASSES.intersection(names):
+        return False
+    split = [_WORDS.findall(name) for name in names]
+    return any(words and words[0] not in MODIFIERS and not unwanted.isdisjoint(words) for words in split)
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
