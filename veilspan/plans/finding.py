@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import checksums as C
 from veilspan.operators import finders
-from veilspan.operators.detect import detect, pages_of_documents, recognised_language
+from veilspan.operators.detect import SMALL_WORDS, detect, pages_of_documents, recognised_language
 from veilspan.plans.base import fixture, h, query, sql_h, sql_rows, table
 
 # RE2 has no look-around: guards are consumed, and every white-space character is doubled so that neighbours don't share one.
@@ -250,7 +250,17 @@ def finder_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", F.explode(both).alias("s")).select("case_id", F.col("s.text").alias("found"))
 
 
-@query()
+def _sql_among(tag: str) -> str:
+    return f"len([x FOR x IN w IF x IN ({', '.join(repr(x) for x in SMALL_WORDS[tag].split())})])"
+
+
+@query(
+    r"""WITH t AS (SELECT lang, length(regexp_replace(substr(text, 1, 20000), '\P{L}', '', 'g')) AS letters, regexp_split_to_array(lower(substr(text, 1, 20000)), '[^\p{L}]+') AS w FROM documents),
+"""
+    + f"c AS (SELECT lang, letters, {', '.join(f'{_sql_among(tag)} AS {tag}_' for tag in SMALL_WORDS)} FROM t), s AS (SELECT *, {' + '.join(f'{tag}_' for tag in SMALL_WORDS)} AS total FROM c)"
+    + """
+SELECT lang, CASE WHEN letters >= 100 AND total > 0 THEN CASE WHEN cs_ >= 0.9 * total THEN 'cs' WHEN sk_ >= 0.9 * total THEN 'sk' WHEN en_ >= 0.9 * total THEN 'en' END END AS found, count(*) AS n FROM s GROUP BY ALL"""
+)
 def language_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("lang", recognised_language(F.col("text")).alias("found")).groupBy("lang", "found").agg(F.count("*").alias("n"))

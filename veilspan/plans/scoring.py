@@ -13,16 +13,27 @@ from veilspan.plans.base import TYPES, fixture, h, made_spans, query, sql_h, sql
 
 P, G = sql_spans("pred"), sql_spans("gold")
 ALL_TYPES = ", ".join(f"'{t}'" for t in TYPES)
-KINDS = f"""p AS (SELECT DISTINCT doc_id, start, "end", type FROM {P} UNION SELECT DISTINCT doc_id, start, "end", 'any' FROM {P}),
-g AS (SELECT DISTINCT doc_id, start, "end", type FROM {G} UNION SELECT DISTINCT doc_id, start, "end", 'any' FROM {G})"""
-MATCHED = f"""{KINDS},
-pm AS (SELECT p.doc_id, p.type, count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.type = p.type AND g.start = p.start AND g."end" = p."end") THEN 1 ELSE 0 END) AS s,
-  sum(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.type = p.type AND g.start < p."end" AND p.start < g."end") THEN 1 ELSE 0 END) AS o FROM p GROUP BY ALL),
-gm AS (SELECT g.doc_id, g.type, count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM p WHERE g.doc_id = p.doc_id AND g.type = p.type AND g.start = p.start AND g."end" = p."end") THEN 1 ELSE 0 END) AS s,
-  sum(CASE WHEN EXISTS (SELECT 1 FROM p WHERE g.doc_id = p.doc_id AND g.type = p.type AND g.start < p."end" AND p.start < g."end") THEN 1 ELSE 0 END) AS o FROM g GROUP BY ALL),
-counts AS (SELECT coalesce(pm.doc_id, gm.doc_id) AS doc_id, m.mode, coalesce(pm.type, gm.type) AS type, coalesce(pm.n, 0) AS predicted, CAST(coalesce(CASE WHEN m.mode = 'strict' THEN pm.s ELSE pm.o END, 0) AS BIGINT) AS predicted_matched,
-  coalesce(gm.n, 0) AS gold, CAST(coalesce(CASE WHEN m.mode = 'strict' THEN gm.s ELSE gm.o END, 0) AS BIGINT) AS gold_matched
-  FROM pm FULL JOIN gm ON pm.doc_id = gm.doc_id AND pm.type = gm.type, (VALUES ('strict'), ('partial')) AS m(mode))"""
+
+
+def sql_counts(predicted: str, name: str = "") -> str:
+    """CTEs that end in ``counts<name>``: the tallies of made-up predictions against the gold spans."""
+    p, g, pm, gm = (f"{x}{name}" for x in ("p", "g", "pm", "gm"))
+    same = f"{g}.doc_id = {p}.doc_id AND {g}.type = {p}.type"
+    strict, partial = f'{same} AND {g}.start = {p}.start AND {g}."end" = {p}."end"', f'{same} AND {g}.start < {p}."end" AND {p}.start < {g}."end"'
+    side = lambda own, other: (
+        f"SELECT {own}.doc_id, {own}.type, count(*) AS n, sum(CASE WHEN EXISTS (SELECT 1 FROM {other} WHERE {strict}) THEN 1 ELSE 0 END) AS s, "
+        f"sum(CASE WHEN EXISTS (SELECT 1 FROM {other} WHERE {partial}) THEN 1 ELSE 0 END) AS o FROM {own} GROUP BY ALL"
+    )
+    return f"""{p} AS (SELECT DISTINCT doc_id, start, "end", type FROM {predicted} UNION SELECT DISTINCT doc_id, start, "end", 'any' FROM {predicted}),
+{g} AS (SELECT DISTINCT doc_id, start, "end", type FROM {G} UNION SELECT DISTINCT doc_id, start, "end", 'any' FROM {G}),
+{pm} AS ({side(p, g)}), {gm} AS ({side(g, p)}),
+counts{name} AS (SELECT coalesce({pm}.doc_id, {gm}.doc_id) AS doc_id, m.mode, coalesce({pm}.type, {gm}.type) AS type, coalesce({pm}.n, 0) AS predicted,
+  CAST(coalesce(CASE WHEN m.mode = 'strict' THEN {pm}.s ELSE {pm}.o END, 0) AS BIGINT) AS predicted_matched, coalesce({gm}.n, 0) AS gold,
+  CAST(coalesce(CASE WHEN m.mode = 'strict' THEN {gm}.s ELSE {gm}.o END, 0) AS BIGINT) AS gold_matched
+  FROM {pm} FULL JOIN {gm} ON {pm}.doc_id = {gm}.doc_id AND {pm}.type = {gm}.type, (VALUES ('strict'), ('partial')) AS m(mode))"""
+
+
+MATCHED = sql_counts(P)
 
 
 def _counts(spark: SparkSession, sf_dir: str, salt: str = "pred") -> DataFrame:
@@ -108,10 +119,22 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mode", "type", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query()
+SUMS = "sum({w}predicted) AS p, sum({w}predicted_matched) AS pm, sum({w}gold) AS g, sum({w}gold_matched) AS gm"
+
+
+@query(
+    f"""WITH {sql_counts(P, '1')}, {sql_counts(sql_spans('other'), '2')}, {DRAWN},
+d1 AS (SELECT draw, type, {F2} AS f FROM (SELECT draw, type, {SUMS.format(w='weight * ')} FROM counts1 JOIN drawn USING (doc_id) WHERE mode = 'partial' GROUP BY ALL)),
+d2 AS (SELECT draw, type, {F2} AS f FROM (SELECT draw, type, {SUMS.format(w='weight * ')} FROM counts2 JOIN drawn USING (doc_id) WHERE mode = 'partial' GROUP BY ALL)),
+w1 AS (SELECT type, {F2} AS f FROM (SELECT type, {SUMS.format(w='')} FROM counts1 WHERE mode = 'partial' GROUP BY ALL)), w2 AS (SELECT type, {F2} AS f FROM (SELECT type, {SUMS.format(w='')} FROM counts2 WHERE mode = 'partial' GROUP BY ALL)),
+x AS (SELECT type, d2.f - d1.f AS d FROM d1 JOIN d2 USING (draw, type) WHERE d2.f - d1.f IS NOT NULL)
+SELECT type, 'f2' AS metric, round(any_value(w2.f - w1.f), 9) AS delta, round(quantile_disc(d, 0.025), 9) AS low, round(quantile_disc(d, 0.975), 9) AS high,
+  round(least(1.0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END))), 9) AS p_value
+FROM x JOIN w1 USING (type) JOIN w2 USING (type) GROUP BY type"""
+)
 def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (_counts(spark, sf_dir, salt).where("mode = 'partial'").drop("mode") for salt in ("pred", "other"))
-    return metrics.paired_differences(a, b, _drawn(spark, sf_dir), ["type"], metrics.COUNTS, {"f2": metrics.f_beta(2.0)})
+    return metrics.paired_differences(a, b, _drawn(spark, sf_dir), ["type"], metrics.COUNTS, {"f2": metrics.f_beta(2.0)}).select("type", "metric", *(F.round(c, 9).alias(c) for c in ("delta", "low", "high", "p_value")))
 
 
 @query(f"WITH {DRAWN} SELECT draw, doc_id, weight FROM drawn")
