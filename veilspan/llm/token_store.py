@@ -217,6 +217,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, id
         if writer is not None:
             writer.close()
             sink.close()
+            if system.get_file_info(path).type != fs.FileType.NotFound:
+                system.delete_file(path)  # of an attempt that was lost; some stores don't rename onto a file
             system.move(attempt, path)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
