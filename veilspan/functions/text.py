@@ -48,7 +48,7 @@ def text_key(text: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     r"""The text as a literal for a pattern."""
-    return F.concat(F.lit("\\Q"), F.regexp_replace(text, r"\\E", r"\\\\E\\\\\\\\E\\\\Q"), F.lit("\\E"))
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def words_pattern(text: Column, whole_words: bool = True) -> Column:
