@@ -65,3 +65,22 @@ def test_alignment(spark):
 
 def test_render_odd_vectors():
     assert C.render(None) == C.render([]) == b"" and len(C.render([float("nan"), 1.0, 0.0])) == 3 * 512 * 2
+
+
+def test_recall_against_brute_force(spark):
+    draw = np.random.default_rng(9)
+    media, n = [], 40
+    for k in range(n):
+        sound = np.frombuffer(C.render(draw.normal(0, 1, 64).tolist()), "<i2").astype(float)
+        other = np.roll(sound + draw.normal(0, draw.uniform(300, 9000), len(sound)), int(draw.integers(0, 256)))[C.HOP * int(draw.integers(0, 20)) :]
+        media += [(100 * k, bytearray(sound.astype("<i2").tobytes())), (100 * k + 1, bytearray(other.clip(-32768, 32767).astype("<i2").tobytes()))]
+    rows = spark.createDataFrame(media, "id long, media binary")
+    prints = {i: C.fingerprint(bytes(m)) for i, m in media}
+    want = set()
+    for a in range(0, 100 * n, 100):
+        for b, other in prints.items():
+            best = min((e / (32 * m), -o) for o in range(-len(other) // 2, len(other) // 2) for e, m in [C.bit_errors(prints[a], other, o)] if m >= C.LEAST_OVERLAP * min(len(prints[a]), len(other)))
+            if a != b and best[0] <= C.MAX_ERRORS:
+                want.add((a, b))
+    found = {(r.id, x.class_id) for r in C.align(C.fingerprints(rows, "id", "media"), rows.where("id % 100 = 0")).collect() for x in r.links or []}
+    assert len(want) >= 15 and found <= want and len(found) >= 0.9 * len(want)

@@ -31,7 +31,7 @@ WIDTH = 16
 FILTERS = 16
 #: Bounds of a ratio's four ranges, by the filter's shape; each range is about as frequent in music of single notes.
 CUTS = [(-1.1, -0.5, -0.2), (-0.55, 0.05, 0.7), (-0.24, 0.0, 0.24), (-0.54, 0.0, 0.54), (-1.3, -0.55, 0.05), (-0.45, -0.2, -0.05)]
-MAX_ERRORS = 0.15  # share of differing bits in an overlap
+MAX_ERRORS = 0.07  # share of differing bits in an overlap; up to it, two equal integers in a row are all but sure
 LEAST_OVERLAP = 0.5  # of the shorter recording
 
 
