@@ -26,19 +26,31 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 def cut(breaks: list[bool], spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     """Ranges of at most ``most`` tokens, never inside a span (first, last) that fits: after the last line break in a range's second half, else at the last free place.
 
-    ``breaks`` tells for each token whether a line break stands before it.
+    ``breaks`` tells for each token whether a line break stands before it. Where the last free place and the last free break stand is known for every token beforehand.
     """
-    inside = {i for first, last in spans for i in range(first + 1, last + 1)}
-    out, first, n = [], 0, len(breaks)
-    while first < n:
-        end = min(first + most, n)
-        if end < n:
-            free = [i for i in range(end, first, -1) if i not in inside]
-            at_break = [i for i in free if i > first + most // 2 and breaks[i]]
-            end = (at_break or free or [end])[0]
-        out.append((first, end))
-        first = end
-    return out
+    n = len(breaks)
+    depth = [0] * (n + 1)  # how many spans a cut before a token would part
+    for first, last in spans:
+        depth[first + 1] += 1
+        depth[last + 1] -= 1
+    last_free, last_break, open_spans, free, line = [], [], 0, -1, -1
+    for i in range(n):
+        open_spans += depth[i]
+        if not open_spans:
+            free = i
+            line = i if breaks[i] else line
+        last_free.append(free)
+        last_break.append(line)
+    out, at = [], 0
+    while at + most < n:
+        limit = at + most
+        if last_break[limit] > at + most // 2:
+            stop = last_break[limit]
+        else:
+            stop = last_free[limit] if last_free[limit] > at else limit
+        out.append((at, stop))
+        at = stop
+    return [*out, (at, n)] if n else []
 
 
 def page_examples(pages: DataFrame, gold: DataFrame, window: int, widest: int) -> tuple[DataFrame, DataFrame]:

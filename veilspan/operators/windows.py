@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,21 +71,16 @@ def model_entities(pages: DataFrame, spans: DataFrame, labels: dict[str, str]) -
 
 
 def word_windows(sizes: list[int], body: int, overlap: int = 64) -> list[tuple[int, int]]:
-    """Ranges of words whose pieces fit ``body``, each repeating at most ``overlap`` pieces of the one before; a longer word stands alone."""
+    """Ranges of words whose pieces fit ``body``, each repeating at most ``overlap`` pieces of the one before; a longer word stands alone.
+
+    Sums of sizes tell by bisection where a range ends and where the next one begins.
+    """
+    sums, n, at = [0, *accumulate(sizes)], len(sizes), 0
     out: list[tuple[int, int]] = []
-    first, n = 0, len(sizes)
-    while first < n:
-        end, total = first + 1, sizes[first]
-        while end < n and total + sizes[end] <= body:
-            total += sizes[end]
-            end += 1
-        out.append((first, end))
-        if end == n:
-            break
-        back = end
-        while back - 1 > first and sum(sizes[back - 1 : end]) <= overlap:
-            back -= 1
-        first = back
+    while at < n:
+        stop = max(bisect_right(sums, sums[at] + body) - 1, at + 1)
+        out.append((at, stop))
+        at = n if stop == n else max(bisect_left(sums, sums[stop] - overlap), at + 1)
     return out
 
 
@@ -124,26 +122,20 @@ def bio_labels(types: list[str]) -> list[str]:
 def nested_entities(labels: list[list[tuple[str, float]]]) -> list[tuple[str, int, int, float]]:
     """(type, first, last, score) of a sentence's nested labels, outermost first for each token; the score is the least of the label's.
 
-    A label goes on with the entity at its depth if it is an I- label of that type; otherwise it closes that one and all inside it.
+    Each depth is a question of islands: a token goes on with the one before it where both have a label at that depth, the label is an I- one of the same type, and all
+    outer depths go on too. Of spans alike in type and place the outer one counts.
     """
-    out: dict[tuple[str, int, int], float] = {}
-    stack: list[list] = []
-
-    def close(depth: int, last: int) -> None:
-        while len(stack) > depth:
-            kind, first, score = stack.pop()
-            out.setdefault((kind, first, last), score)
-
-    for i, own in enumerate(labels):
-        close(len(own), i - 1)
-        for depth, (label, p) in enumerate(own):
-            if depth < len(stack) and label[0] == "I" and stack[depth][0] == label[2:]:
-                stack[depth][2] = min(stack[depth][2], p)
-            else:
-                close(depth, i - 1)
-                stack.append([label[2:], i, p])
-    close(0, len(labels) - 1)
-    return sorted(((kind, first, last, score) for (kind, first, last), score in out.items()), key=lambda x: (x[1], -x[2]))
+    n = len(labels)
+    found: dict[tuple[str, int, int], float] = {}
+    goes_on = [i > 0 for i in range(n)]
+    for depth in range(max(map(len, labels), default=0)):
+        own = [x[depth] if len(x) > depth else None for x in labels]
+        goes_on = [goes_on[i] and own[i] is not None and own[i - 1] is not None and own[i][0] == "I-" + own[i - 1][0][2:] for i in range(n)]
+        for first in range(n):
+            if own[first] is not None and not goes_on[first]:
+                last = next((i for i in range(first, n - 1) if not goes_on[i + 1]), n - 1)
+                found.setdefault((own[first][0][2:], first, last), min(p for _, p in own[first : last + 1]))
+    return sorted(((kind, first, last, score) for (kind, first, last), score in found.items()), key=lambda x: (x[1], -x[2]))
 
 
 def address_runs(parts: DataFrame, tokens: DataFrame, anchors: list[str]) -> DataFrame:
