@@ -3,7 +3,7 @@ import __spark_entry__ as entry
 
 def test_entry(spark):
     found = entry.entry(spark)
-    assert set(found.columns) == {"lang", "type", "n"} and found.count() > 0
+    assert set(found.columns) == {"lang", "type", "n", "documents"} and found.count() > 0
 
 
 def test_names():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import checksums as C
 from veilspan.operators import finders
 from veilspan.operators.detect import SMALL_WORDS, detect, pages_of_documents, recognised_language
-from veilspan.plans.base import fixture, h, query, sql_h, sql_rows, table
+from veilspan.plans.base import SQL, fixture, h, query, sql_h, sql_rows, table
 
 # RE2 has no look-around: guards are consumed, and every white-space character is doubled so that neighbours don't share one.
 SPACED = r"regexp_replace(text, '(\s)', '\1\1', 'g')"
@@ -114,12 +114,14 @@ def finder_all_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS (SELECT lang, unnest({SQL_EMAILS}) AS m FROM documents) SELECT lang, 'email' AS type, count(*) AS n FROM e GROUP BY lang"""
+    f"""WITH emails AS (SELECT doc_id, unnest({SQL_EMAILS}) AS m FROM documents), cards AS ({SQL['finder_card_luhn']}), phones AS ({SQL['finder_phone_nanp']}),
+f AS (SELECT doc_id, 'email' AS type FROM emails UNION ALL SELECT doc_id, 'credit_card' FROM cards UNION ALL SELECT doc_id, 'phone' FROM phones)
+SELECT lang, type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM f JOIN documents USING (doc_id) GROUP BY lang, type"""
 )
 def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = detect(pages_of_documents(docs), F.col("lang"), only=[finders.find_emails]).join(docs.select("doc_id", "lang"), "doc_id")
-    return found.groupBy("lang", "type").agg(F.count("*").alias("n"))
+    found = detect(pages_of_documents(docs), F.col("lang"), only=[finders.find_emails, finders.find_card_numbers, finders.find_nanp_phone_numbers])
+    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
 @query(
