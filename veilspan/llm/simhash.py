@@ -16,6 +16,7 @@ components by alternating star contraction, which keeps every step distributed a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -97,6 +98,12 @@ class PivotTables:
             yield key
 
 
+@lru_cache(maxsize=1)
+def pivot_tables() -> PivotTables:
+    """The tables, made once in a worker."""
+    return PivotTables()
+
+
 def linked_stars(fps: np.ndarray, tables: PivotTables) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest fingerprint of its component) for the links among ``fps``; those without links are left out."""
     at = tables.coordinates(fps)
@@ -132,7 +139,7 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that have the components of all links within ``RADIUS`` bits."""
 
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tables = PivotTables()
+        tables = pivot_tables()
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         keys = np.concatenate(list(tables.table_keys(fps)))
         copies = len(keys) // max(len(fps), 1)
@@ -150,7 +157,7 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
         rows = rows.select("key", "fp")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = PivotTables()
+        tables = pivot_tables()
         held_key, held = None, []
         found_a: list[np.ndarray] = []
         found_b: list[np.ndarray] = []
