@@ -84,3 +84,32 @@ def test_recall_against_brute_force(spark):
                 want.add((a, b))
     found = {(r.id, x.class_id) for r in C.align(C.fingerprints(rows, "id", "media"), rows.where("id % 100 = 0")).collect() for x in r.links or []}
     assert len(want) >= 15 and found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_recall_up_to_fifteen_percent(spark):
+    media, n = [], 60
+    for k in range(n):
+        draw = np.random.default_rng(k)
+        sound = np.frombuffer(C.render(draw.normal(0, 1, 64).tolist()), "<i2").astype(float)
+        other = np.roll(sound + draw.normal(0, draw.uniform(6000, 20000), len(sound)), int(draw.integers(0, 256)))[C.HOP * int(draw.integers(0, 50)) :]
+        media += [(100 * k, bytearray(sound.astype("<i2").tobytes())), (100 * k + 1, bytearray(other.clip(-32768, 32767).astype("<i2").tobytes()))]
+    rows = spark.createDataFrame(media, "id long, media binary")
+    prints = {i: C.fingerprint(bytes(m)) for i, m in media}
+    want = {}
+    for a in range(0, 100 * n, 100):
+        for b, other in prints.items():
+            tried = ((e / (32 * m), -m, abs(o), o) for o in range(-len(prints[a]), len(other)) for e, m in [C.bit_errors(prints[a], other, o)] if m and m >= C.LEAST_OVERLAP * min(len(prints[a]), len(other)))
+            best = min(tried)
+            if a != b and best[0] <= 0.15:
+                want[a, b] = best[0]
+    # Queries in several blocks find the same.
+    found = {(r.id, x.class_id): x.errors for r in C.align(C.fingerprints(rows, "id", "media"), rows.where("id % 100 = 0"), query_places=1_000).collect() for x in r.links or []}
+    assert C.MAX_ERRORS == 0.15 and sum(e > 0.07 for e in want.values()) >= 15
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_every_place_of_a_query_counts():
+    x, y, z = (np.random.default_rng(k).integers(0, 1 << 32, 40, dtype=np.uint32) for k in (1, 2, 3))
+    whole, excerpt = np.concatenate((x, y, x, z)), np.concatenate((x, z))
+    a, b, offset, errors, overlap = C.QueryIndex([whole]).search([excerpt], 0.15, 0.5)
+    assert (a.tolist(), b.tolist(), offset.tolist(), errors.tolist(), overlap.tolist()) == ([0], [0], [-80], [0], [80])

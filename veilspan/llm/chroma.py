@@ -4,15 +4,17 @@ A recording (PCM, or a WAV file) is cut into overlapping frames; each frame's sp
 normalised. Filters of six shapes are laid over the frames by an integral image: each compares the sums of two areas, and the logarithm
 of their ratio falls into one of four ranges, written as two bits. Sixteen filters give an integer of 32 bits for each position.
 
-Recordings with one fingerprint form a class. Queries meet the other classes through two integers in a row that are equal: a histogram of
-offsets is built from all such places of a pair, and the share of differing bits over the whole overlap at the best offset decides. Recordings without
-any two equal integers in a row don't meet.
+Recordings with one fingerprint form a class. Queries meet the other classes wherever an integer of one differs from one of the other in at most
+``NEAR_BITS`` bits: such integers agree in one half of 16 bits but for a bit, so the queries' integers stand in a table for each half. Every offset at which a
+pair meets is verified over the whole overlap, and that with the least share of differing bits decides. Recordings without such a place don't meet.
+Queries go to the workers in blocks of bounded size, so nothing is shuffled to search.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import map_batches, pick, staged
+from veilspan.llm.base import groups_by_size, map_batches, pick, resident, staged
 
 RATE, FRAME, HOP = 5512, 1024, 256
 LOWEST, HIGHEST = 60.0, 2600.0
@@ -31,8 +33,11 @@ WIDTH = 16
 FILTERS = 16
 #: Bounds of a ratio's four ranges, by the filter's shape; each range is about as frequent in music of single notes.
 CUTS = [(-1.1, -0.5, -0.2), (-0.55, 0.05, 0.7), (-0.24, 0.0, 0.24), (-0.54, 0.0, 0.54), (-1.3, -0.55, 0.05), (-0.45, -0.2, -0.05)]
-MAX_ERRORS = 0.07  # share of differing bits in an overlap; up to it, two equal integers in a row are all but sure
+MAX_ERRORS = 0.15  # share of differing bits in an overlap
+NEAR_BITS = 2  # of a place's integers; the halves' tables hold up to three
 LEAST_OVERLAP = 0.5  # of the shorter recording
+QUERY_PLACES = 2_000_000  # integers of the queries of a block
+AT_ONCE = 1 << 20  # comparisons
 
 
 def samples(media: bytes | None, rate: int = RATE) -> np.ndarray:
@@ -142,46 +147,127 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[first:last] ^ b[first + offset : last + offset]).sum()), last - first
 
 
-def align(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) of each of ``counts`` places from ``starts`` on, for all rows, about ``AT_ONCE`` at once; a row may come in parts."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    for begin in range(0, total, AT_ONCE):
+        at = np.arange(begin, min(begin + AT_ONCE, total))
+        first, last = np.searchsorted(ends, at[[0, -1]], side="right")
+        inside = np.diff(np.minimum(np.maximum(ends[first : last + 1], begin), at[-1] + 1), prepend=begin)
+        rows = np.repeat(np.arange(first, last + 1), inside)
+        yield rows, starts[rows] + at - (ends[rows] - counts[rows])
+
+
+class QueryIndex:
+    """The integers of some fingerprints, by each half of 16 bits."""
+
+    FLIPS = np.append(0, 1 << np.arange(16))
+
+    def __init__(self, prints: list[np.ndarray]) -> None:
+        self.lengths = np.array([len(x) for x in prints], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.values = np.concatenate([*prints, np.zeros(0, np.uint32)]).astype(np.uint32)
+        self.tables = []
+        for shift in (16, 0):
+            half = (self.values >> np.uint32(shift)) & np.uint32(0xFFFF)
+            order = np.argsort(half, kind="stable")
+            self.tables.append((shift, order, np.searchsorted(half[order], np.arange((1 << 16) + 1))))
+
+    def meetings(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in ``values``, place among the queries' integers) of all that differ in at most ``NEAR_BITS`` bits; some come twice."""
+        for shift, order, bounds in self.tables:
+            halves = ((values >> np.uint32(shift)) & np.uint32(0xFFFF)).astype(np.int64)[:, None] ^ self.FLIPS
+            first = bounds[halves].ravel()
+            for rows, at in _ragged(first, bounds[halves + 1].ravel() - first):
+                place, met = rows // len(self.FLIPS), order[at]
+                near = np.bitwise_count(values[place] ^ self.values[met]) <= NEAR_BITS
+                yield place[near], met[near]
+
+    def search(self, prints: list[np.ndarray], max_errors: float, least_overlap: float) -> tuple[np.ndarray, ...]:
+        """(query, print, offset, errors, overlap) of the best offset of each pair that aligns; offset: positions by which the print starts later."""
+        lengths = np.array([len(x) for x in prints], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        values = np.concatenate([*prints, np.zeros(0, np.uint32)]).astype(np.uint32)
+        owner, query = np.repeat(np.arange(len(prints)), lengths), np.repeat(np.arange(len(self.lengths)), self.lengths)
+        found = [np.zeros((0, 3), np.int64)]
+        for place, met in self.meetings(values):
+            b, a = owner[place], query[met]
+            offset = (place - starts[b]) - (met - self.starts[a])
+            overlap = np.minimum(self.lengths[a], lengths[b] - offset) - np.maximum(0, -offset)
+            enough = overlap >= least_overlap * np.minimum(self.lengths[a], lengths[b])
+            found.append(_distinct(np.stack((a, b, offset), axis=1)[enough]))
+        a, b, offset = _distinct(np.concatenate(found)).T
+        first = np.maximum(0, -offset)
+        overlap = np.minimum(self.lengths[a], lengths[b] - offset) - first
+        errors = np.zeros(len(a), np.int64)
+        for rows, at in _ragged(first, overlap):
+            differ = np.bitwise_count(self.values[self.starts[a[rows]] + at] ^ values[starts[b[rows]] + at + offset[rows]])
+            errors[rows[0] : rows[-1] + 1] += np.bincount(rows - rows[0], weights=differ).astype(np.int64)
+        good = np.flatnonzero(errors <= max_errors * 32 * overlap)
+        a, b, offset, errors, overlap = (x[good] for x in (a, b, offset, errors, overlap))
+        order = np.lexsort((offset, np.abs(offset), -overlap, errors / (32.0 * np.maximum(overlap, 1)), b, a))
+        a, b, offset, errors, overlap = (x[order] for x in (a, b, offset, errors, overlap))
+        best = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+        return tuple(x[best] for x in (a, b, offset, errors, overlap))
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    if not len(rows):
+        return rows
+    least = rows.min(axis=0)
+    _, b, c = (rows.max(axis=0) - least + 1).tolist()
+    packed = np.unique(((rows[:, 0] - least[0]) * b + rows[:, 1] - least[1]) * c + rows[:, 2] - least[2])
+    return np.stack((packed // (b * c), packed // c % b, packed % c), axis=1) + least
+
+
+def align(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS, least_overlap: float = LEAST_OVERLAP, query_places: int = QUERY_PLACES) -> DataFrame:
     """(id, n_integers, digest, class_id, links array<struct<class_id, offset, errors, overlap>>): a row for each row of ``prints`` (id, fingerprint).
 
     ``class_id`` is the smallest id with the same fingerprint. The classes of ``queries`` (id) are searched for among all classes; ``links`` holds, for each member
     of such a class, the other classes that it aligns with, and is null for other rows. ``offset``: positions by which the other one starts later. Empty fingerprints form one class
-    without links. Copies are not expanded: a class meets a class.
+    without links. Copies are not expanded: a class meets a class. Classes are read once for each block of queries of ``query_places`` integers.
     """
+    spark = prints.sparkSession
     digest = F.sha2(F.array_join("fingerprint", ",").cast("binary"), 256)
     named = staged(prints.select("id", "fingerprint", F.size("fingerprint").alias("n_integers"), digest.alias("digest")), "prints")
     classes = staged(named.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fingerprint").alias("fingerprint"), F.max("n_integers").alias("n")), "classes")
     asked = named.join(queries.select("id").distinct(), "id", "left_semi").select("digest").distinct()
     chosen = staged(classes.join(asked, "digest", "left_semi").select("class_id", "fingerprint"), "asked")
-
-    def places(rows: DataFrame, name: str, at: str) -> DataFrame:
-        """(name, at, key) of each place: the key is its integer and the one after it."""
-        keys = F.transform(F.sequence(F.lit(0), F.size("fingerprint") - 2), lambda i: F.shiftleft(F.get("fingerprint", i), 32).bitwiseOR(F.get("fingerprint", i + 1)))
-        return rows.where(F.size("fingerprint") > 1).select(F.col("class_id").alias(name), F.posexplode(keys).alias(at, "key"))
-
-    # A query's key counts at its first place, so a recording that repeats itself doesn't meet itself all over.
-    left = places(chosen, "a", "i").groupBy("a", "key").agg(F.min("i").alias("i"))
-    right = places(classes, "b", "j")
-    met = left.join(right.join(left.select("key").distinct(), "key", "left_semi"), "key").where("a <> b")
-    histogram = met.groupBy("a", "b", (F.col("j") - F.col("i")).alias("offset")).count()
-    best = histogram.groupBy("a", "b").agg(F.max(F.struct(F.col("count"), -F.abs("offset"), "offset")).alias("best")).select("a", "b", F.col("best.offset").cast("long").alias("offset"))
-    paired = best.join(chosen.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("fingerprint").alias("fb")), "b")
-
-    def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for row in batch.to_pylist():
-            a, b = np.array(row["fa"], np.uint32), np.array(row["fb"], np.uint32)
-            errors, overlap = bit_errors(a, b, row["offset"])
-            if overlap >= least_overlap * min(len(a), len(b)) and errors <= max_errors * 32 * overlap:
-                rows.append((row["a"], {"class_id": row["b"], "offset": row["offset"], "errors": errors / (32.0 * overlap), "overlap": overlap}))
-        kind = batch.schema.field("a").type
-        link = pa.struct([("class_id", kind), ("offset", pa.int64()), ("errors", pa.float64()), ("overlap", pa.int64())])
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], kind), pa.array([x[1] for x in rows], link)], names=["class_id", "link"])
-
     kind = dict(prints.dtypes)["id"]
-    link = f"struct<class_id: {kind}, offset: long, errors: double, overlap: long>"
-    verified = map_batches(paired, verify, f"class_id {kind}, link {link}")
+    schema = f"class_id {kind}, link struct<class_id: {kind}, offset: long, errors: double, overlap: long>"
+    # Even shares: the search is the work, and the classes' files are few.
+    dealt = classes.where("n > 0").select("class_id", "fingerprint").repartition(max(4 * spark.sparkContext.defaultParallelism, 1))
+
+    def search(block: list[tuple[object, np.ndarray]]) -> DataFrame:
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            asked_ids, index = resident(key, lambda: ([x[0] for x in sent.value], QueryIndex([x[1] for x in sent.value])))
+            ids, own = batch.column(0).to_pylist(), batch.column(1)
+            for start, end in groups_by_size(own.value_lengths().to_pylist(), 4_000):
+                given = [own[k].values.to_numpy(zero_copy_only=False).astype(np.uint32) for k in range(start, end)]
+                found = index.search(given, max_errors, least_overlap)
+                rows = [(asked_ids[a], ids[start + b], o, e / (32.0 * n), n) for a, b, o, e, n in zip(*(x.tolist() for x in found), strict=True) if asked_ids[a] != ids[start + b]]
+                own_kind = batch.schema.field(0).type
+                link = pa.struct([("class_id", own_kind), ("offset", pa.int64()), ("errors", pa.float64()), ("overlap", pa.int64())])
+                links = [dict(zip(("class_id", "offset", "errors", "overlap"), row[1:], strict=True)) for row in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0] for row in rows], own_kind), pa.array(links, link)], names=["class_id", "link"])
+
+        found = staged(map_batches(dealt, verify, schema), "links")
+        sent.destroy()
+        return found
+
+    verified, block, held = spark.createDataFrame([], schema), [], 0
+    for row in chosen.toLocalIterator():
+        own = np.array(row["fingerprint"] or [], np.uint32)
+        if block and held + len(own) > query_places:
+            verified, block, held = verified.unionByName(search(block)), [], 0
+        if len(own):
+            block.append((row["class_id"], own))
+            held += len(own)
+    if block:
+        verified = verified.unionByName(search(block))
     links = chosen.select("class_id").join(verified, "class_id", "left").groupBy("class_id").agg(F.sort_array(F.collect_list("link")).alias("links"))
     return named.join(classes.select("digest", "class_id"), "digest").join(links, "class_id", "left").select("id", "n_integers", "digest", "class_id", "links")
 
