@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, cotrain, fertility, mixing, simhash
+from veilspan.llm import bpe, cotrain, fertility, mixing, near_copies, simhash
 from veilspan.llm.base import scratch
 from veilspan.llm.queries import tokenizer_file, tokenizer_pattern
 
@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return simhash.keep_one(docs, groups=near_copies.near_copies)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ components by alternating star contraction, which keeps every step distributed a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -247,12 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest id.
 
-    Of repeated rows with one id, one stays. Rows without an id stay, as nothing tells them apart.
+    ``groups`` gives each row's (doc_id, component_id). Of repeated rows with one id, one stays. Rows without an id stay, as nothing tells them apart.
     """
-    found = near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "component_id")
+    found = groups(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "component_id")
     found = staged(found, "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
