@@ -48,3 +48,13 @@ def test_table(spark):
     assert found.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, len(r.text)) for r in found.collect()) == [(0, 0), (1, len(H.extract(PAGE))), (1, len(H.extract(PAGE))), (2, 0)]
     assert H.extract_pages(rows.limit(0)).collect() == []
+
+
+def test_story_beside_marked_teasers():
+    story = "".join(f"<p>{'A sentence of the story that the page tells. ' * 6}{i}</p>" for i in range(6))
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Short words about another page.</p></article>" for i in range(3))
+    for page in (f"<div>{story}</div>{cards}", f"{cards}<div>{story}</div>", f"<div>{story}</div><nav>Go</nav>{cards}"):
+        found = H.extract(page).split("\n\n")
+        assert sum(line.startswith("A sentence of the story") for line in found) == 6
+    assert "Card" not in H.extract(f"<div>{story}</div><nav>Go</nav>{cards}")
+    assert "Card" not in H.extract(f"<article>{story}</article><div><p>Card</p></div>")

@@ -5,9 +5,9 @@ stripped; furniture leaves a run of empty lines behind. Text lengths are summed
 lines. A segment begins at a surge point (a window with text after one without) and ends at the dive point (the next
 window without any). The text of segments whose peak is high enough is the main text.
 
-A line counts with the length of its text. Where a page marks its content (``article`` or ``main``), lines elsewhere
-count as empty and each segment stays; elsewhere lines that are mostly links count as empty, and a segment needs a
-peak of ``MIN_PEAK`` characters and ``PEAK_SHARE`` of the highest peak.
+A line counts with the length of its text, and lines that are mostly links count as empty; a segment needs a peak of ``MIN_PEAK``
+characters and ``PEAK_SHARE`` of the highest peak. Where ``article`` or ``main`` holds half of the largest segment or more, it marks the
+content: lines elsewhere count as empty, and each segment inside stays. Other marks, as of teasers beside a story, decide nothing.
 """
 
 from __future__ import annotations
@@ -142,13 +142,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def line_block_text(lines: list[tuple[str, int, bool]]) -> str:
-    """The text between surge and dive points, blocks joined by an empty line."""
-    marked = any(inside and text for text, _, inside in lines)
-    if marked:
-        weights = [len(text) if inside else 0 for text, _, inside in lines]
-    else:
-        weights = [0 if linked > LINK_SHARE * len(text) else len(text) for text, linked, _ in lines]
+def _segments(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(surge, dive, peak) of each segment."""
     total, windows = sum(weights[: WINDOW - 1]), []
     for i in range(len(weights)):  # the window that ends WINDOW - 1 lines further on
         total += weights[i + WINDOW - 1] if i + WINDOW - 1 < len(weights) else 0
@@ -161,7 +156,22 @@ def line_block_text(lines: list[tuple[str, int, bool]]) -> str:
         elif not size and surge is not None:
             segments.append((surge, i, max(windows[surge:i])))
             surge = None
-    if not marked and segments:
+    return segments
+
+
+def line_block_text(lines: list[tuple[str, int, bool]]) -> str:
+    """The text between surge and dive points, blocks joined by an empty line."""
+    weights = [0 if linked > LINK_SHARE * len(text) else len(text) for text, linked, _ in lines]
+    segments = _segments(weights)
+    marked = any(inside and text for text, _, inside in lines)
+    if marked and segments:
+        first, dive, _ = max(segments, key=lambda x: sum(weights[x[0] : x[1]]))
+        inside = sum(weights[i] for i in range(first, dive) if lines[i][2])
+        marked = 2 * inside >= sum(weights[first:dive])
+    if marked:
+        weights = [len(text) if inside else 0 for text, _, inside in lines]
+        segments = _segments(weights)
+    elif segments:
         highest = max(peak for _, _, peak in segments)
         segments = [x for x in segments if x[2] >= min(highest, max(MIN_PEAK, PEAK_SHARE * highest))]
     kept = []
