@@ -63,13 +63,36 @@ def test_prefixes():
         assert N.prefix(n) == n - (4 * n + 4) // 5 + 1
 
 
-def test_first_hashes_discard_no_similar_pair():
+def test_sketches_discard_no_similar_pair():
     draw = np.random.default_rng(8)
     seen = [0, 0]
     for k in range(2000):
-        shared = draw.integers(0, 1 << 63, int(draw.integers(1, 120)), dtype=np.uint64)
+        shared = draw.integers(0, 1 << 63, int(draw.integers(1, 300)), dtype=np.uint64)
         a, b = (np.unique(np.append(shared, draw.integers(0, 1 << 63, int(draw.integers(0, 1 + (5 if k % 2 else 1) * len(shared) // (1 if k % 2 else 4))), dtype=np.uint64))) for _ in range(2))
-        can = N.possible(a[: N.prefix(len(a))], b[: N.prefix(len(b))], len(a) + len(b))
+        can = len(N.Sketches(np.array([len(a), len(b)]), [N.parity(a), N.parity(b)]).close(0, np.array([1]))) > 0
         assert can or not N.similar(a, b)
         seen[can] += 1
     assert min(seen) > 100
+
+
+def test_keys_of_similar_sets_meet():
+    """Sets just similar enough, with any share of common shingles, share a key."""
+    draw = np.random.default_rng(9)
+    for _ in range(500):
+        n = int(draw.integers(1, 400))
+        whole = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+        cut = draw.permutation(len(whole))[: len(whole) // 5]
+        part = np.delete(whole, cut)
+        common = np.sort(draw.permutation(whole)[: int(draw.integers(0, len(whole) + 1))])
+        assert N.similar(whole, part)
+        assert {x for keys in N.keys_of(whole, common) for x in keys.tolist()} & {x for keys in N.keys_of(part, common) for x in keys.tolist()}
+
+
+def test_common_shingles_against_brute_force(spark, monkeypatch):
+    """Groups whose shingles are all common meet by broadcast and in cells of few rows."""
+    for name, value in (("OFTEN", 5), ("CELL", 7), ("FIRST", 28)):
+        monkeypatch.setattr(N, name, value)
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = N.near_copies(docs).select("doc_id", "component_id").collect()
+    assert sorted(r.doc_id for r in found if r.doc_id == r.component_id) == plain_kept(rows)

@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from veilspan.llm import bpe, cotrain, fertility, mixing, simhash
+from tests.llm.test_near_copies import plain_kept
+from veilspan.llm import bpe, cotrain, fertility, mixing
 from veilspan.llm import queries as Q
 from veilspan.llm.queries import tokenizer_file, tokenizer_pattern
 
@@ -33,20 +34,7 @@ def test_stages_against_plain_versions(spark, stages):
     assert {r.doc_id for r in b.collect()} == good and {r.doc_id for r in labels.where("quality = 1").collect()} & {r.doc_id for r in a.collect()} <= good
     rules = {r.doc_id for r in fertility.apply_rules(b, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).where("kept").collect()}
     assert {r.doc_id for r in c.collect()} == rules
-    fps = sorted((r.doc_id, simhash.fingerprint(r.text)) for r in c.collect())
-    root = {i: i for i, _ in fps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, (i, x) in enumerate(fps):
-        for j, y in fps[:k]:
-            if (x ^ y).bit_count() <= 2:
-                lo, hi = sorted((find(i), find(j)))
-                root[hi] = lo
-    assert sorted(r.doc_id for r in d.collect()) == sorted(i for i in root if find(i) == i)
+    assert sorted(r.doc_id for r in d.collect()) == plain_kept(sorted((r.doc_id, r.text) for r in c.collect()))
     rates = {r.source: r.rate for r in mixing.target_rates(d).collect()}
     from tests.llm.test_mixing import plain_count
 

@@ -3,6 +3,9 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
+from veilspan.llm import near_copies
 from veilspan.llm import simhash as S
 
 
@@ -95,7 +98,17 @@ def test_table(spark, awkward, extra, empty):
     want = dict(zip([r.doc_id for r in rows], plain_components([(r.doc_id if r.doc_id is not None else 10**9, plain_fingerprint(r.text)) for r in rows]), strict=True))
     assert all(r.component_id == (want[r.doc_id] if want[r.doc_id] < 10**9 else None) for r in found)
     assert S.near_duplicates(empty).collect() == []
-    kept = S.keep_one(awkward)
+
+
+def test_keep_one_of_repeated_ids(spark, awkward):
+    """Ids that stand with several texts, copies of rows, copies without an id, clashing and repeated column names."""
+    own = near_copies.near_copies
+    rows = [(3, "B b"), (5, "A a"), (5, "B b"), (9, "A a"), (5, "A a"), (None, "A a"), (None, "C"), (None, "C"), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = S.keep_one(docs.select("doc_id", "text", F.lit(1).alias("key"), F.lit(2).alias("row"), F.lit(3).alias("Text"), F.lit(4).alias("key")), own)
+    assert kept.columns == ["doc_id", "text", "key", "row", "Text", "key"]
+    assert sorted((str(r[0]), r[1]) for r in kept.collect()) == [("3", "B b"), ("5", "A a"), ("7", ""), ("None", "C")]
+    kept = S.keep_one(awkward, own)
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and None in ids and 1 in ids

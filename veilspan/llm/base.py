@@ -37,12 +37,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own checkpoint folder.
+
+    Where neither is set, a local session gets a temporary one; a cluster's executors couldn't read that, so there it is an error.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilspan-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilspan-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
@@ -52,14 +56,49 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/veilspan/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later steps don't depend on its lineage."""
+def staged(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: later steps don't depend on its lineage. ``paths`` takes note of the path."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables on which nothing depends any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
+#: Keys that are joined by broadcast, as each of them has many rows; so many at most, at every size.
+MOST_HEAVY, LEAST_HEAVY = 10_000, 1_000
+
+
+def heavy_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The ``MOST_HEAVY`` most frequent values of ``key`` among those with at least ``LEAST_HEAVY`` rows; None without any."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    many = counts.where(F.col("count") >= LEAST_HEAVY)
+    found = many.orderBy(F.desc("count"), key).limit(MOST_HEAVY)
+    rows = [(row[0],) for row in found.select(key).collect()]
+    return df.sparkSession.createDataFrame(rows, df.select(key).schema) if rows else None
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | str | None = "ask") -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row of bounded size for each key. Heavy keys of ``left`` meet a broadcast of their rows, so none fills a task."""
+    if isinstance(heavy, str):
+        heavy = heavy_keys(left, key)
+    if heavy is None:
+        return left.join(right, key)
+    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right, key)
+    few = right.join(F.broadcast(heavy), key, "left_semi")
+    return rest.unionByName(left.join(F.broadcast(few), key))
+
+
 def hash_remainder(id_col: Column, modulus: int) -> Column:
     """crc32 of an id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import map_batches, pick, staged
+from veilspan.llm.base import discard, join_one, map_batches, pick, staged
 
 SHINGLE = 3
 SEED = 42
@@ -207,9 +207,13 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     return met.distinct()
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): the smallest node that it reaches, by alternating star contraction."""
-    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+def components(edges: DataFrame, label: str = "components", paths: list[str] | None = None) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): the smallest node that it reaches, by alternating star contraction.
+
+    Each step is staged, and the one before it deleted; the last one's path goes to ``paths``. A hub's edges meet a broadcast, so no node fills a task.
+    """
+    spark, last = edges.sparkSession, []
+    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label, last)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -219,15 +223,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # Large star: a node's larger neighbours go to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = staged(join_one(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), label, last)
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = staged(small, label)
+        small = join_one(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        done, last = last, []
+        edges = staged(small, label, last)
+        discard(spark, done)
         after = mark(edges)
         if after == before:
             break
         before = after
+    if paths is not None:
+        paths += last
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -241,23 +249,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, split))
-    labelled = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = staged(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.where("root <> fp").join(smallest, "root").select("fp", "component_id").unionByName(labelled.where("root = fp").join(smallest, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = join_one(labelled, smallest, "root").select("fp", "component_id")
+    return join_one(fps, named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that with the smallest id.
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame, str, str], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that with the smallest id, of several such the one whose text has the smallest md5.
 
-    ``groups`` gives each row's (doc_id, component_id). Of repeated rows with one id, one stays. Rows without an id stay, as nothing tells them apart.
+    ``groups`` gives each row's (doc_id, row, component): ``row`` is the md5 of its text. Rows that agree in id and text are one document; of them the one stays whose other columns come
+    first as JSON. An id that stands with several texts is several documents, each in its own group. A row without an id stays only where its group has none with one.
     """
-    found = groups(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "component_id")
-    found = staged(found, "groups")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    # Always a merge join: a size at which the list of ids fits a broadcast would only hide what the next size costs.
-    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
-    if not repeated.isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
+    key = lambda i, row: F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("i"), i.cast("string")), F.lit("n")), F.coalesce(row, F.lit("n"))).cast("binary"))
+    found = staged(groups(docs, id_col, text_col).select("doc_id", "row", "component"), "groups")
+    # Nulls come last: an id that is there makes the first field false, which is smaller.
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("row").isNull().alias("m"), "row")).alias("x"))
+    stays = best.select(key(F.col("x.doc_id"), F.col("x.row")).alias("key")).distinct()
+    counted = found.select(key(F.col("doc_id"), F.col("row")).alias("key")).groupBy("key").count()
+    told = counted.join(stays.withColumn("stays", F.lit(True)), "key", "left")
+    told = staged(told.where("stays IS NULL OR count > 1").select("key", F.col("stays").isNotNull().alias("stays")), "gone")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {name: i for i, name in reversed(list(enumerate(docs.columns)))}
+    plain = docs.toDF(*names).withColumn("key", key(F.col(names[at[id_col]]), F.md5(F.col(names[at[text_col]]).cast("binary"))))
+    # Always a merge join: a size at which the list of keys fits a broadcast would only hide what the next size costs.
+    kept = plain.join(told.select("key").hint("merge"), "key", "left_anti").select(*names)
+    again = told.where("stays").select("key")
+    if not again.isEmpty():
+        order = Window.partitionBy("key").orderBy(F.to_json(F.struct(*names)))
+        first = plain.join(again.hint("merge"), "key", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1").select(*names)
+        kept = kept.unionByName(first)
+    return kept.toDF(*docs.columns)
