@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
-    return simhash.keep_one(docs, groups=near_copies.near_copies)
+    return simhash.keep_one(docs, near_copies.near_copies)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
