@@ -58,3 +58,58 @@ def test_story_beside_marked_teasers():
         assert sum(line.startswith("A sentence of the story") for line in found) == 6
     assert "Card" not in H.extract(f"<div>{story}</div><nav>Go</nav>{cards}")
     assert "Card" not in H.extract(f"<article>{story}</article><div><p>Card</p></div>")
+
+
+LONG = "A sentence of the story that the page tells. " * 6
+STORY = "".join(f"<p>{LONG}{i}</p>" for i in range(4))
+TOLD = [f"{LONG}{i}" for i in range(4)]
+
+
+def test_elements_that_look_like_others():
+    for before in ('<svg viewBox="0"/>', "<video-player src=x></video-player>", "<object-card>", "<script src=a />", "<svg><path d='M0'/></svg>", "<math/>", "<template><p>no</p></template>"):
+        assert H.extract(f"<article>{before}{STORY}</article>").split("\n\n") == TOLD, before
+    assert H.extract(f"<article>{STORY}<script>var x = '<p>no</p>'</article>").split("\n\n") == TOLD
+    assert H.extract(f"<article><video src=x>no</article><p>out</p><article>{STORY}</article>").split("\n\n") == TOLD
+
+
+def test_furniture_words_in_prose():
+    page = f"<article><p>a <span class='search-highlight'>treasure</span> b</p><p class='related-work'>Related work.</p>{STORY}<p class='cookie-notice'>no</p></article>"
+    assert H.extract(page).split("\n\n") == ["a treasure b", "Related work.", *TOLD]
+
+
+def test_short_parts_of_a_story_stay():
+    ad = "<div class='ad'>Buy now</div>"
+    for page in (f"<div class=story>{STORY}{ad}<p>Short end.</p></div><div>foot</div>", f"<div><section>{STORY}</section>{ad}<section><p>Short end.</p></section></div>", f"<article>{STORY}{ad}<p><a>Short end.</a></p></article>"):
+        assert H.extract(page).split("\n\n") == [*TOLD, "Short end."]
+    assert H.extract(f"<body><ul><li><a>A</a></ul>{STORY}{ad}<p>Short <a>middle of links and more links</a></p>{ad}{STORY}{ad}<p>tiny</p></body>").split("\n\n") == [*TOLD, "Short middle of links and more links", *TOLD]
+
+
+def plain_windows(weights):
+    """Segments by hand: a window begins at each line and covers it and the next ones; also those before the first line count."""
+    out, n = [], len(weights)
+    sums = [sum(weights[max(i, 0) : i + H.WINDOW]) for i in range(n)]
+    start = None
+    for i in range(n + 1):
+        if i < n and sums[i]:
+            start = i if start is None else start
+        elif start is not None:
+            out.append((start, i, max(sums[start:i])))
+            start = None
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 0, 5, 90, 400]), max_size=40))
+def test_segments_against_plain_windows(weights):
+    assert H._segments(weights) == plain_windows(weights)
+
+
+def test_pages_of_the_table(spark):
+    """Every sample page's article, cut out by its tags alone."""
+    import html
+    import re
+
+    for row in H.extract_pages(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*)</article>", row.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1|li|ul)>", inner)]
+        assert row.text == "\n\n".join(x for x in blocks if x)
