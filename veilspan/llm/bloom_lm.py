@@ -8,9 +8,10 @@ text's probability interpolates pairs with words:
     p(w)     = (c(w) + 1/2) / (N + (V + 1) / 2)                an unknown word is one further type
     p(w | v) = max(c(v w) - D, 0) / (c(v) + MU) + g(v) p(w)    g(v): what the discounted pairs of v leave over
 
-Pairs seen once are left to the words. The filter is cut into segments by a hash of the entry; one task builds a segment
-from the sorted counts of all partitions, so nothing is gathered whole but the filter itself. Its size follows the number of entries; beyond
-``MOST_BITS`` the least count of a pair rises, the only place where the model gives way to the broadcast's bound.
+Every pair counts, also one that is seen once. The filter is cut into segments by a hash of the entry; one task builds a segment
+from the sorted counts of all partitions, so nothing is gathered whole but the filter itself, whose size follows the counted entries.
+Up to ``MOST_BITS`` it is broadcast. A larger one stays in its segments, and the distinct words and pairs of the texts go to them to be
+probed there: the same bits answer, so the scores are the same.
 
 Exact counts (for the base score) come by a join: the ``HEAVY`` most frequent words are looked up in a broadcast table, each
 document's other words are joined with the table of all words, where no key is hot any more.
@@ -18,8 +19,11 @@ document's other words are joined with the table of all words, where no key is h
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import map_batches, pick, staged
+from veilspan.llm.base import join_one, map_batches, pick, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents whose hash has remainder HELD_OUT aren't learned from
 GROWTH = 1.25  # of the counts that bound the levels
@@ -35,7 +39,7 @@ DISCOUNT, MU = 0.75, 2.0
 PROBES, BITS_PER_KEY = 6, 16
 MOST_BITS = 1 << 32
 HEAVY = 1 << 17
-HEAVY_WORD_BYTES = 256
+LONG_WORD = 64  # bytes; a longer word goes by its digest
 SEGMENT_ENTRIES = 1 << 20  # pairs of a segment, with repeats; of words fewer, as one has more levels
 SEGMENT_WORDS = 1 << 18
 FLUSH_PAIRS = 1_500_000
@@ -61,15 +65,13 @@ BOUNDS = _bounds()
 VALUES = np.concatenate(([0.0], (BOUNDS[:-1] + BOUNDS[1:] - 1) / 2.0))
 
 
-def level(counts: np.ndarray, least: int = 1) -> np.ndarray:
-    """Levels of counts, from 1 for ``least``; 0 below it."""
-    first = np.searchsorted(BOUNDS, least, side="right")
-    return np.maximum(np.searchsorted(BOUNDS, counts, side="right") - first + 1, 0)
+def level(counts: np.ndarray) -> np.ndarray:
+    """Levels of counts, from 1; 0 for none."""
+    return np.searchsorted(BOUNDS, counts, side="right")
 
 
-def value(levels: np.ndarray, least: int = 1) -> np.ndarray:
-    first = int(np.searchsorted(BOUNDS, least, side="right"))
-    return np.where(levels > 0, VALUES[np.minimum(levels + first - 1, len(VALUES) - 1)], 0.0)
+def value(levels: np.ndarray) -> np.ndarray:
+    return VALUES[np.minimum(levels, len(VALUES) - 1)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,8 +81,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def short(word: bytes) -> bytes:
+    """A word as a key: itself, or a zero byte and its digest."""
+    return word if len(word) <= LONG_WORD else b"\0" + hashlib.sha256(word).digest()
+
+
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
+    return xxhash.xxh64_intdigest(short(word), 7)
+
+
+def rest_keys(first: np.ndarray) -> np.ndarray:
+    """The keys of first words' masses: the upper half of their pairs' keys."""
+    return mixed(first) & np.uint64(0xFFFFFFFF00000000)
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -97,24 +109,28 @@ def segments(keys: np.ndarray, count: int) -> np.ndarray:
 class Filter:
     """Segments of 64-bit words, end to end, by kind of entry. A level of an entry is ``PROBES`` bits of one word, so a probe reads memory once."""
 
-    def __init__(self, words: np.ndarray, starts: dict[int, np.ndarray], least_pair: int, texts: float) -> None:
-        self.words, self.starts, self.least_pair, self.texts = words, starts, least_pair, texts
+    def __init__(self, words: np.ndarray, starts: dict[int, np.ndarray], texts: float) -> None:
+        self.words, self.starts, self.texts = words, starts, texts
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing levels 1, 2, ... until one is missing."""
         starts = self.starts[kind]
         own = segments(keys, len(starts) - 1).astype(np.int64)
-        base, size = starts[own], (starts[own + 1] - starts[own]).astype(np.uint64)
-        out = np.zeros(len(keys), np.int64)
-        at = np.flatnonzero(size > 0)
-        keys, base, size, j = keys[at], base[at], size[at], 1
-        while len(at):
-            place, mask = probe(level_hash(kind, keys, j), size)
-            hit = np.flatnonzero((self.words[base + place] & mask) == mask)
-            at, keys, base, size = at[hit], keys[hit], base[hit], size[hit]
-            out[at] = j
-            j += 1
-        return out
+        return probed(self.words, kind, keys, starts[own], (starts[own + 1] - starts[own]).astype(np.uint64))
+
+
+def probed(words: np.ndarray, kind: int, keys: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The level of each key in its segment, which begins at ``base`` and has ``size`` words."""
+    out = np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(size > 0)
+    keys, base, size, j = keys[at], base[at], size[at], 1
+    while len(at):
+        place, mask = probe(level_hash(kind, keys, j), size)
+        hit = np.flatnonzero((words[base + place] & mask) == mask)
+        at, keys, base, size = at[hit], keys[hit], base[hit], size[hit]
+        out[at] = j
+        j += 1
+    return out
 
 
 def level_hash(kind: int, keys: np.ndarray, j: int | np.ndarray) -> np.ndarray:
@@ -168,8 +184,6 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def is_held_out(doc_id: object) -> bool:
-    import zlib
-
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
@@ -183,7 +197,7 @@ def word_counts(chosen: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             words = list(every)
             rows = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([train[w] for w in words], pa.int64())], names=["word", "n_all", "n_train"]
+                [pa.array(map(short, words), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([train[w] for w in words], pa.int64())], names=["word", "n_all", "n_train"]
             )
             every.clear()
             train.clear()
@@ -278,17 +292,15 @@ def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(where, counts, len(unique)).astype(np.int64)
 
 
-def pair_segments(blobs: DataFrame, least: int) -> DataFrame:
+def pair_segments(blobs: DataFrame) -> DataFrame:
     """(segment, bits, first, mass): each segment's filter, and its first words (half keys) with the discounted mass of their pairs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _grouped(batches):
             keys, counts = summed(rows)
-            levels = level(counts, least)
-            kept = levels > 0
-            keys, levels = keys[kept], levels[kept]
+            levels = level(counts)
             first, where = np.unique(keys >> np.uint64(32), return_inverse=True)
-            mass = np.bincount(where, np.maximum(value(levels, least) - DISCOUNT, 0.0), len(first))
+            mass = np.bincount(where, np.maximum(value(levels) - DISCOUNT, 0.0), len(first))
             yield pa.RecordBatch.from_pydict(
                 {"segment": pa.array([name], pa.int64()), "bits": pa.array([segment_words(PAIR, keys, levels)], pa.binary()), "first": pa.array([first.tolist()], pa.list_(pa.int64())), "mass": pa.array([mass.tolist()], pa.list_(pa.float64()))}
             )
@@ -360,11 +372,6 @@ class Model:
         return self.n + 0.5 * (self.v + 1)
 
 
-def least_pair(room: float) -> int:
-    """The least count of a pair that the filter holds: 2, and one more for each doubling of the expected bits beyond ``MOST_BITS``."""
-    return 2 if room <= MOST_BITS else 2 + int(np.ceil(np.log2(room / MOST_BITS)))
-
-
 class Scorer(dict):
     """Scores texts in a worker. Words have numbers, and by number what the model says of each: hash, count, discounted mass, exact count (or -1). A new word gets
     the next number at once; ``fresh`` holds those that are yet to be looked up."""
@@ -376,8 +383,7 @@ class Scorer(dict):
         self.looked_up = 0
         self.hashes = np.zeros(1 << 14, np.uint64)
         self.figures = np.zeros((1 << 14, 3))
-        start_key = mixed(_START[None]) & np.uint64(0xFFFFFFFF00000000)
-        self.start_mass = float(value(model.table.levels(REST, start_key))[0])
+        self.start_mass = float(value(model.table.levels(REST, rest_keys(_START[None])))[0])
         self.end = self[END]
 
     def __missing__(self, word: bytes) -> int:
@@ -413,8 +419,8 @@ class Scorer(dict):
         hashes = np.fromiter(map(word_hash, fresh), np.uint64, n - first)
         self.hashes[first:n] = hashes
         self.figures[first:n, 0] = value(table.levels(WORD, hashes))
-        self.figures[first:n, 1] = value(table.levels(REST, mixed(hashes) & np.uint64(0xFFFFFFFF00000000)))
-        self.figures[first:n, 2] = [heavy.get(word, -1) for word in fresh]
+        self.figures[first:n, 1] = value(table.levels(REST, rest_keys(hashes)))
+        self.figures[first:n, 2] = [heavy.get(short(word), -1) for word in fresh]
         self.looked_up = n
 
     def logs(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -428,7 +434,7 @@ class Scorer(dict):
         hashes, first = self.hashes[own], self.hashes[before]
         count, mass = self.figures[before, 0], self.figures[before, 1]
         first[starts], count[starts], mass[starts] = _START, table.texts, self.start_mass
-        pairs = value(table.levels(PAIR, pair_keys(first, hashes)), table.least_pair)
+        pairs = value(table.levels(PAIR, pair_keys(first, hashes)))
         word = (self.figures[own, 0] + 0.5) / self.model.total
         below = np.maximum(count, mass) + MU
         p = np.maximum(pairs - DISCOUNT, 0.0) / below + (1.0 - mass / below) * word
@@ -443,8 +449,23 @@ class Scorer(dict):
         return int(times[counts > 0].sum()), base, numbers[~here], times[~here]
 
 
-def train(chosen: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``chosen`` (doc_id, text), and the table (word, n_all, n_train) of all its words."""
+class Trained(NamedTuple):
+    """The table (word, n_all, n_train) of all words; tokens and distinct words learned from; texts learned from; the most frequent words' exact counts (at most ``HEAVY``); by
+    kind of entry the number of segments and the table (segment, bits)."""
+
+    vocabulary: DataFrame
+    n: int
+    v: int
+    texts: float
+    heavy: dict[bytes, int]
+    parts: dict[int, tuple[int, DataFrame]]
+
+    def bits(self) -> int:
+        return sum(8 * (rows.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) for _, rows in self.parts.values())
+
+
+def train(chosen: DataFrame) -> Trained:
+    """What is learned from ``chosen`` (doc_id, text)."""
     vocabulary = staged(word_counts(chosen), "vocabulary")
     step = F.floor(F.log2("n_all") * 8)
     by_count = {row[0]: (row[1], row[2], row[3]) for row in vocabulary.groupBy(step).agg(F.count("*"), F.sum("n_train"), F.count(F.when(F.col("n_train") > 0, 1))).collect()}  # at most 512 rows
@@ -455,21 +476,93 @@ def train(chosen: DataFrame) -> tuple[Model, DataFrame]:
         if taken > HEAVY:
             break
         least = bucket
-    found = vocabulary.where(step >= least).where(F.length("word") <= HEAVY_WORD_BYTES).select("word", "n_train").collect() if least is not None else []  # at most HEAVY
+    found = vocabulary.where(step >= least).select("word", "n_train").collect() if least is not None else []  # at most HEAVY
     heavy = {bytes(row.word): row.n_train for row in found}
     ends = vocabulary.where(F.length("word") == 0).first()
     n_texts = ends.n_train if ends else 0
 
     n_segments = max(8, -(-n // SEGMENT_ENTRIES))
-    least_count = least_pair(0.25 * n * BITS_PER_KEY)
-    pairs = staged(pair_segments(pair_blobs(chosen, n_segments), least_count), "pairs")
+    pairs = staged(pair_segments(pair_blobs(chosen, n_segments)), "pairs")
     masses = pairs.select(F.explode(F.arrays_zip("first", "mass")).alias("x")).groupBy(F.shiftleft(F.col("x.first"), 32).alias("key")).agg(F.round(F.sum("x.mass")).cast("long").alias("n")).where("n > 0")
     n_words = max(1, -(-v // SEGMENT_WORDS))
     words = staged(entry_segments(vocabulary.where("n_train > 0").select("word", "n_train"), WORD, n_words), "words")
     rests = staged(entry_segments(masses, REST, n_words), "rests")
-    bits, starts = _laid({WORD: (n_words, words), PAIR: (n_segments, pairs), REST: (n_words, rests)})
-    table = Filter(bits, starts, least_count, float(n_texts))
-    return Model(table, n, v, heavy), vocabulary
+    return Trained(vocabulary, n, v, float(n_texts), heavy, {WORD: (n_words, words), PAIR: (n_segments, pairs.select("segment", "bits")), REST: (n_words, rests)})
+
+
+def broadcastable(trained: Trained) -> Model:
+    return Model(Filter(*_laid(trained.parts), trained.texts), trained.n, trained.v, trained.heavy)
+
+
+def probed_in_place(keys: DataFrame, kind: int, trained: Trained, name: str) -> DataFrame:
+    """(key, ``name``): what the model says of each distinct key, probed where its segment of the filter is. A key goes there once, so none is hot."""
+    count, table = trained.parts[kind]
+
+    def named(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(segments(own.view(np.uint64), count).astype(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary())], names=["segment", "key", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+            for start, end in zip(starts, starts[1:]):
+                if start == end:
+                    continue
+                if names[start] != at:
+                    at, bits = names[start], np.zeros(0, np.uint64)
+                if batch.column(2)[start].is_valid:  # a segment's bits stand before its keys
+                    bits, start = np.frombuffer(batch.column(2)[start].as_py(), "<u8"), start + 1
+                own = batch.column(1).slice(start, end - start).to_numpy(zero_copy_only=False).astype(np.int64)
+                levels = probed(bits, kind, own.view(np.uint64), np.zeros(len(own), np.int64), np.full(len(own), len(bits), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(value(levels))], names=["key", name])
+
+    rows = map_batches(keys.where("key IS NOT NULL").distinct(), named, "segment long, key long, bits binary")
+    rows = rows.unionByName(table.select("segment", F.lit(None).cast("long").alias("key"), "bits"))
+    return rows.repartition("segment").sortWithinPartitions("segment", F.col("key").asc_nulls_first()).mapInArrow(run, f"key long, {name} double")
+
+
+def score_in_place(chosen: DataFrame, trained: Trained) -> DataFrame:
+    """What ``score`` returns, for a filter that is too large to be broadcast."""
+    kind = dict(chosen.dtypes)["doc_id"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "word", "tf", "v", "w", "rest", "pair"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, hashes = TaskContext.get().partitionId() << 36, Words()
+        for batch in batches:
+            kinds = [pa.int64(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = [*split_words(text.as_py()), END]
+                counts = Counter(map(short, words))
+                own = hashes(words)
+                first = np.concatenate((_START[None], own[:-1]))
+                both, at, times = np.unique(pair_keys(first, own), return_index=True, return_counts=True)
+                v = pa.array(first[at].view(np.int64), mask=at == 0)
+                n, m = len(counts), len(both)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([number, doc_id, is_held_out(doc_id), len(words), *[None] * 6], kinds, strict=True)], names=names)
+                parts = [pa.array([number] * n), *(pa.nulls(n, k) for k in kinds[1:4]), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(4))]
+                yield pa.RecordBatch.from_arrays(parts, names=names)
+                parts = [pa.array([number] * m), *(pa.nulls(m, k) for k in kinds[1:5]), pa.array(times), v, *(pa.array(x.view(np.int64)) for x in (own[at], rest_keys(first[at]), both))]
+                yield pa.RecordBatch.from_arrays(parts, names=names)
+                number += 1
+
+    rows = staged(chosen.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, word binary, tf long, v long, w long, rest long, pair long"), "probes")
+    tokens = rows.where("pair IS NOT NULL").select("row", "tf", F.coalesce("v", F.lit(int(_START.view(np.int64)))).alias("v"), F.col("v").isNull().alias("starts"), "w", "rest", "pair")
+    words = staged(probed_in_place(tokens.select(F.explode(F.array("v", "w")).alias("key")), WORD, trained, "count"), "word-figures")
+    for column, entries, figure in (("v", words, "before"), ("w", words, "count"), ("rest", probed_in_place(tokens.select(F.col("rest").alias("key")), REST, trained, "x"), "mass"), ("pair", probed_in_place(tokens.select(F.col("pair").alias("key")), PAIR, trained, "x"), "pairs")):
+        tokens = staged(join_one(tokens, entries.toDF(column, figure), column), f"with-{figure}")
+    below = F.greatest(F.when(F.col("starts"), F.lit(trained.texts)).otherwise(F.col("before")), "mass") + MU
+    total = trained.n + 0.5 * (trained.v + 1)
+    p = F.greatest(F.col("pairs") - DISCOUNT, F.lit(0.0)) / below + (1 - F.col("mass") / below) * (F.col("count") + 0.5) / total
+    logs = tokens.groupBy("row").agg(F.sum(F.col("tf") * F.log10(p)).alias("score"))
+    known = rows.where("word IS NOT NULL").select("row", "word", "tf")
+    c = F.coalesce("n_train", F.lit(0))
+    exact = join_one(known, trained.vocabulary.select("word", "n_train"), "word").groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 0.5) / total)).alias("base_score"))
+    found = rows.where("n_tokens IS NOT NULL").select("row", "doc_id", "held_out", "n_tokens").join(logs, "row").join(exact, "row")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -481,8 +574,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     chosen = pick(docs, doc_id=id_col, text=text_col)
     spark = docs.sparkSession
-    model, vocabulary = train(chosen)
-    shared = spark.sparkContext.broadcast(model)  # the filter, at most MOST_BITS and half as much again, and HEAVY words
+    trained = train(chosen)
+    if trained.bits() > MOST_BITS:
+        return score_in_place(chosen, trained)
+    model = broadcastable(trained)
+    shared = spark.sparkContext.broadcast(model)  # the filter, at most MOST_BITS, and HEAVY words
     n, total = model.n, model.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,7 +601,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
             others = np.concatenate(rest)
             if len(others):
-                words = list(map(scorer.names.__getitem__, others.tolist()))
+                words = list(map(short, map(scorer.names.__getitem__, others.tolist())))
                 columns = [np.repeat(rows, [len(x) for x in rest]), words, np.concatenate(times)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(column, kind) for column, kind in zip(columns, kinds, strict=False)), *(pa.nulls(len(words), kind) for kind in kinds[3:])], names=names)
 
@@ -526,7 +622,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     kind = dict(chosen.dtypes)["doc_id"]
     rows = chosen.mapInArrow(run, f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    counted = rows.join(vocabulary.select("word", "n_train"), "word", "left")
+    counted = rows.join(trained.vocabulary.select("word", "n_train"), "word", "left")
     c = F.coalesce("n_train", F.lit(0))
     part = F.when(F.col("tf") > 0, F.col("tf") * F.log10((c + 0.5) / F.lit(total)))
     found = counted.select("row", "doc_id", "held_out", "n_tokens", "score", F.coalesce("n_known", F.when(c > 0, F.col("tf")), F.lit(0)).alias("n_known"), F.coalesce("base", part).alias("base"))
