@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan.llm import cotrain as C
 
@@ -33,11 +34,44 @@ def test_rounds_teach_the_other_view():
     y = draw.integers(0, 2, 600)
     text = np.stack((y + draw.normal(0, 0.1, 600), draw.normal(0, 1, 600)), axis=1)
     meta = np.stack((2 * y + draw.normal(0, 0.4, 600), draw.normal(0, 1, 600)), axis=1)
-    labels = np.where(np.arange(600) < 30, y, -1)
-    model = C.co_train(text, meta, labels)
+    free, told = set(range(40, 600)), []
+
+    def ask(views):
+        out = {}
+        for view, x in enumerate((text, meta)):
+            p = C.sigmoid(views[view].raw(x))
+            for label in (0, 1):
+                sure = p if label else 1 - p
+                own = sorted((i for i in free if sure[i] >= C.SURE), key=lambda i: -sure[i])[:20]
+                told.extend((int(y[i]), label) for i in own)
+                out[view, label] = text[own], meta[own]
+        return out
+
+    model = C.co_train(text[:40], meta[:40], y[:40], ask)
+    assert len(told) > 100 and np.mean([a == b for a, b in told]) > 0.97
     assert ((model.probability(text, meta) > 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_each_round_takes_the_surest_of_all(spark, monkeypatch):
+    """Against a plain search over all rows; what a view has told once isn't told again."""
+    monkeypatch.setattr(C, "EACH_ROUND", 7)
+    draw = np.random.default_rng(2)
+    text, meta = draw.normal(0, 1, (300, C.N_TEXT)).astype(np.float32), draw.normal(0, 1, (300, C.N_META)).astype(np.float32)
+    views = tuple(C.View(np.zeros(n), np.ones(n), np.append(draw.normal(0, 1, n), 0.1)) for n in (C.N_TEXT, C.N_META))
+    frame = spark.createDataFrame([(f"{i:03d}", bytearray(np.hstack((text[i], meta[i])).tobytes())) for i in range(300)], "place string, x binary").repartition(4)
+    taken: list[str] = []
+    seen = {0: set(), 1: set()}
+    for _ in range(2):
+        found = C._surest(frame, views, taken)
+        for view, x in enumerate((text, meta)):
+            p = C.sigmoid(views[view].raw(x.astype(float)))
+            for label in (0, 1):
+                sure = p if label else 1 - p
+                own = [i for i in sorted(range(300), key=lambda i: (-sure[i], i)) if sure[i] >= C.SURE and i not in seen[view]][:7]
+                assert sorted(map(tuple, found[view, label][0])) == sorted(map(tuple, text[own].astype(float)))
+                seen[view] |= set(own)
+
+
 def test_awkward_rows(spark, labelled, awkward, extra, empty):
     docs, labels = labelled
     assert C.classify(extra, labels).count() == 10
@@ -45,5 +79,9 @@ def test_awkward_rows(spark, labelled, awkward, extra, empty):
     assert all(r.quality_score == 1.0 and r.kept for r in C.classify(awkward, labels.limit(0)).collect())
     one = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (3, None)], "doc_id long, quality int")
     assert C.classify(awkward, one).count() == 10
-    carried = C.classify(awkward, labels, carry=True)
-    assert carried.columns == [*awkward.columns, "_kept"]
+    judged = C.classify(awkward, labels).collect()
+    clashing = awkward.withColumns({c: F.lit("more") for c in ("_kept", "_t", "c0", "t", "TEXTS")})
+    clashing = clashing.toDF(*clashing.columns[:-1], "TEXT")
+    carried = C.classify(clashing, labels, carry=True)
+    assert carried.columns == clashing.columns
+    assert sorted(map(repr, carried.collect())) == sorted(repr(r) for r, j in zip(clashing.collect(), judged, strict=True) if j.kept)

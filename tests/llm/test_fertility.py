@@ -9,6 +9,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from veilspan.llm import fertility as Q
 
 FILES = (P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
@@ -84,5 +86,10 @@ def test_table(awkward, extra, empty):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in found)
     assert Q.apply_rules(empty, *FILES).collect() == []
     carried = Q.apply_rules(awkward, *FILES, carry=True)
-    assert carried.columns == [*awkward.columns, "_kept"] and carried.count() == 10
+    assert carried.columns == awkward.columns
+    clashing = awkward.withColumns({c: F.lit("more") for c in ("_text", "_lang", "_kept", "t", "doc_ids")})
+    clashing = clashing.toDF(*clashing.columns[:-1], "DOC_ID")
+    kept = [r.kept for r in Q.apply_rules(awkward, *FILES).collect()]
+    carried = Q.apply_rules(clashing, *FILES, carry=True)
+    assert carried.columns == clashing.columns and carried.collect() == [r for r, k in zip(clashing.collect(), kept, strict=True) if k]
     assert Q.apply_rules(awkward, *FILES, lang_col=None).count() == 10

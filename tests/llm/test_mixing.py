@@ -4,6 +4,8 @@ import math
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilspan.llm import mixing as M
 from veilspan.llm.queries import SQL
 
@@ -58,3 +60,15 @@ def test_against_sql(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
     want = sorted((r[0], r[5], r[6]) for r in con.execute(SQL["op10_mixing"]).fetchall())
     assert sorted((r.doc_id, r["copy"], r.mix_key) for r in M.mix(rows).collect()) == want
+
+
+def test_clashing_names_and_many_sources(spark, awkward, monkeypatch):
+    clashing = awkward.withColumns({c: F.lit("more") for c in ("_source", "_rate", "rate", "key", "salt", "copies", "sources")})
+    clashing = clashing.toDF(*clashing.columns[:-2], "COPY", "SOURCE")
+    want = sorted((repr(r.doc_id), repr(r.text)) for r in M.mix(awkward).collect())
+    for most in (M.MOST_BROADCAST, 0):
+        monkeypatch.setattr(M, "_small", lambda rates, most=most: rates.count() <= most)
+        for added in (True, False):
+            found = M.mix(clashing, added=added)
+            assert found.columns == ([c for c in clashing.columns if c != "COPY"] + ["copy", "mix_key"] if added else clashing.columns)
+            assert sorted((repr(r[0]), repr(r[1])) for r in found.collect()) == want

@@ -26,6 +26,13 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*(F.col(f"_{at[source]}").alias(new) for new, source in wanted.items()))
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by position, and by exact name the first column of that name. Whatever the names, new columns can't clash."""
+    small_batches(df.sparkSession)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {name: new for name, new in reversed(list(zip(df.columns, names, strict=True)))}
+
+
 #: Rows of documents that go to a Python worker at once, where the session has Spark's default: long texts make large batches, held by the JVM and by the worker.
 BATCH_ROWS = 500
 

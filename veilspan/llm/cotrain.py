@@ -1,38 +1,54 @@
 """Quality classification by co-training.
 
-Two classifiers see a document from two sides: its text, or its metadata (source, language, recorded length). Both start from labelled documents.
-In each round each of them labels the unlabelled documents that it is most sure of, for the other one to learn from. At the end each view
-is calibrated on labelled documents that it hasn't seen, and the calibrated log-odds are combined. All documents are scored in one pass.
+Two classifiers see a document from two sides: its text (figures of its characters, words and lines, and hashed words), or its metadata (source, language,
+recorded length). Both start from labelled documents. In each round each of them scores all unlabelled documents, and the ``EACH_ROUND`` of each label that it is most
+sure of are labelled for the other one to learn from. At the end each view is calibrated on labelled documents that neither has seen, the calibrated
+log-odds are combined on others that neither has seen, and all documents are scored in one pass.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from veilspan.llm.base import groups_by_size, map_batches, pick, small_batches
+from veilspan.llm.base import discard, groups_by_size, map_batches, pick, positional, staged
 from veilspan.llm.toxicity import logistic
 
-#: Bounds of the sample that is learned from: labelled documents of each label, and unlabelled ones.
-MAX_LABELLED, MAX_UNLABELLED = 4_000, 6_000
+#: Bound of the labelled documents of each label that are learned from.
+MAX_LABELLED = 4_000
 ROUNDS, EACH_ROUND, SURE = 4, 200, 0.95
 CALIBRATE = 0.3
 THRESHOLD = 0.5
 CHUNK_CHARS = 2_000_000
 PLACES = 64  # of a hashed category
 
+HASHED = 128  # places of hashed words
+REMEMBERED_WORDS = 300_000
+
 _SIGNS = b".,;:!?|#*$%&<>@=\"'()/-_\\{}[]~^+`"
 
 
+class _Places(dict):
+    """Hashed words' places, remembered within a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED_WORDS:
+            self.clear()
+        place = self[word] = zlib.crc32(word.lower().strip(_SIGNS)) % HASHED
+        return place
+
+
+_PLACES = _Places()
+
+
 def text_view(text: str | None) -> np.ndarray:
-    """Figures of the whole text: shares of kinds of characters, of repeated lines and words, lengths."""
+    """Figures of the whole text: shares of kinds of characters, of repeated lines and words, lengths; the roots of hashed words' shares."""
     raw = (text or "").encode()
     n = max(len(raw), 1)
     counts = np.zeros(256)
@@ -42,6 +58,7 @@ def text_view(text: str | None) -> np.ndarray:
     distinct = set(words)
     n_words, n_lines = max(len(words), 1), max(len(lines), 1)
     groups = [counts[97:123].sum(), counts[65:91].sum(), counts[48:58].sum(), counts[[9, 10, 11, 12, 13, 32]].sum(), counts[128:].sum()]
+    hashed = np.bincount(np.fromiter(map(_PLACES.__getitem__, words), np.int64, len(words)), minlength=HASHED)
     signed = sum(1 for word in distinct if word[-1:] in b"#*$%&|<>!@~^")
     return np.array(
         [
@@ -54,11 +71,12 @@ def text_view(text: str | None) -> np.ndarray:
             signed / max(len(distinct), 1),
             1 - len(set(lines)) / n_lines if lines else 0.0,
             np.log(n_words / n_lines),
+            *np.sqrt(hashed / n_words),
         ]
     )
 
 
-N_TEXT = 5 + len(_SIGNS) + 7
+N_TEXT = 5 + len(_SIGNS) + 7 + HASHED
 N_META = 2 * PLACES + 1
 
 
@@ -113,46 +131,44 @@ class Model:
         return sigmoid(self.combine[0] * self.text.log_odds(text) + self.combine[1] * self.meta.log_odds(meta) + self.combine[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model from rows of both views; a label is 1, 0 or -1 (unlabelled). Every third labelled row or so is left for calibration."""
-    known = np.flatnonzero(labels >= 0)
-    if not len(known) or len(set(labels[known])) < 2:
-        return Model(None, None, np.zeros(3), float(labels[known].mean()) if len(known) else 1.0)
-    order = np.random.default_rng(5).permutation(known)
-    aside = np.zeros(len(labels), bool)
+def _balanced(y: np.ndarray) -> np.ndarray:
+    ones = max(y.sum(), 1.0)
+    return np.where(y > 0, len(y) / (2 * ones), len(y) / (2 * max(len(y) - ones, 1.0)))
+
+
+#: Asks for the surest unlabelled documents: given both views, for (whose view is sure, the label) the rows (text, metadata) to learn from.
+Ask = Callable[["tuple[View, View]"], Mapping["tuple[int, int]", "tuple[np.ndarray, np.ndarray]"]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, ask: Ask, rounds: int = ROUNDS) -> Model:
+    """The model from rows of both views with a label of 1 or 0. A part of the rows of each label is left for calibration, another for the combination."""
+    if len(set(labels.tolist())) < 2:
+        return Model(None, None, np.zeros(3), float(labels.mean()) if len(labels) else 1.0)
+    order = np.random.default_rng(5).permutation(len(labels))
+    part = np.zeros(len(labels), int)
     for label in (0, 1):
         own = order[labels[order] == label]
-        aside[own[: int(CALIBRATE * len(own))]] = True
-    views = [text, meta]
-    taught = [np.where(aside, -1, labels).astype(float) for _ in views]
-    free = [labels < 0 for _ in views]
-    fitted: list[View] = []
-
-    def weights(y: np.ndarray) -> np.ndarray:
-        ones = max(y.sum(), 1.0)
-        return np.where(y > 0, len(y) / (2 * ones), len(y) / (2 * max(len(y) - ones, 1.0)))
-
-    for number in range(rounds + 1):
-        fitted = [fit_view(x[y >= 0], y[y >= 0], weights(y[y >= 0])) for x, y in zip(views, taught, strict=True)]
-        if number == rounds:
-            break
-        for k, other in ((0, 1), (1, 0)):
-            p = sigmoid(fitted[k].raw(views[k]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                at = np.flatnonzero(free[other] & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")][:EACH_ROUND]
-                taught[other][at] = label
-                free[other][at] = False
-    y = labels[aside].astype(float)
-    if len(set(y)) == 2:
-        for view, x in zip(fitted, views, strict=True):
-            slope, constant = logistic(view.raw(x[aside])[:, None], y, ridge=1e-2)
+        aside = int(CALIBRATE * len(own))
+        part[own[:aside]] = 1 + np.arange(aside) % 2
+    views, y = (text, meta), labels.astype(float)
+    taught = [(x[part == 0], y[part == 0]) for x in views]
+    fitted = tuple(fit_view(x, own, _balanced(own)) for x, own in taught)
+    for _ in range(rounds):
+        found = ask(fitted)
+        for (sure, label), rows in found.items():
+            other = 1 - sure
+            x, own = taught[other]
+            taught[other] = np.concatenate((x, rows[other])), np.concatenate((own, np.full(len(rows[other]), float(label))))
+        fitted = tuple(fit_view(x, own, _balanced(own)) for x, own in taught)
+    for view, x in zip(fitted, views, strict=True):
+        if len(set(y[part == 1])) == 2:
+            slope, constant = logistic(view.raw(x[part == 1])[:, None], y[part == 1], ridge=1e-2)
             view.calibration = (max(float(slope), 0.0), float(constant))
-        both = np.stack([view.log_odds(x[aside]) for view, x in zip(fitted, views, strict=True)], axis=1)
-        combine = logistic(both, y, ridge=1.0)
-    else:
-        combine = np.array([1.0, 1.0, 0.0])
-    return Model(fitted[0], fitted[1], combine, float(labels[known].mean()))
+    combine = np.array([1.0, 1.0, 0.0])
+    if len(set(y[part == 2])) == 2:
+        both = np.stack([view.log_odds(x[part == 2]) for view, x in zip(fitted, views, strict=True)], axis=1)
+        combine = logistic(both, y[part == 2], ridge=1.0)
+    return Model(fitted[0], fitted[1], combine, float(labels.mean()))
 
 
 def _views(part: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,43 +182,76 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, end - start)
 
 
+def _rows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of staged rows."""
+    table = np.frombuffer(b"".join(raw), np.float32).astype(float).reshape(-1, N_TEXT + N_META)
+    return table[:, :N_TEXT], table[:, N_TEXT:]
+
+
+def _surest(frame: DataFrame, views: tuple[View, View], taken: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The ``EACH_ROUND`` documents of each label that each view is most sure of, among all unlabelled ones that it hasn't told yet; ``taken`` notes them."""
+
+    def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        p = [sigmoid(view.raw(x)) for view, x in zip(views, _rows(batch.column(1).to_pylist()), strict=True)] if batch.num_rows else [np.zeros(0)] * 2
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1])], names=["place", "x", "p0", "p1"])
+
+    judged = map_batches(frame.select("place", "x"), judge, "place string, x binary, p0 double, p1 double")
+    best = None
+    for view in (0, 1):
+        for label in (1, 0):
+            sure = F.col(f"p{view}") if label else 1 - F.col(f"p{view}")
+            told = F.lit(f"{1 - view} ")
+            own = judged.where(sure >= SURE).where(~F.concat(told, F.col("place")).isin(taken) if taken else F.lit(True))
+            own = own.select(F.lit(view).alias("view"), F.lit(label).alias("label"), sure.alias("sure"), "place", "x").orderBy(F.desc("sure"), "place").limit(EACH_ROUND)
+            best = own if best is None else best.unionByName(own)
+    rows = sorted(best.collect())  # at most 4 * EACH_ROUND
+    taken += [f"{1 - row.view} {row.place}" for row in rows]
+    return {(view, label): _rows([bytes(row.x) for row in rows if (row.view, row.label) == (view, label)]) for view in (0, 1) for label in (0, 1)}
+
+
 def train(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> Model:
-    """The model for ``docs`` (columns of documents), from a bounded sample by a hash of the id: ``MAX_LABELLED`` documents of each label
-    and ``MAX_UNLABELLED`` others. Of several labels of one id the lowest counts; null labels don't."""
+    """The model for ``docs`` (columns of documents): from at most ``MAX_LABELLED`` labelled documents of each label, by a hash of the id, and in each round the surest of all
+    others. Of several labels of one id the lowest counts; null labels don't. Of several rows with one id that is learned from, one counts: that with the smallest text."""
+    spark, paths = docs.sparkSession, []
     named = pick(labels, doc_id=label_id, quality=label_col).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.when(F.min("quality") > 0, 1).otherwise(0).alias("quality"))
-    chosen = pick(docs, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
     order = F.md5(F.concat(F.lit("quality "), F.col("doc_id").cast("string")).cast("binary"))
-    others = chosen.select("doc_id").where("doc_id IS NOT NULL").join(named.select("doc_id"), "doc_id", "left_anti").orderBy(order).limit(MAX_UNLABELLED).withColumn("quality", F.lit(-1))
-    sample = others
+    sample = None
     for label in (0, 1):
-        sample = sample.unionByName(named.where(F.col("quality") == label).orderBy(order).limit(MAX_LABELLED))
-    sampled = chosen.join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").select("text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), "quality", order.alias("place"))
+        own = named.where(F.col("quality") == label).orderBy(order).limit(MAX_LABELLED)
+        sample = own if sample is None else sample.unionByName(own)
+    chosen = pick(docs, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
+    kind = dict(chosen.dtypes)["doc_id"]
+    told = chosen.select("text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), "doc_id")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in _parts(batch, 0):
-            text, meta = _views(part, 0)
-            rows = np.hstack((text, meta)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([part.column(5), part.column(4), pa.array(list(rows), pa.list_(pa.float64()))], names=["place", "quality", "x"])
+            rows = np.hstack(_views(part, 0)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column(4), pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "x"])
 
-    rows = sorted(map_batches(sampled, run, "place string, quality int, x array<double>").collect())  # at most the sample
-    table = np.array([row.x for row in rows]).reshape(-1, N_TEXT + N_META)
-    return co_train(table[:, :N_TEXT], table[:, N_TEXT:], np.array([row.quality for row in rows], int))
+    frame = staged(map_batches(told, run, f"doc_id {kind}, x binary").withColumn("place", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), "x"))), "views", paths)
+    known = frame.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("x", "place").alias("x"))  # at most 2 * MAX_LABELLED rows
+    rows = sorted(known.select(order.alias("place"), "quality", "x").collect())
+    others = frame.join(named.select("doc_id"), "doc_id", "left_anti")
+    taken: list[str] = []
+    model = co_train(*_rows([bytes(row.x) for row in rows]), np.array([row.quality for row in rows], int), lambda views: _surest(others, views, taken))
+    discard(spark, paths)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_id: str = "doc_id", label_col: str = "quality", carry: bool = False) -> DataFrame:
-    """(doc_id, quality_score, kept) of every row of ``docs``, or with ``carry`` all of ``docs`` and a column ``_kept``.
+    """(doc_id, quality_score, kept) of every row of ``docs``, or with ``carry`` the rows of ``docs`` that are kept, with their own columns.
 
     Null and empty texts have the figures of no characters; a null in the metadata is a category of its own. Without labels of both kinds the
     score is the labels' mean (1 without any). Repeated rows each give a row; an empty table gives no rows; further columns are ignored or
     carried along, whatever their names.
     """
     model = train(docs, labels, label_id, label_col)
-    columns = pick(docs, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
-    if carry:
-        small_batches(docs.sparkSession)
-        chosen = docs.select("*", F.col("text").alias("_t"), F.col("source").cast("string").alias("_s"), F.col("lang").cast("string").alias("_l"), F.col("n_chars").cast("long").alias("_n"))
-    else:
-        chosen = columns.select("doc_id", F.col("text").alias("_t"), F.col("source").cast("string").alias("_s"), F.col("lang").cast("string").alias("_l"), F.col("n_chars").cast("long").alias("_n"))
+    plain, at = positional(docs)
+    for name in ("doc_id", "text", "source", "lang", "n_chars"):
+        if name not in at:
+            raise ValueError(f"no column {name!r}; there are {docs.columns}")
+    told = [F.col(at["text"]).alias("t"), F.col(at["source"]).cast("string").alias("s"), F.col(at["lang"]).cast("string").alias("l"), F.col(at["n_chars"]).cast("long").alias("n")]
+    chosen = plain.select("*", *told) if carry else plain.select(F.col(at["doc_id"]).alias("doc_id"), *told)
     first = len(chosen.columns) - 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +260,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
                 p = model.probability(*_views(part, first))
                 kept = pa.array(p >= threshold)
                 if carry:
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(first)), kept], names=[*part.schema.names[:first], "_kept"])
+                    yield part.select(range(first)).filter(kept)
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), kept], names=["doc_id", "quality_score", "kept"])
 
     if carry:
-        return chosen.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_kept", T.BooleanType())]))
+        return chosen.mapInArrow(run, plain.schema).toDF(*docs.columns)
     return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, quality_score double, kept boolean")

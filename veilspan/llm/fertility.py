@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import groups_by_size, map_batches, pick, resident, small_batches
+from veilspan.llm.base import groups_by_size, map_batches, positional, resident
 from veilspan.llm.token_store import LibraryEncoder
 
 # The symbols that count, and the base limits.
@@ -219,20 +219,16 @@ MEASURES = (
 
 
 def apply_rules(docs: DataFrame, tokenizer: str, pieces: str, bands: Mapping[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", carry: bool = False) -> DataFrame:
-    """Measures and verdicts of each row: (doc_id, ``MEASURES``), or with ``carry`` all of ``docs`` and a column ``_kept``.
+    """Measures and verdicts of each row: (doc_id, ``MEASURES``), or with ``carry`` the rows of ``docs`` that are kept, with their own columns.
 
     A null or empty text has no words, so its base fails. ``lang_col`` may be None or hold nulls: then the script decides. Repeated rows
     each give a row, null ids stay null, an empty table gives no rows. Further columns are ignored (or carried along), whatever
     their names. One pass, no shuffle; texts are taken whole.
     """
     bands = dict(BANDS if bands is None else bands)
-    if carry:
-        small_batches(docs.sparkSession)
-        columns = docs.columns
-        chosen = docs.withColumn("_text", F.col(text_col)).withColumn("_lang", F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string"))
-    else:
-        chosen = pick(docs, doc_id=id_col, _text=text_col, **({"_lang": lang_col} if lang_col else {}))
-        chosen = chosen if lang_col else chosen.withColumn("_lang", F.lit(None).cast("string"))
+    plain, at = positional(docs)
+    told = [F.col(at[text_col]).alias("t"), (F.col(at[lang_col]) if lang_col else F.lit(None)).cast("string").alias("l")]
+    chosen = plain.select("*", *told) if carry else plain.select(F.col(at[id_col]).alias("doc_id"), *told)
     n = len(chosen.columns)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -250,15 +246,12 @@ def apply_rules(docs: DataFrame, tokenizer: str, pieces: str, bands: Mapping[str
                 rows.append((words, chars, symbols, lines, repeats, failed, kept, chars / tokens if tokens else None, n_bytes / n_pieces if n_pieces else None, entropy))
             if carry:
                 keep = pa.array([row[6] for row in rows], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n - 2)), keep], names=[*part.schema.names[: n - 2], "_kept"])
+                yield part.select(range(n - 2)).filter(keep)
             else:
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
                 arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", *(x.split()[0] for x in MEASURES.split(", "))])
 
     if carry:
-        from pyspark.sql import types as T
-
-        schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BooleanType())])
-        return chosen.mapInArrow(lambda batches: (out for batch in batches for out in run(batch)), schema).select(*columns, "_kept")
+        return chosen.mapInArrow(lambda batches: (out for batch in batches for out in run(batch)), plain.schema).toDF(*docs.columns)
     return map_batches(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, {MEASURES}")

@@ -14,10 +14,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import staged
+from veilspan.llm.base import pick, positional, staged
 
 TEMPERATURE = 0.7
 SEED = 17
+MOST_BROADCAST, SALTS = 10_000, 32
 TAIL = 1e-15
 DIGITS = 12  # hexadecimal digits of a hash that make a uniform number
 
@@ -29,7 +30,7 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, te
     relative; without them a source has its size to the power ``temperature``. A source without a weight, or without any
     character, gets rate zero or one. The budget is ``epochs`` times all characters.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("size"))
+    sizes = pick(docs, source=source_col, text=text_col).groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
         weighted = sizes.withColumn("weight", F.pow("size", F.lit(temperature)))
     else:
@@ -70,30 +71,38 @@ def most_copies(rate: float) -> int:
     return k + 2
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row repeated by its count, plus ``copy`` (from 0) and ``mix_key``, in the order of ``mix_key``.
+MOST_RATE = 600
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", added: bool = True) -> DataFrame:
+    """``docs`` with each row repeated by its count, in a global random order; with ``added`` also ``copy`` (from 0) and ``mix_key``, whose order it is.
 
     Rows with one id have one count. A null id hashes as the empty text; null and empty texts have size zero; a null source is
-    a source of its own. Of columns named ``copy`` or ``mix_key``, the operator's replace those of ``docs``. An empty table stays empty.
+    a source of its own. With ``added``, columns named ``copy`` or ``mix_key`` of ``docs`` give way; other names, also such that differ only by case, do no harm. An empty table stays
+    empty. A rate above ``MOST_RATE`` is an error, as its probabilities would vanish.
     """
+    plain, at = positional(docs)
     rates = staged(target_rates(docs, weights, temperature, epochs, source_col, text_col), "rates")
     highest = rates.agg(F.max("rate")).first()[0] or 0.0
-    if highest > 600:
+    if highest > MOST_RATE:
         raise ValueError(f"a source would be repeated {highest:.0f} times; lower its weight or the epochs")
-    kept = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    own = docs.select(*kept)
-    rated = own.join(rates.withColumnsRenamed({"source": "_source", "rate": "_rate"}), own[source_col].eqNullSafe(F.col("_source")), "inner") if _small(rates) else None
-    if rated is None:
-        salted = F.struct(F.coalesce(F.col(source_col), F.lit("")).alias("s"), F.col(source_col).isNull().alias("n"))
-        rated = own.withColumn("_s", salted).join(rates.select(F.struct(F.coalesce(F.col("source"), F.lit("")).alias("s"), F.col("source").isNull().alias("n")).alias("_s"), F.col("rate").alias("_rate")), "_s").drop("_s")
-    count = poisson_inverse(uniform(F.lit(seed), F.col(id_col)), F.col("_rate"), most_copies(highest))
-    counted = rated.withColumn("_count", count).where("_count > 0")
-    repeated = counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
-    keyed = repeated.withColumn("mix_key", uniform(F.lit(seed), F.lit("order"), F.col(id_col), F.col("copy")))
-    return keyed.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
-
-
-def _small(rates: DataFrame, most: int = 10_000) -> bool:
+    kept = [(new, name) for new, name in zip(plain.columns, docs.columns, strict=True) if not (added and name.lower() in ("copy", "mix_key"))]
+    own, key = F.col(at[source_col]), F.col(at[id_col])
+    if _small(rates):
+        rated = plain.join(F.broadcast(rates), own.eqNullSafe(F.col("source")))
+    else:
+        # A hot source's documents meet the rates in SALTS places.
+        named = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("rate", "r").select("source", "salt", "r")
+        rated = plain.withColumn("place", F.pmod(F.xxhash64(key, F.col(at[text_col])), F.lit(SALTS)).cast("int")).join(named, (F.col("place") == F.col("salt")) & own.eqNullSafe(F.col("source"))).withColumnRenamed("r", "rate")
+    counted = rated.withColumn("count", poisson_inverse(uniform(F.lit(seed), key), F.col("rate"), most_copies(highest))).where("count > 0")
+    repeated = counted.select(*(new for new, _ in kept), key.alias("key"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
+    keyed = repeated.withColumn("mix_key", uniform(F.lit(seed), F.lit("order"), F.col("key"), F.col("copy")))
+    dealt = keyed.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    more = ["copy", "mix_key"] if added else []
+    return dealt.select(*(new for new, _ in kept), *more).toDF(*(name for _, name in kept), *more)
+
+
+def _small(rates: DataFrame, most: int = MOST_BROADCAST) -> bool:
     """Whether the rates may be broadcast: ``most`` sources or fewer, each with a name of 1,000 characters or fewer."""
     count, longest = rates.agg(F.count("*"), F.coalesce(F.max(F.length("source")), F.lit(0))).first()
     return count <= most and longest <= 1000
