@@ -18,14 +18,12 @@ from veilspan.llm.queries import tokenizer_file, tokenizer_pattern
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier takes for good."""
-    judged = cotrain.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
-    return judged.where("_kept").select(*docs.columns)
+    return cotrain.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands."""
-    judged = fertility.apply_rules(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), carry=True)
-    return judged.where("_kept").select(*docs.columns)
+    return fertility.apply_rules(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), carry=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in a global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, added=False)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
