@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -11,11 +12,10 @@ def plain_kernel(a, b):
 
     def weights(word):
         out = {}
-        for i in range(len(word)):
-            for x, y in T.OFFSETS:
-                if i + y < len(word):
-                    key = (word[i], word[i + x], word[i + y])
-                    out[key] = out.get(key, 0) + T.DECAY ** (y + 1)
+        for i, j, k in combinations(range(len(word)), 3):
+            if k - i <= 6:
+                key = (word[i], word[j], word[k])
+                out[key] = out.get(key, 0) + 0.6 ** (k - i + 1)
         return out
 
     u, v = weights(a), weights(b)

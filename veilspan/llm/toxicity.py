@@ -1,11 +1,12 @@
 """Toxicity by a subsequence string kernel and a support vector machine with Nyström landmarks.
 
 Two words are as similar as their shared subsequences of ``ORDER`` letters, each weighted by ``DECAY`` to the power of the
-stretch that it spans, so gaps and inserted characters cost weight but don't break the match. Sentences of labelled
-documents give the training set: a sentence's witness is the word that speaks most for its label. Landmarks are chosen
+stretch that it spans (``GAP`` further letters at most), so gaps and inserted characters cost weight but don't break the match. The machine is trained on labelled
+sentences by their witnesses: a sentence is as toxic as its most toxic word. At first a toxic sentence's witness is the word that speaks most for the label; then in each round it is the one
+that the last machine finds most toxic, and so is a clean sentence's, the hardest example against. Landmarks are chosen
 from the witnesses far from one another; kernel values against them, whitened, are the features of a linear machine with squared hinge
 loss. As each landmark is a sum over subsequences, the machine folds into one weight for each subsequence, so a word is scored in a
-single pass over its letters. A document's score is a calibrated function of its words' margins.
+single pass over its letters. A document's score is a function of its words' margins, calibrated on labelled documents that were set aside.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 ORDER = 3
 DECAY = 0.6
-OFFSETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]  # of the second and third letter of a subsequence
-GAP = 4
+GAP = 6
+OFFSETS = [(a, b) for b in range(2, GAP + 1) for a in range(1, b)]  # of the second and third letter of a subsequence: up to two letters inserted after each
 SYMBOLS = 64
 #: Bounds of the training sample: labelled documents, words that may be witnesses, other words, landmarks.
 MAX_TOXIC, MAX_CLEAN, MAX_WITNESSES, MAX_OTHERS, LANDMARKS = 4_000, 12_000, 600, 6_000, 200
 LEAST_EVIDENCE = 15.0
 ROUNDS = 3
+ASIDE = 4  # each so many-th labelled document is left for calibration, where these are
+LEAST_ASIDE = 10  # of either label; else all are used
 CHUNK_CHARS = 1_000_000
 REMEMBERED_WORDS = 400_000
 
@@ -278,11 +281,28 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield part, part.column(column).to_pylist()
 
 
-def _judged(machine: Machine):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start in range(0, batch.num_rows, 10_000):
-            part = batch.slice(start, 10_000)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.margins(part.column(0).to_pylist()))], names=["word", "toxic", "clean", "margin"])
+def _witnesses(machine: Machine):
+    """(word, toxic, clean, margin): for each word the number of sentences of either label, within the task, whose most toxic word it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margins: dict[str, float] = {}
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            cut = [list({letters(x) for x in sentence.split()}) for sentence in batch.column(0).to_pylist()]
+            if len(margins) > REMEMBERED_WORDS:
+                margins = {}
+            new = list({word for words in cut for word in words if word and word not in margins})
+            margins[""] = -2.0
+            for start in range(0, len(new), 10_000):
+                part = new[start : start + 10_000]
+                margins.update(zip(part, machine.margins(part).tolist(), strict=True))
+            for words, toxic in zip(cut, batch.column(1).to_pylist(), strict=True):
+                if words:
+                    word = max(words, key=lambda x: (margins[x], x))
+                    counts.setdefault(word, [0, 0, margins[word]])[1 - toxic] += 1
+        words = [word for word in counts if word]
+        columns = [pa.array(words, pa.string()), *(pa.array([counts[w][i] for w in words], kind) for i, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "clean", "margin"])
 
     return run
 
@@ -291,8 +311,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The machine for ``docs``, from a bounded sample of the rows of ``labels`` that may be learned from.
 
     The sample: by a hash of the id, at most ``MAX_TOXIC`` and ``MAX_CLEAN`` documents, and of their words at most ``MAX_WITNESSES`` and, in each step, ``MAX_OTHERS``.
-    In each of ``ROUNDS`` rounds, words that the machine is wrong about, or that it finds in toxic sentences alone, join the training set. Of several labels of one id the highest counts;
-    null labels don't.
+    In each of ``ROUNDS`` rounds the witnesses of all sentences join the training set: of clean ones, and of toxic ones where no clean sentence holds the word. Of several labels of one id
+    the highest counts; null labels don't. Of several rows with one id the smallest text counts.
     """
     named = pick(labels, doc_id=label_id, toxic=label_col).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if not learn_all:
@@ -300,9 +320,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     named = named.groupBy("doc_id").agg(F.when(F.max("toxic") > 0, 1).otherwise(0).alias("toxic"))
     order = F.md5(F.concat(F.lit("toxic "), F.col("doc_id").cast("string")).cast("binary"))
     sample = named.where("toxic = 1").orderBy(order).limit(MAX_TOXIC).unionByName(named.where("toxic = 0").orderBy(order).limit(MAX_CLEAN))
-    rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most MAX_TOXIC + MAX_CLEAN rows
+    rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id")  # at most MAX_TOXIC + MAX_CLEAN ids
+    rows = staged(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(ASIDE)) == 0).alias("aside")), "labelled")
     # A sentence that copies share counts once, as clean where both labels hold it.
-    sentences = map_batches(rows, _sentences, "sentence string, toxic int").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    sentences = map_batches(rows.where("NOT aside").select("text", "toxic"), _sentences, "sentence string, toxic int").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    sentences = staged(sentences, "sentences")
     words = sentences.mapInArrow(_sentence_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     words = staged(words, "sentence-words")
     n_toxic, n_clean = (x or 0 for x in words.agg(F.sum("toxic"), F.sum("clean")).first())
@@ -321,21 +343,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trainer = Trainer([(row.word, row.evidence, row.toxic) for row in witnesses], others)
     machine = trainer.fit()
     for _ in range(ROUNDS if trainer.usable else 0):
-        judged = map_batches(words, _judged(machine), "word string, toxic long, clean long, margin double")
-        high = judged.where("margin > 0 AND clean = 0").orderBy(F.desc("margin"), tie).limit(MAX_OTHERS).collect()
+        told = sentences.mapInArrow(_witnesses(machine), "word string, toxic long, clean long, margin double").groupBy("word")
+        judged = told.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("margin").alias("margin")).join(words.select("word", F.col("clean").alias("seen")), "word")
+        judged = staged(judged, "witnesses")
+        high = judged.where("margin > 0.5 AND seen = 0").orderBy(F.desc("margin"), tie).limit(MAX_OTHERS).collect()
         wrong = judged.where("margin > -0.5 AND clean > 0").orderBy(F.desc("margin"), tie).limit(MAX_OTHERS).collect()
-        trainer.add([row.word for row in high if row.margin > 0.5], [(row.word, row.clean) for row in wrong])
+        trainer.add([row.word for row in high], [(row.word, row.clean) for row in wrong])
         machine = trainer.fit()
 
     def margins(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine)
         for part, texts in _texts(batch, 0):
             x = scorer.features(texts)
-            yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["toxic", *(f"x{i}" for i in range(FEATURES))])
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["toxic", "aside", *(f"x{i}" for i in range(FEATURES))])
 
-    table = np.array(map_batches(rows, margins, "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect(), float)
+    kinds = "toxic int, aside boolean, " + ", ".join(f"x{i} double" for i in range(FEATURES))
+    table = np.array(map_batches(rows, margins, kinds).collect(), float)  # at most MAX_TOXIC + MAX_CLEAN rows
+    aside = table[table[:, 1] > 0] if len(table) else table
     if len(table):
-        machine.calibration = logistic(table[:, 1:], table[:, 0])
+        own = aside if min(aside[:, 0].sum(), (1 - aside[:, 0]).sum()) >= LEAST_ASIDE else table
+        machine.calibration = logistic(own[:, 2:], own[:, 0])
     return machine
 
 
