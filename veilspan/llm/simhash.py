@@ -8,8 +8,8 @@ vectors, and such a pair meets under one key at least. Within a key, pairs are d
 their whole distances to the pivots (the triangle inequality: above the radius there is no link), and the survivors are
 verified bit by bit. Only a spanning star of each key's links is passed on, never all pairs.
 
-Exact copies share a fingerprint and count once from the start. Keys with more than ``SPLIT`` fingerprints are cut by
-the distance to one pivot: a fingerprint at distance d goes to parts d - RADIUS to d, so linked pairs still meet. Links become
+Exact copies share a fingerprint and count once from the start. Keys with more than ``SPLIT`` fingerprints are cut into narrower ones by
+the bits that they leave open: in ``RADIUS + 1`` parts of these, linked fingerprints agree in one at least, so they still meet. Links become
 components by alternating star contraction, which keeps every step distributed and staged in the shared folder.
 """
 
@@ -104,6 +104,17 @@ def pivot_tables() -> PivotTables:
     return PivotTables()
 
 
+def joined(labels: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+    """Joins the components (each place's smallest one) of linked places."""
+    while len(rows):
+        a, b = labels[rows], labels[columns]
+        apart = a != b
+        rows, columns, a, b = rows[apart], columns[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (labels[labels] != labels).any():
+            labels[:] = labels[labels]
+
+
 def linked_stars(fps: np.ndarray, tables: PivotTables) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest fingerprint of its component) for the links among ``fps``; those without links are left out."""
     at = tables.coordinates(fps)
@@ -114,18 +125,15 @@ def linked_stars(fps: np.ndarray, tables: PivotTables) -> tuple[np.ndarray, np.n
     for start in range(0, len(fps), BLOCK):
         end = min(start + BLOCK, len(fps))
         far = int(np.searchsorted(at[:, 0], at[end - 1, 0] + RADIUS, side="right"))
-        near = np.ones((end - start, far - start), bool)
+        rows, columns = np.nonzero(np.triu(np.ones((end - start, far - start), bool), 1))
         for pivot in range(PIVOTS):
-            near &= np.abs(at[start:end, None, pivot] - at[None, start:far, pivot]) <= RADIUS
-        rows, columns = np.nonzero(near)
-        rows, columns = rows[columns > rows] + start, columns[columns > rows] + start
+            near = np.abs(at[rows + start, pivot] - at[columns + start, pivot]) <= RADIUS
+            rows, columns = rows[near], columns[near]
+        rows, columns = rows + start, columns + start
         sure = np.bitwise_count(fps[rows] ^ fps[columns]) <= RADIUS
         rows, columns = rows[sure], columns[sure]
         linked[rows] = linked[columns] = True
-        for row in np.unique(rows):
-            met = np.unique(labels[np.append(columns[rows == row], row)])
-            if len(met) > 1:
-                labels[np.isin(labels, met)] = met[0]
+        joined(labels, rows, columns)
     if not linked.any():
         return fps[:0], fps[:0]
     least = np.full(len(fps), np.iinfo(np.uint64).max, np.uint64)
@@ -141,18 +149,32 @@ def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tables = pivot_tables()
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        keys = np.concatenate(list(tables.table_keys(fps)))
-        copies = len(keys) // max(len(fps), 1)
-        part = np.tile(tables.coordinates(fps)[:, 0].astype(np.int32), copies)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part), pa.array(np.tile(fps.view(np.int64), copies))], names=["key", "part", "fp"])
-
-    rows = map_batches(distinct.select("fp"), keyed, "key long, part int, fp long")
+        keys = list(tables.table_keys(fps))
+        numbers = np.repeat(np.arange(len(keys), dtype=np.int32), len(fps))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(numbers), pa.array(np.tile(fps.view(np.int64), len(keys)))], names=["key", "number", "fp"])
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A large key's rows under ``RADIUS + 1`` narrower ones: linked fingerprints agree in one part at least of the bits that the key leaves open."""
+        key, number, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        own = pivot_tables().bands(fp.astype(np.int64).view(np.uint64))
+        rest = np.zeros(len(fp), np.uint64)
+        for i, chosen in enumerate(combinations(range(BANDS), BANDS - RADIUS)):
+            left = [own[band].astype(np.uint64) for band in range(BANDS) if band not in chosen]
+            rest = np.where(number == i, sum(x << np.uint64(16 * k) for k, x in enumerate(left)), rest)
+        bounds = np.linspace(0, 16 * RADIUS, RADIUS + 2).astype(int).tolist()
+        keys = []
+        for i, (first, last) in enumerate(zip(bounds, bounds[1:])):
+            part = (rest >> np.uint64(first)) & np.uint64((1 << (last - first)) - 1)
+            mixed = (key.astype(np.int64).view(np.uint64) ^ (part * np.uint64(len(bounds)) + np.uint64(i + 1))) * np.uint64(0x9E3779B97F4A7C15)
+            keys.append((mixed ^ (mixed >> np.uint64(31))).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(keys)))], names=["key", "fp"])
+
+    rows = map_batches(distinct.select("fp"), keyed, "key long, number int, fp long")
     large = staged(rows.groupBy("key").count().where(F.col("count") > split).select("key"), "large-keys")
     if not large.isEmpty():
-        parted = F.explode(F.sequence(F.col("part") - RADIUS, F.col("part")))
-        rows = rows.join(large.withColumn("is_large", F.lit(True)), "key", "left").select("key", F.when(F.col("is_large"), F.col("part")).alias("part"), "fp")
-        rows = rows.where("part IS NULL").unionByName(rows.where("part IS NOT NULL").withColumn("part", parted))
-        rows = rows.select(F.xxhash64("key", "part").alias("key"), "fp")
+        told = rows.join(large.withColumn("is_large", F.lit(True)), "key", "left")
+        narrow = map_batches(told.where("is_large").select("key", "number", "fp"), cut, "key long, fp long")
+        rows = told.where("is_large IS NULL").select("key", "fp").unionByName(narrow)
     else:
         rows = rows.select("key", "fp")
 
