@@ -76,7 +76,7 @@ def test_verdicts(meter):
 
 
 def test_script():
-    assert Q.script("plain é") == "Latin" and Q.script("日本語 ab") == "Other" and Q.script("") == "Latin" and Q.script("123 …") == "Latin"
+    assert Q.script("plain é") == "Latin" and Q.script("日本語 ab") == "Han" and Q.script("ひらがな漢字") == "Kana" and Q.script("ქართული") == "Other" and Q.script("") == "Latin" and Q.script("123 …") == "Latin"
 
 
 def test_table(awkward, extra, empty):
@@ -93,3 +93,33 @@ def test_table(awkward, extra, empty):
     carried = Q.apply_rules(clashing, *FILES, carry=True)
     assert carried.columns == clashing.columns and carried.collect() == [r for r, k in zip(clashing.collect(), kept, strict=True) if k]
     assert Q.apply_rules(awkward, *FILES, lang_col=None).count() == 10
+
+
+PROSE = {
+    "Cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. ",
+    "Greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. ",
+    "Arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا. ",
+    "Hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון. ",
+    "Devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। ",
+    "Han": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "Kana": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. ",
+    "Thai": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ",
+    "Latin": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. ",
+}
+
+
+@pytest.mark.parametrize("name", PROSE)
+def test_each_script_has_its_band(name):
+    """Prose stays inside its script's band; the same bytes read in a wrong way, or one sign over and over, fall outside."""
+    meter = Q.meter(*FILES)
+
+    def inside(text):
+        raw = text.encode()
+        words, chars, *_, tokens, n_pieces, n_bytes, entropy = meter.measure(raw, len(text), meter.numbers([raw])[0])
+        return Q.verdict(Q.BANDS[Q.script(text)], chars, tokens, n_pieces, n_bytes, entropy)
+
+    assert Q.script(PROSE[name]) == name and inside(PROSE[name])
+    assert not inside(PROSE[name][0] * 300)
+    if name != "Latin":
+        assert not inside(PROSE[name].encode().decode("latin-1"))
