@@ -89,3 +89,20 @@ def test_table(spark, awkward, extra, empty):
     assert sum(r.n_docs for r in manifest) == 10
     first = manifest[0]
     assert S.lookup(folder, first.path, [0])[0].tobytes() == want[0][2]
+
+
+def test_ids_that_the_file_cannot_hold(spark):
+    for value, kind in (("a", "string"), (-(1 << 63), "long")):
+        with pytest.raises(Exception, match="whole numbers|stands for a null"):
+            S.store_and_read(spark.createDataFrame([(value, "x")], f"doc_id {kind}, text string"), P.path("byte_bpe_50k.json")).collect()
+
+
+def test_batches_are_bounded():
+    class Stub:
+        ids = list(range(40))
+
+        def document(self, number):
+            return np.full(S.CHUNK_CHARS // 10 if number < 30 else 1, number, np.uint32)
+
+    sizes = [[len(x) for x in batch.column(2).to_pylist()] for batch in S.batches(Stub(), 5)]
+    assert sum(map(len, sizes)) == 40 and max(map(sum, sizes)) <= 1.5 * S.CHUNK_CHARS

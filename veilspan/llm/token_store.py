@@ -55,6 +55,8 @@ class Writer:
         self.documents: list[bytes] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
+        if doc_id == NO_ID:
+            raise ValueError(f"the id {NO_ID} stands for a null in the file")
         count = 0
         for start in range(0, max(len(ids), 1), 4 * FRAME_IDS):
             raw = ids[start : start + 4 * FRAME_IDS]
@@ -193,6 +195,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, id
     file; it alone comes to the driver, for the number of ids before each file.
     """
     spark = docs.sparkSession
+    kind = dict(pick(docs, doc_id=id_col).dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"the file holds whole numbers as ids; {id_col!r} is {kind}")
     ordered = pick(docs, doc_id=id_col, text=text_col).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,24 +232,29 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, id
     return spark.createDataFrame([(*row, start) for row, start in zip(rows, starts, strict=False)], "shard int, path string, n_docs long, n_tokens long, start long")
 
 
+def batches(reader: Reader, start: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, ids) of a file's documents, about ``CHUNK_CHARS`` bytes of ids at once or one document's."""
+    held, size = [], 0
+    for number, doc_id in enumerate(reader.ids):
+        ids = reader.document(number).tobytes()
+        held.append((doc_id, start, ids))
+        start, size = start + len(ids) // 4, size + len(ids)
+        if size > CHUNK_CHARS or len(held) >= 256:
+            yield _documents(held)
+            held, size = [], 0
+    if held:
+        yield _documents(held)
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, ids) of every document in the files, ids as little-endian unsigned 32-bit integers; ``start``: ids before it."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(folder)
-        for batch in batches:
+        for batch in given:
             for row in batch.to_pylist():
                 with system.open_input_file(row["path"]) as source:
-                    reader, start, held = Reader(source), row["start"], []
-                    for number, doc_id in enumerate(reader.ids):
-                        ids = reader.document(number).tobytes()
-                        held.append((doc_id, start, ids))
-                        start += len(ids) // 4
-                        if sum(len(x[2]) for x in held[-1:]) > CHUNK_CHARS or len(held) >= 256:
-                            yield _documents(held)
-                            held = []
-                    if held:
-                        yield _documents(held)
+                    yield from batches(Reader(source), row["start"])
 
     files = max(1, manifest.count())
     return manifest.select("path", "start").repartition(files, "path").mapInArrow(run, "doc_id long, start long, ids binary")
@@ -275,7 +285,7 @@ def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col
     """(doc_id, start, ids) of each row, written to new files below the shared folder and read back from them.
 
     A null or empty text has the end id alone. Rows with one id stand side by side, in the order of their texts; null ids come
-    first. An empty table gives no file and no rows. Further columns are ignored, whatever their names. Texts are taken whole: memory
+    first. Ids are whole numbers above the smallest long, which stands for a null; others are an error. An empty table gives no file and no rows. Further columns are ignored, whatever their names. Texts are taken whole: memory
     follows the longest text and ``CHUNK_CHARS``.
     """
     folder = new_folder(docs.sparkSession)
