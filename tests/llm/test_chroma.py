@@ -3,6 +3,8 @@ import wave
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from veilspan.llm import chroma as C
 
 
@@ -55,8 +57,8 @@ def test_alignment(spark):
     media = spark.createDataFrame([(i, bytearray(np.asarray(x).astype("<i2").tobytes())) for i, x in rows] + [(7, None)], "id long, media binary")
     found = {r.id: r for r in C.align(C.fingerprints(media, "id", "media"), media.where("id % 100 = 0")).collect()}
     assert len(found) == 9 and found[100].class_id == found[1].class_id == 1 and found[5].class_id == found[7].class_id == 5
-    assert found[2].links is None and found[100].links == found[1].links
-    links = {x.class_id: x for x in found[100].links}
+    assert found[2].links is None and found[100].links is None and found[100].n_links == found[1].n_links == 2
+    links = {x.class_id: x for x in found[1].links}
     assert set(links) == {3, 4} and links[3].offset == 0 and links[4].offset == 12 and links[3].errors < 0.1
     (link,) = found[200].links
     assert link.class_id == 2 and link.offset == 10
@@ -113,3 +115,15 @@ def test_every_place_of_a_query_counts():
     whole, excerpt = np.concatenate((x, y, x, z)), np.concatenate((x, z))
     a, b, offset, errors, overlap = C.QueryIndex([whole]).search([excerpt], 0.15, 0.5)
     assert (a.tolist(), b.tolist(), offset.tolist(), errors.tolist(), overlap.tolist()) == ([0], [0], [-80], [0], [80])
+
+
+def test_silence_and_awkward_rows(spark):
+    """Silent recordings of any length are one class without links to one another; null ids, repeated rows, clashing names."""
+    rows = [(i, b"\0" * (2 * C.RATE + 700 * (i % 40))) for i in range(300)] + [(None, b""), (None, None), (300, C.render([0.1, 0.9, -0.4] * 20)), (300, C.render([0.1, 0.9, -0.4] * 20))]
+    table = spark.createDataFrame(rows, "id long, media binary").withColumn("Class_ID", F.lit("x")).withColumn("links", F.lit("x"))
+    prints = C.fingerprints(table, "id", "media").withColumn("digest", F.lit("x"))
+    found = C.align(prints, table.where("id % 100 = 0").unionByName(table.where("id = 300"))).collect()
+    assert len(found) == 304 and {r.class_id for r in found if r.id is not None and r.id < 300} == {0}
+    assert all(r.n_links in (0, None) and not r.links for r in found) and sum(r.n_integers == 0 for r in found) == 2
+    assert [r.class_id for r in found if r.id == 300] == [300, 300]
+    assert C.align(prints.limit(0), table).collect() == []

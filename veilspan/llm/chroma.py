@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import groups_by_size, map_batches, pick, resident, staged
+from veilspan.llm.base import groups_by_size, join_one, map_batches, pick, resident, staged
 
 RATE, FRAME, HOP = 5512, 1024, 256
 LOWEST, HIGHEST = 60.0, 2600.0
@@ -222,18 +222,25 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
 
 
 def align(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS, least_overlap: float = LEAST_OVERLAP, query_places: int = QUERY_PLACES) -> DataFrame:
-    """(id, n_integers, digest, class_id, links array<struct<class_id, offset, errors, overlap>>): a row for each row of ``prints`` (id, fingerprint).
+    """(id, n_integers, digest, class_id, n_links, links array<struct<class_id, offset, errors, overlap>>): a row for each row of ``prints`` (id, fingerprint).
 
-    ``class_id`` is the smallest id with the same fingerprint. The classes of ``queries`` (id) are searched for among all classes; ``links`` holds, for each member
-    of such a class, the other classes that it aligns with, and is null for other rows. ``offset``: positions by which the other one starts later. Empty fingerprints form one class
+    ``class_id`` is the smallest id with the same fingerprint; steady ones, which repeat one integer as silence and held notes do, count as the same whatever their length. The classes of
+    ``queries`` (id) are searched for among all classes. ``n_links`` says for each member of such a class how many other classes it aligns with; ``links`` holds them on the rows of
+    the class's own id, and both are null elsewhere. ``offset``: positions by which the other one starts later. Empty fingerprints form one class
     without links. Copies are not expanded: a class meets a class. Classes are read once for each block of queries of ``query_places`` integers.
+
+    A null fingerprint counts as empty, a null id stays null and names its class only where no other does (then nobody finds the class, as a query's id is no null); repeated rows each
+    give a row, repeated and unknown queries do no harm, an empty table gives no rows. Further columns are ignored.
     """
     spark = prints.sparkSession
+    prints = prints.select("id", F.coalesce("fingerprint", F.array().cast("array<bigint>")).alias("fingerprint"))
     digest = F.sha2(F.array_join("fingerprint", ",").cast("binary"), 256)
-    named = staged(prints.select("id", "fingerprint", F.size("fingerprint").alias("n_integers"), digest.alias("digest")), "prints")
-    classes = staged(named.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fingerprint").alias("fingerprint"), F.max("n_integers").alias("n")), "classes")
-    asked = named.join(queries.select("id").distinct(), "id", "left_semi").select("digest").distinct()
-    chosen = staged(classes.join(asked, "digest", "left_semi").select("class_id", "fingerprint"), "asked")
+    steady = (F.size("fingerprint") > 0) & (F.array_min("fingerprint") == F.array_max("fingerprint"))
+    same = F.when(steady, F.concat(F.lit("steady "), F.element_at("fingerprint", 1).cast("string"))).otherwise(F.col("digest"))
+    named = staged(prints.select("id", "fingerprint", F.size("fingerprint").alias("n_integers"), digest.alias("digest")).withColumn("same", F.when(F.col("n_integers") > 0, same).otherwise(F.col("digest"))), "prints")
+    classes = staged(named.groupBy("same").agg(F.min("id").alias("class_id"), F.max_by("fingerprint", F.struct("n_integers", "digest")).alias("fingerprint"), F.max("n_integers").alias("n")), "classes")
+    asked = named.join(queries.select("id").distinct(), "id", "left_semi").select("same").distinct()
+    chosen = staged(classes.join(asked, "same", "left_semi").select("same", "class_id", "fingerprint"), "asked")
     kind = dict(prints.dtypes)["id"]
     schema = f"class_id {kind}, link struct<class_id: {kind}, offset: long, errors: double, overlap: long>"
     # Even shares: the search is the work, and the classes' files are few.
@@ -269,7 +276,11 @@ def align(prints: DataFrame, queries: DataFrame, max_errors: float = MAX_ERRORS,
     if block:
         verified = verified.unionByName(search(block))
     links = chosen.select("class_id").join(verified, "class_id", "left").groupBy("class_id").agg(F.sort_array(F.collect_list("link")).alias("links"))
-    return named.join(classes.select("digest", "class_id"), "digest").join(links, "class_id", "left").select("id", "n_integers", "digest", "class_id", "links")
+    told = chosen.select("same", "class_id").join(links, "class_id").select("same", F.size("links").alias("n_links"))
+    rows = join_one(named.select("id", "n_integers", "digest", "same"), classes.select("same", "class_id"), "same")
+    rows = join_one(rows, told.unionByName(classes.join(asked, "same", "left_anti").select("same", F.lit(None).cast("int").alias("n_links"))), "same")
+    own = links.withColumnRenamed("class_id", "id")
+    return rows.join(own.withColumn("owner", F.col("id")), "id", "left").select("id", "n_integers", "digest", "class_id", "n_links", F.when(F.col("class_id") == F.col("owner"), F.col("links")).alias("links"))
 
 
 def render(values: list[float] | None, rate: int = RATE, note: int = 512) -> bytes:
@@ -283,7 +294,7 @@ def render(values: list[float] | None, rate: int = RATE, note: int = 512) -> byt
 
 
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, media): a recording for each vector, so that the tables hold a media column."""
+    """(id, media): a recording for each vector, so that the tables hold a media column. Null and empty vectors give no sound; each row gives a row, whatever its id."""
     chosen = pick(vectors, id=id_col, vector=vector_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
