@@ -20,9 +20,9 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column | str) -> Column:
-    """Unicode NFC. Text that is plain ASCII, most of it, never leaves the JVM's result."""
+    """Unicode NFC. Plain ASCII has that form, so the workers get a null in its place and only other texts travel."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.when(text.rlike(r"^\p{ASCII}*\z"), text).otherwise(F.pandas_udf(_nfc, "string")(text))
+    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(~text.rlike(r"^\p{ASCII}*\z"), text)), text)
 
 
 def fold(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def as_entities(spans: DataFrame, source: str = "rule", review: str = "pending")
     return named.withColumn("source", F.lit(source)).withColumn("review", F.lit(review))
 
 
-def scan(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None, merged: bool = False) -> DataFrame:
-    """(doc_id, page_index, surface_id, ordinal, type, start, end, text): what the finders find in a relation with ``text``, before merging or ``merged``.
+def scan(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None, merged: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, page_index, surface_id, ``keep``, ordinal, type, start, end, text): what the finders find in a relation with ``text``, before merging or ``merged``.
 
     All finders run in one projection, so a text is read once, and a place's spans are merged where they stand.
     """
@@ -32,12 +34,12 @@ def scan(places: DataFrame, language: Column | None = None, scanned: Column | No
     for name, kind in (("page_index", "int"), ("surface_id", "string")):
         if name not in found.columns:
             found = found.withColumn(name, F.lit(0 if name == "page_index" else None).cast(kind))
-    return exploded(found, "_spans", ["doc_id", "page_index", "surface_id"])
+    return exploded(found, "_spans", ["doc_id", "page_index", "surface_id", *keep])
 
 
-def detect(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None) -> DataFrame:
-    """The merged findings of the rules as entities."""
-    return as_entities(scan(places, language, scanned, only, merged=True).withColumn("score", F.lit(None).cast("double")))
+def detect(places: DataFrame, language: Column | None = None, scanned: Column | None = None, only: list[finders.Finder] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The merged findings of the rules as entities, with the columns ``keep`` of their places."""
+    return as_entities(scan(places, language, scanned, only, merged=True, keep=keep).withColumn("score", F.lit(None).cast("double")))
 
 
 def places_of(pages: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def recognised_language(text: Column, least_letters: int = 100, least_share: flo
     letters = F.length(F.regexp_replace(head, r"\P{L}", ""))
     words = F.split(F.lower(head), r"[^\p{L}]+")
     among = lambda own: F.size(F.filter(words, lambda w: w.isin(*own)))
-    counts = {tag: among(own.split()) for tag, own in SMALL_WORDS.items()}
+    counts = {tag: among(own) for tag, own in SMALL_WORDS.items()}
     total = sum(counts.values(), F.lit(0))
     best = F.greatest(*counts.values())
     out = F.lit(None).cast("string")
@@ -77,12 +79,12 @@ def recognised_language(text: Column, least_letters: int = 100, least_share: flo
 
 # Frequent words that tell the languages apart.
 SMALL_WORDS = {
-    "cs": "je se že která který jsem jsou byl byla bylo nebo při není podle pro jako také",
-    "sk": "je sa že ktorá ktorý som sú bol bola bolo alebo pri nie podľa pre ako tiež",
-    "en": "the of and to in is that for was with are this by from at",
-    "de": "der die und das ist nicht mit den von sich auch für auf ein eine",
-    "fr": "le les des est une dans pour que qui sur pas avec du au et",
-    "es": "el los las del una por con para que se es no en lo",
+    "cs": ["je", "se", "že", "která", "který", "jsem", "jsou", "byl", "byla", "bylo", "nebo", "při", "není", "podle", "pro", "jako", "také"],
+    "sk": ["je", "sa", "že", "ktorá", "ktorý", "som", "sú", "bol", "bola", "bolo", "alebo", "pri", "nie", "podľa", "pre", "ako", "tiež"],
+    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "was", "with", "are", "this", "by", "from", "at"],
+    "de": ["der", "die", "und", "das", "ist", "nicht", "mit", "den", "von", "sich", "auch", "für", "auf", "ein", "eine"],
+    "fr": ["le", "les", "des", "est", "une", "dans", "pour", "que", "qui", "sur", "pas", "avec", "du", "au", "et"],
+    "es": ["el", "los", "las", "del", "una", "por", "con", "para", "que", "se", "es", "no", "en", "lo"],
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.spans import _col, overlap, piece
 from veilspan.operators.propagate import TITLES
-from veilspan.operators.roles import role_words_for
+from veilspan.operators.roles import role_noun
 
 ALL = "all"
 # Categories, honorifics and the signs around words.
@@ -17,7 +17,7 @@ HONORIFICS = (
     "pan pana panu pane panem panovi páni pánové pánům pány paní slečna slečny slečně slečnu slečno slečnou p sl pán pána pánovi pánom pánov pani panej paniu paňou panie slečne "
     "mr mrs ms miss mx sir"
 )
-TITLE_WORDS = sorted({word.rstrip(".").lower() for title in TITLES.split("|") for word in title.split()} | set(HONORIFICS.split()))
+TITLE_WORDS = sorted({word.rstrip(".").lower() for title in TITLES for word in title.split()} | set(HONORIFICS.split()))
 EDGE = r""",;:!?()\[\]{}"'„“”«»"""
 OPENERS = r""" \t"'„“‚‘«»(\[{\-–—"""
 HYPHENS = r"[-‐‑–'’ʼ]"
@@ -76,7 +76,7 @@ def alarm_categories(text: Column | str, start: Column, end: Column, overlapped:
     more = F.array_compact(
         F.array(
             F.when((F.size(words) == 1) & value.rlike(r"^\p{Lu}") & ~caps, "capitalised_word"),
-            F.when(F.lower(F.regexp_extract(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")), r"\p{L}+", 0)).isin(*sorted(role_words_for(language))), "role_noun"),
+            F.when(role_noun(F.lower(F.regexp_extract(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")), r"\p{L}+", 0)), language), "role_noun"),
             F.when(F.exists(others, lambda t: t == "organization"), "organization"),
             F.when(F.exists(others, lambda t: t != "organization"), "other_type"),
         )

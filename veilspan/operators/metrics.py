@@ -169,7 +169,8 @@ def resampled(tallies: DataFrame, drawn: DataFrame, keys: list[str], columns: li
     sums = drawn.join(some, "doc_id").groupBy("draw", *keys).agg(*(F.sum(F.col("weight") * F.col(x)).alias(x) for x in columns))
     if not keys:
         return drawn.select("draw").distinct().join(sums, "draw", "left").na.fill(0, columns)
-    groups = drawn.select("draw").distinct().join(tallies.select(*keys).distinct())  # draws by groups, both few
+    every = drawn.agg(F.collect_set("draw").alias("draws"))  # one row: the draws' numbers, not their documents
+    groups = tallies.select(*keys).distinct().join(F.broadcast(every)).select(*keys, F.explode("draws").alias("draw"))
     return groups.join(sums, ["draw", *keys], "left").na.fill(0, columns)
 
 

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.spans import contains, exploded, matches, overlap, piece
 from veilspan.functions.text import words_pattern
-from veilspan.operators.merge import PLACE, same_place, with_places
+from veilspan.operators.merge import with_places
 
 # Titles before a name and degrees after it.
-TITLES = "Bc.|BcA.|Ing.|Ing. arch.|Mgr.|MgA.|MUDr.|MDDr.|MVDr.|JUDr.|PhDr.|RNDr.|PharmDr.|PaedDr.|ThDr.|ThLic.|ICDr.|RSDr.|Dr.|doc.|prof."
-DEGREES = "Ph.D.|PhD.|Ph.D|PhD|Th.D.|ArtD.|CSc.|DrSc.|DiS.|MBA|MPA|LL.M.|DBA"
+TITLES = ["Bc.", "BcA.", "Ing.", "Ing. arch.", "Mgr.", "MgA.", "MUDr.", "MDDr.", "MVDr.", "JUDr.", "PhDr.", "RNDr.", "PharmDr.", "PaedDr.", "ThDr.", "ThLic.", "ICDr.", "RSDr.", "Dr.", "doc.", "prof."]
+DEGREES = ["Ph.D.", "PhD.", "Ph.D", "PhD", "Th.D.", "ArtD.", "CSc.", "DrSc.", "DiS.", "MBA", "MPA", "LL.M.", "DBA"]
 LOOK_BACK = 80
 
 
-def _choices(names: str) -> str:
-    longest_first = sorted(names.split("|"), key=lambda x: (-len(x), x))
+def _choices(names: list[str]) -> str:
+    longest_first = sorted(names, key=lambda x: (-len(x), x))
     return "|".join(r"\s+".join("\\Q" + part + "\\E" for part in name.split()) for name in longest_first)
 
 
@@ -46,6 +46,8 @@ def propagate_occurrences(pages: DataFrame, entities: DataFrame, marked: DataFra
     pairs = pairs.where(F.contains("page", F.regexp_extract("marked", r"(?U)\S+", 0)))
     found = pairs.withColumn("_spans", matches("page", words_pattern(F.col("marked"))))
     rows = exploded(found.withColumn("kind", F.col("type")), "_spans", ["doc_id", "page_index", "kind", "place"]).select("doc_id", "page_index", F.col("kind").alias("type"), "place", "start", "end", "text")
+    # One exchange, which all joins below and both sides of the last one share, so occurrences are searched once.
+    rows = rows.repartition("doc_id", "page_index")
     here = lambda b: (F.col("a.doc_id") == F.col(f"{b}.doc_id")) & (F.col("a.page_index") == F.col(f"{b}.page_index"))
     cols = lambda a, b: (F.col(f"{a}.start"), F.col(f"{a}.end"), F.col(f"{b}.start"), F.col(f"{b}.end"))
     rejected = on_page.where("review = 'rejected'").select("doc_id", "page_index", "start", "end")
@@ -102,4 +104,3 @@ def remove_with_repeats(entities: DataFrame, removed: DataFrame) -> DataFrame:
     return out.where(~drop).select(*entities.columns)
 
 
-__all__ = ["PLACE", "extend_with_titles", "marked_texts", "propagate_occurrences", "remove_with_repeats", "same_place", "widened_over_titles"]

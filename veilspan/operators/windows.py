@@ -21,19 +21,24 @@ def model_tokens(text: Column | str) -> Column:
     return matches(text, TOKEN, "token")
 
 
-def token_windows(tokens: Column, window: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
-    """(first, last, start, end) of each window over an array of tokens; the last one reaches the end."""
+def token_count(text: Column | str) -> Column:
+    """How many tokens a text has; null text has none."""
+    return F.coalesce(F.size(F.regexp_extract_all(_col(text), F.lit(TOKEN), F.lit(0))), F.lit(0))
+
+
+def window_bounds(count: Column, window: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """(first, last) of each window over so many tokens; the last one reaches the end."""
     step = window - overlap
+    firsts = F.when(count == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.ceil((count - window) / step), F.lit(0)).cast("int") * step, F.lit(step)))
+    return F.transform(firsts, lambda first: F.struct(first.cast("int").alias("first"), F.least(first + window, count).cast("int").alias("last")))
 
-    def cut(own: Column) -> Column:
-        n = F.size(own)
-        firsts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.ceil((n - window) / step), F.lit(0)).cast("int") * step, F.lit(step)))
 
-        def whole(first: Column) -> Column:
-            last = F.least(first + window, n)
-            return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), F.element_at(own, first + 1)["start"].alias("start"), F.element_at(own, last)["end"].alias("end"))
+def token_windows(tokens: Column, window: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """(first, last, start, end) of each window over an array of tokens; the last one reaches the end."""
 
-        return F.transform(firsts, whole)
+    def cut(own: Column) -> Column:
+        edges = lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last"), F.get(own, w["first"])["start"].alias("start"), F.get(own, w["last"] - 1)["end"].alias("end"))
+        return F.transform(window_bounds(F.size(own), window, overlap), edges)
 
     return let(tokens, cut)
 

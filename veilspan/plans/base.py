@@ -42,10 +42,11 @@ TYPES = ["email", "phone", "person", "date"]
 
 
 def made_spans(spark: SparkSession, sf_dir: str, salt: str, each: int = 6) -> DataFrame:
-    """(doc_id, page_index, ordinal, type, start, end, score): ``each`` spans of up to 40 characters in every document that has text, from hashes."""
+    """(doc_id, page_index, ordinal, type, start, end, score): ``each`` spans of up to 40 characters in every document that has text, from hashes. They crowd within 400 characters after a place anywhere in the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).where("n > 0")
     rows = docs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
-    start = h(F.lit(salt), F.col("doc_id"), F.col("i"), F.lit("s")) % F.least("n", F.lit(400))
+    crowd = h(F.lit(salt), F.col("doc_id"), F.lit("crowd"))
+    start = (crowd + h(F.lit(salt), F.col("doc_id"), F.col("i"), F.lit("s")) % 400) % F.col("n")
     size = 1 + h(F.lit(salt), F.col("doc_id"), F.col("i"), F.lit("e")) % 40
     kind = F.element_at(F.array(*(F.lit(t) for t in TYPES)), (1 + h(F.lit(salt), F.col("doc_id"), F.col("i"), F.lit("t")) % len(TYPES)).cast("int"))
     score = (h(F.lit(salt), F.col("doc_id"), F.col("i"), F.lit("p")) % 10) / 10.0
@@ -54,10 +55,11 @@ def made_spans(spark: SparkSession, sf_dir: str, salt: str, each: int = 6) -> Da
 
 def sql_spans(salt: str, each: int = 6) -> str:
     part = lambda x: sql_h(f"'{salt}'", "CAST(doc_id AS VARCHAR)", "CAST(i AS VARCHAR)", f"'{x}'")
+    crowd = sql_h(f"'{salt}'", "CAST(doc_id AS VARCHAR)", "'crowd'")
     kinds = ", ".join(f"'{t}'" for t in TYPES)
     return (
         f"(SELECT doc_id, 0 AS page_index, i AS ordinal, list_extract([{kinds}], CAST(1 + {part('t')} % {len(TYPES)} AS INTEGER)) AS type, s AS start, least(s + 1 + {part('e')} % 40, n) AS \"end\", "
-        f"({part('p')} % 10) / 10.0 AS score FROM (SELECT doc_id, n, i, {part('s')} % least(n, 400) AS s FROM (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), (SELECT unnest(range(0, {each})) AS i)))"
+        f"({part('p')} % 10) / 10.0 AS score FROM (SELECT doc_id, n, i, ({crowd} + {part('s')} % 400) % n AS s FROM (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), (SELECT unnest(range(0, {each})) AS i)))"
     )
 
 

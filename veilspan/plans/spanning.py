@@ -76,10 +76,9 @@ SELECT doc_id, marked, CAST(len([x FOR x IN w IF x = marked]) - 1 AS BIGINT) AS
 )
 def propagate_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages_of_documents(table(spark, sf_dir, "documents"))
-    from veilspan.functions.spans import matches
-
-    third = F.get(matches("text", r"(?U)[\p{L}\p{M}\p{N}_]+", "person"), 2)
-    marked = pages.withColumn("s", third).where("s IS NOT NULL").select("doc_id", "page_index", F.lit(0).cast("long").alias("ordinal"), "s.type", "s.start", "s.end", "s.text", F.lit("confirmed").alias("review"))
+    head = r"^(?:[^\p{L}\p{M}\p{N}_]*+[\p{L}\p{M}\p{N}_]++){2}[^\p{L}\p{M}\p{N}_]++([\p{L}\p{M}\p{N}_]++)"
+    told = pages.select("doc_id", "page_index", F.length(F.regexp_extract("text", head, 0)).alias("end"), F.regexp_extract("text", head, 1).alias("text")).where("text <> ''")
+    marked = told.select("doc_id", "page_index", F.lit(0).cast("long").alias("ordinal"), F.lit("person").alias("type"), (F.col("end") - F.length("text")).alias("start"), "end", "text", F.lit("confirmed").alias("review"))
     return propagate.propagate_occurrences(pages, marked).groupBy("doc_id", F.col("text").alias("marked")).agg(F.count("*").alias("n"))
 
 
@@ -105,9 +104,7 @@ _NAMES = [(1, "zaměstnanec Jan Novák,", "cs", "Jan Novák"), (2, "Kupující",
 @query(sql_rows([(k, cut) for k, _, _, cut in _NAMES], "case_id, cut"))
 def names_only_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, [(k, t, lang) for k, t, lang, _ in _NAMES], "case_id int, text string, lang string")
-    words = {lang: F.array(*(F.lit(x) for x in sorted(roles.role_words_for(lang)))) for lang in ("cs", "en")}
-    chosen = F.when(F.col("lang") == "cs", words["cs"]).otherwise(words["en"])
-    cut = roles.cut_to_name("text", F.lit(0), F.length("text"), chosen)
+    cut = F.when(F.col("lang") == "cs", roles.cut_to_name("text", F.lit(0), F.length("text"), "cs")).otherwise(roles.cut_to_name("text", F.lit(0), F.length("text"), "en"))
     return rows.withColumn("_c", cut).select("case_id", F.when(F.col("_c").isNotNull(), F.substring("text", F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))).alias("cut"))
 
 
@@ -120,18 +117,21 @@ def address_label_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", F.when(F.col("_c").isNotNull(), F.substring("text", F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))).alias("cut"))
 
 
-@query("SELECT lang AS language, CAST(n AS BIGINT) AS n FROM (VALUES ('cs', 9*5 - 5)) AS t(lang, n) WHERE FALSE")
-def role_words_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Role words that the join of bases and endings doesn't make, or makes beyond the table: none."""
-    out = None
-    for language, table_rows in roles.INFLECTED.items():
-        bases = fixture(spark, [(b, cut, str(i)) for i, (words, cut, _) in enumerate(table_rows) for b in words.split()], "base string, cut int, paradigm string")
-        endings = fixture(spark, [(str(i), e.replace("-", "")) for i, (_, _, ends) in enumerate(table_rows) for e in ends.split()], "paradigm string, ending string")
-        known = fixture(spark, [(w,) for w in sorted(roles.role_words_for(language))], "form string")
-        made = roles.inflected_forms(bases, endings)
-        wrong = made.exceptAll(known).unionByName(known.exceptAll(made)).select(F.lit(language).alias("language"))
-        out = wrong if out is None else out.unionByName(wrong)
-    return out.groupBy("language").agg(F.count("*").alias("n"))
+_PARADIGMS = [(language, number, row) for language, own in roles.INFLECTED.items() for number, row in enumerate(own)]
+
+
+@query(
+    f"""WITH bases AS ({sql_rows([(x, i, base, row['cut']) for x, i, row in _PARADIGMS for base in row['bases']], 'language, paradigm, base, cut')}),
+endings AS ({sql_rows([(x, i, ending) for x, i, row in _PARADIGMS for ending in row['endings']], 'language, paradigm, ending')})
+SELECT DISTINCT language, left(base, length(base) - cut) || ending AS form, TRUE AS is_noun FROM bases JOIN endings USING (language, paradigm)"""
+)
+def role_word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms of role nouns, and whether the pattern knows them."""
+    forms = roles.inflected_forms(*roles.paradigms(spark))
+    known = F.lit(False)
+    for language in roles.INFLECTED:
+        known = known | ((F.col("language") == language) & roles.role_noun(F.col("form"), language))
+    return forms.withColumn("is_noun", known)
 
 
 @query(
@@ -172,8 +172,22 @@ def layout_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 150 THEN 1 ELSE 1 + ceil((n - 150) / 110.0) END AS BIGINT) AS n_windows FROM t"""
 )
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", windows.model_tokens("text").alias("t"))
-    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(windows.token_windows(F.col("t"))).cast("long").alias("n_windows"))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", windows.token_count("text").alias("n"))
+    return tokens.select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.size(windows.window_bounds(F.col("n"))).cast("long").alias("n_windows"))
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id AS doc_id, turn, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[-_][\p{L}\p{M}\p{N}_]+)*|\S') AS w FROM conversations), n AS (SELECT *, len(w) AS n FROM t),
+k AS (SELECT *, unnest(CASE WHEN n = 0 THEN [] ELSE range(0, 1 + CAST(greatest(ceil((n - 8) / 6.0), 0) AS BIGINT)) END) * 6 AS f FROM n)
+SELECT doc_id, CAST(turn AS INTEGER) AS page_index, CAST(f AS INTEGER) AS first, CAST(least(f + 8, n) AS INTEGER) AS last, w[f + 1] AS first_text, w[least(f + 8, n)] AS last_text FROM k"""
+)
+def token_window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of eight tokens over turns, with the texts at their edges cut out by their offsets."""
+    turns = pages_of_conversations(table(spark, sf_dir, "conversations")).withColumn("t", windows.model_tokens("text"))
+    cut = turns.select("doc_id", "page_index", "text", "t", F.explode(windows.token_windows(F.col("t"), 8, 2)).alias("w"))
+    first, last = F.get("t", F.col("w.first")), F.get("t", F.col("w.last") - 1)
+    edge = lambda start, end: F.substring("text", start + 1, end - start)
+    return cut.select("doc_id", "page_index", "w.first", "w.last", edge(F.col("w.start"), first["end"]).alias("first_text"), edge(last["start"], F.col("w.end")).alias("last_text"))
 
 
 _WIDENED = [(1, "Viděl (J. Novák). Pak", 8, 9, "J"), (2, "pan Novák.", 5, 7, "Novák"), (3, "firma s.r.o. dnes", 6, 9, "s.r.o."), (4, "a ... b", 2, 4, "..."), (5, "„Praha“ je", 2, 4, "Praha")]
