@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import let
 from veilspan.functions.text import compact, leak_pattern, literal_pattern
 from veilspan.operators.geometry import mostly_inside, off_page, overlaps_inside
 
@@ -66,6 +67,12 @@ def off_page_leaks(words: DataFrame) -> DataFrame:
     return words.where(off_page(F.col("box"), F.col("visible"))).select("doc_id", *leak("off_page", F.concat(F.lit("page "), F.col("page_index")), F.col("text"), None, F.col("page_index"), "leftover"))
 
 
+def thumbnail_leaks(objects: DataFrame) -> DataFrame:
+    """Pages that still have a picture of themselves: page dictionaries (doc_id, page_index, content) with a thumbnail that isn't null."""
+    has = F.col("content").rlike(r"/Thumb(?![A-Za-z0-9])\s*(?!\s|null(?![A-Za-z0-9]))")
+    return objects.where(has).select("doc_id", *leak("thumbnail", F.concat(F.lit("page "), F.col("page_index")), F.lit("page thumbnail"), None, F.col("page_index"), "leftover"))
+
+
 def surface_leaks(surfaces: DataFrame) -> DataFrame:
     """Any hidden item that an export still has."""
     return surfaces.select("doc_id", *leak("surface", F.col("surface_id"), F.col("value"), None, F.col("page_index"), "leftover"))
@@ -80,10 +87,27 @@ def literal_leaks(objects: DataFrame, entities: DataFrame, layer: str = "object"
     return found.select("doc_id", *leak(layer, F.col("where"), F.col("text"), F.col("entity_id")))
 
 
+def searchable(content: Column) -> Column:
+    """A file's bytes as text, without the bodies of streams that are compressed or hold a picture.
+
+    The file is cut at each ``endstream``: a part ends with one body at most. What stands before it, back to its object's beginning, says what it holds.
+    """
+
+    def kept(part: Column) -> Column:
+        before = F.regexp_extract(part, r"(?s)^.*?>>\s*stream\r?\n", 0)
+        return let(before, lambda own: F.when((own != "") & F.substring_index(own, "obj", -1).rlike(r"/Filter\b|/Subtype\s*/Image\b"), own).otherwise(part))
+
+    def whole(parts: Column) -> Column:
+        n = F.size(parts)
+        bodies = F.transform(F.slice(parts, F.lit(1), n - 1), kept)
+        return F.array_join(F.concat(bodies, F.slice(parts, n, F.lit(1))), "endstream")
+
+    return let(F.split(F.decode(content, "ISO-8859-1"), "endstream"), whole)
+
+
 def file_leaks(files: DataFrame, entities: DataFrame) -> DataFrame:
     """The same in raw bytes (doc_id, path, content), bodies of binary streams left out."""
-    content = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"(?s)(/Filter[^>]*>>\s*stream\r?\n).*?(endstream)", "$1$2")
-    return literal_leaks(files.select("doc_id", F.lit("file").alias("where"), content.alias("content")), entities, "file_bytes")
+    return literal_leaks(files.select("doc_id", F.lit("file").alias("where"), searchable(F.col("content")).alias("content")), entities, "file_bytes")
 
 
 def scanned_leaks(reread: DataFrame, boxes: DataFrame, entities: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.operators import finders, merge, propagate, redact, roles, windows
 from veilspan.operators.detect import detect, pages_of_conversations, pages_of_documents, scan
 from veilspan.operators.intervals import runs, union_ranges
-from veilspan.operators.leaks import text_leaks
+from veilspan.operators.leaks import searchable, text_leaks, thumbnail_leaks
 from veilspan.operators.review import review_counts, set_reviews
 from veilspan.plans.base import fixture, h, made_spans, query, rank_sql, sql_h, sql_rows, sql_spans, table
 from veilspan.plans.finding import SQL_EMAILS
@@ -225,3 +225,25 @@ def iob2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({SQL_EMAILS}) FROM documents) GROUP BY doc_id")
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(pages_of_documents(table(spark, sf_dir, "documents")), only=[finders.find_emails]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id, '<< /Length 3' || CASE doc_id % 3 WHEN 0 THEN ' /Filter /X' WHEN 1 THEN ' /Subtype  /Image' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' /Sub << >>' ELSE '' END || ' >>' || chr(10) || 'stream' || chr(10)
+  || CASE WHEN doc_id % 3 = 2 THEN 'body' || doc_id ELSE '' END || 'endstream end' AS content FROM documents"""
+)
+def file_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of three kinds, half of them with a nested dictionary, as leak checks read them."""
+    key = F.col("doc_id")
+    kind = F.when(key % 3 == 0, " /Filter /X").when(key % 3 == 1, " /Subtype  /Image").otherwise("")
+    nested = F.when(key % 2 == 0, " /Sub << >>").otherwise("")
+    file = F.concat(F.lit("1 0 obj << /Filter /Y >> endobj 2 0 obj"), F.lit("<< /Length 3"), kind, nested, F.lit(" >>\nstream\nbody"), key.cast("string"), F.lit("endstream end"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", searchable(file.cast("binary")).alias("content"))
+    return rows.select("doc_id", F.expr("substring(content, 1 + length('1 0 obj << /Filter /Y >> endobj 2 0 obj'))").alias("content"))
+
+
+@query("SELECT c_custkey AS doc_id, CAST(0 AS INTEGER) AS page_index, 'page thumbnail' AS text FROM customer WHERE c_custkey % 4 = 0")
+def leak_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    content = F.concat(F.lit("<< /Type /Page "), F.when(key % 4 == 0, "/Thumb 12 0 R").when(key % 4 == 1, "/Thumb null").when(key % 4 == 2, "/Thumbs 3").otherwise(""), F.lit(" >>"))
+    pages = table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.lit(0).alias("page_index"), content.alias("content"))
+    return thumbnail_leaks(pages).select("doc_id", "page_index", "text")

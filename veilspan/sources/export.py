@@ -65,6 +65,43 @@ def markdown_table(rows: DataFrame, title: str) -> str:
     return head + "".join(f"| {' | '.join('—' if x is None else f'{x:.4f}' if isinstance(x, float) else str(x) for x in row)} |\n" for row in rows.collect())
 
 
+# Signs that LaTeX reads as commands, and how they are written.
+LATEX_SIGNS = {"\\": r"\textbackslash{}", "_": r"\_", "&": r"\&", "%": r"\%", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def _latex_cell(x: object) -> str:
+    if x is None:
+        return "--"
+    return f"{x:.4f}" if isinstance(x, float) else "".join(LATEX_SIGNS.get(c, c) for c in str(x))
+
+
+def latex_table(rows: DataFrame, caption: str, label: str, bounds: tuple[str, str] | None = None) -> str:
+    """A small aggregated relation as a LaTeX table, on the driver. ``bounds`` names the columns of an interval, which follow the column ``value`` in brackets."""
+    names = [c for c in rows.columns if not bounds or c not in bounds]
+    kinds = dict(rows.dtypes)
+    align = "".join("l" if kinds[c] in ("string", "boolean", "date") else "r" for c in names)
+
+    def cell(row, name: str) -> str:
+        own = _latex_cell(row[name])
+        return f"{own} {{\\scriptsize [{_latex_cell(row[bounds[0]])}, {_latex_cell(row[bounds[1]])}]}}" if bounds and name == "value" and row["value"] is not None else own
+
+    body = [" & ".join(cell(row, name) for name in names) + r" \\" for row in rows.collect()]
+    head = " & ".join(_latex_cell(c) for c in names) + r" \\"
+    parts = [r"\begin{table}[htbp]", r"\centering", rf"\begin{{tabular}}{{{align}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}"]
+    return "\n".join([*parts, rf"\caption{{{_latex_cell(caption)}}}", rf"\label{{tab:{label}}}", r"\end{table}", ""])
+
+
+def write_report(tables: dict[str, DataFrame], folder: str) -> None:
+    """Small aggregated relations below ``folder``: each as JSON lines in a folder of its name, and all as one Markdown text in ``report``."""
+    text = ""
+    for name, rows in tables.items():
+        rows.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+        text += markdown_table(rows, name) + "\n"
+        spark = rows.sparkSession
+    if tables:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/report")
+
+
 def html_report(pages: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, html): a report without scripts, each finding marked in its page."""
     shown = entities.where("start IS NOT NULL").groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("_found"))
