@@ -268,23 +268,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pairs.batch()
 
 
-def _across(pairs: _Pairs, own: list[np.ndarray], others: list[np.ndarray]) -> None:
-    """Adds the pairs of ``own`` with ``others`` (each s, n, odd, root) that are in different components and whose sketches are close."""
+def _meets_before(key: int, a: bytes, b: bytes) -> bool:
+    """Whether two sets, by their sorted keys, meet under a key before this one too."""
+    a, b = (x[: np.searchsorted(x, key)] for x in (np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+    return len(np.intersect1d(a, b, assume_unique=True)) > 0
+
+
+def _across(pairs: _Pairs, own: list[np.ndarray], others: list[np.ndarray], key: int | None = None, keys: np.ndarray | None = None) -> None:
+    """Adds the pairs of ``own`` with ``others`` (each s, n, odd, root) that are in different components and whose sketches are close; with ``keys`` (of both) under their first common key alone."""
     s, n, odd, root = (np.concatenate(x) for x in zip(own, others, strict=True))
     columns, sketches = np.arange(len(own[0]), len(s)), Sketches(n, odd)
     for i in range(len(own[0])):
         found = sketches.close(i, columns[root[columns] != root[i]])
+        if keys is not None:
+            found = found[[not _meets_before(key, keys[i], keys[j]) for j in found]] if len(found) else found
         pairs.add(np.full(len(found), s[i]), s[found])
 
 
+def _packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(s, keys): each set's sorted keys as bytes."""
+    keys = [x.values.to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for x in batch.column(1)]
+    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["s", "keys"])
+
+
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The close pairs of a key that are in different components: what stands outside the largest component, with all."""
+    """The close pairs of a key that are in different components: what stands outside the largest component, with all. A pair comes under its first key alone."""
     pairs = _Pairs()
-    for _, *columns in _groups(batches):
+    for key, *columns, keys in _groups(batches):
         roots, where, counts = np.unique(columns[3], return_inverse=True, return_counts=True)
         if len(roots) > 1:
             outside = where != counts.argmax()
-            _across(pairs, [x[outside] for x in columns], columns)
+            _across(pairs, [x[outside] for x in columns], columns, int(key[0]), np.concatenate((keys[outside], keys)))
         if pairs.size > 200_000:
             yield pairs.batch()
     yield pairs.batch()
@@ -397,7 +411,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     roots = components(edges, paths=paths)
     rooted = lambda df: df.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    more = sketched(rooted(met)).select("key", "s", "n", "odd", "root").mapInArrow(_second, "a long, b long")
+    listed = map_batches(met.groupBy("s").agg(F.array_sort(F.collect_set("key")).alias("keys")), _packed, "s long, keys binary")
+    more = sketched(rooted(met).join(listed, "s")).select("key", "s", "n", "odd", "root", "keys").mapInArrow(_second, "a long, b long")
     if hot is not None:
         placed = keep(rooted(hot), "hot-rooted")
         counts = placed.groupBy("key", "root").count()
