@@ -20,9 +20,10 @@ document's other words are joined with the table of all words, where no key is h
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import join_one, map_batches, pick, staged
+from veilspan.llm.base import join_one, map_batches, pick, resident, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents whose hash has remainder HELD_OUT aren't learned from
 GROWTH = 1.25  # of the counts that bound the levels
 DISCOUNT, MU = 0.75, 2.0
 PROBES, BITS_PER_KEY = 6, 16
 MOST_BITS = 1 << 32
+CHUNK_BYTES = 1 << 25
 HEAVY = 1 << 17
 LONG_WORD = 64  # bytes; a longer word goes by its digest
 SEGMENT_ENTRIES = 1 << 20  # pairs of a segment, with repeats; of words fewer, as one has more levels
@@ -343,8 +345,8 @@ def entry_segments(entries: DataFrame, kind: int, count: int) -> DataFrame:
     return named.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "segment long, bits binary")
 
 
-def _laid(parts: dict[int, tuple[int, DataFrame]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Segments of all kinds end to end, and where each begins. The driver holds the filter once and a partition's segments."""
+def _starts(parts: dict[int, tuple[int, DataFrame]]) -> tuple[dict[int, np.ndarray], int]:
+    """Where each segment of each kind begins, laid end to end, and the words of all."""
     starts, at = {}, 0
     for kind, (count, rows) in parts.items():
         sizes = np.zeros(count, np.int64)
@@ -352,13 +354,30 @@ def _laid(parts: dict[int, tuple[int, DataFrame]]) -> tuple[np.ndarray, dict[int
             sizes[row.segment] = row.n // 8
         starts[kind] = at + np.concatenate(([0], np.cumsum(sizes)))
         at += int(sizes.sum())
-    laid = np.zeros(max(at, 1), np.uint64)
+    return starts, at
+
+
+def _chunks(parts: dict[int, tuple[int, DataFrame]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(kind, segment, bits) of all segments, in lists of about ``CHUNK_BYTES``: the driver never holds the whole filter."""
+    held, size = [], 0
     for kind, (_, rows) in parts.items():
         for row in rows.select("segment", "bits").toLocalIterator():
-            own = np.frombuffer(row.bits, "<u8")
-            first = int(starts[kind][row.segment])
+            held.append((kind, row.segment, bytes(row.bits)))
+            size += len(row.bits)
+            if size > CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+    yield held
+
+
+def _laid(starts: dict[int, np.ndarray], total: int, chunks: Iterable[list[tuple[int, int, bytes]]]) -> np.ndarray:
+    laid = np.zeros(max(total, 1), np.uint64)
+    for chunk in chunks:
+        for kind, segment, bits in chunk:
+            own = np.frombuffer(bits, "<u8")
+            first = int(starts[kind][segment])
             laid[first : first + len(own)] = own
-    return laid, starts
+    return laid
 
 
 class Model:
@@ -491,7 +510,31 @@ def train(chosen: DataFrame) -> Trained:
 
 
 def broadcastable(trained: Trained) -> Model:
-    return Model(Filter(*_laid(trained.parts), trained.texts), trained.n, trained.v, trained.heavy)
+    """The model on the driver, whole."""
+    starts, total = _starts(trained.parts)
+    return Model(Filter(_laid(starts, total, _chunks(trained.parts)), starts, trained.texts), trained.n, trained.v, trained.heavy)
+
+
+class Shared:
+    """A model as the workers get it: the filter in broadcasts of ``CHUNK_BYTES``, each loaded and laid out in turn."""
+
+    def __init__(self, trained: Trained) -> None:
+        context = trained.vocabulary.sparkSession.sparkContext
+        self.name = uuid.uuid4().hex
+        self.starts, self.total = _starts(trained.parts)
+        self.chunks = [context.broadcast(chunk) for chunk in _chunks(trained.parts)]
+        self.rest = context.broadcast((trained.n, trained.v, trained.heavy, trained.texts))
+
+    def model(self) -> Model:
+        """The whole model, in a worker."""
+
+        def loaded() -> Iterator[list[tuple[int, int, bytes]]]:
+            for chunk in self.chunks:
+                yield chunk.value
+                chunk.__dict__.pop("_value", None)  # laid out by now
+
+        n, v, heavy, texts = self.rest.value
+        return Model(Filter(_laid(self.starts, self.total, loaded()), self.starts, texts), n, v, heavy)
 
 
 def probed_in_place(keys: DataFrame, kind: int, trained: Trained, name: str) -> DataFrame:
@@ -573,18 +616,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whatever their names. Texts are taken whole.
     """
     chosen = pick(docs, doc_id=id_col, text=text_col)
-    spark = docs.sparkSession
     trained = train(chosen)
     if trained.bits() > MOST_BITS:
         return score_in_place(chosen, trained)
-    model = broadcastable(trained)
-    shared = spark.sparkContext.broadcast(model)  # the filter, at most MOST_BITS, and HEAVY words
-    n, total = model.n, model.total
+    shared = Shared(trained)  # the filter, at most MOST_BITS, and HEAVY words
+    n, total = trained.n, trained.n + 0.5 * (trained.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer = Scorer(shared.value)
+        scorer = Scorer(resident(("bloom", shared.name), shared.model))
         number = TaskContext.get().partitionId() << 36
         names = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
