@@ -304,3 +304,47 @@ def error_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = pages_of_documents(table(spark, sf_dir, "documents"))
     return alarm_tallies(alarms(made_spans(spark, sf_dir, "pred"), made_spans(spark, sf_dir, "gold"), pages)).groupBy("type", "category").agg(F.sum("alarms").alias("alarms"))
+
+
+_MET = 'a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"'
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT doc_id, type, start, "end" FROM {P}), g AS (SELECT DISTINCT doc_id, type, start, "end" FROM {G}),
+o AS (SELECT a.doc_id, a.type, a.start, a."end", count(b.type) AS n, coalesce(bool_or(b.type = a.type), FALSE) AS same FROM g a LEFT JOIN p b ON {_MET} GROUP BY ALL),
+c AS (SELECT doc_id, type, start, "end", unnest(range(start, "end")) AS place FROM g),
+v AS (SELECT c.*, EXISTS (SELECT 1 FROM p b WHERE b.doc_id = c.doc_id AND b.start <= c.place AND c.place < b."end") AS held FROM c JOIN documents USING (doc_id)
+  WHERE NOT regexp_matches(substr(text, CAST(place + 1 AS INTEGER), 1), '[\\s\\x{{85}}\\p{{Z}}]')),
+w AS (SELECT doc_id, type, start, "end", count(*) AS whole, count(*) FILTER (WHERE held) AS held FROM v GROUP BY ALL),
+r AS (SELECT o.type, CASE WHEN n = 0 THEN 'missed' WHEN NOT same THEN 'other_type' WHEN coalesce(w.held, 0) < coalesce(w.whole, 0) THEN 'partly' ELSE 'found' END AS outcome
+  FROM o LEFT JOIN w ON w.doc_id = o.doc_id AND w.type = o.type AND w.start = o.start AND w."end" = o."end")
+SELECT type, outcome, count(*) AS n FROM r GROUP BY type, outcome"""
+)
+def error_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every gold span, by type."""
+    from veilspan.operators.errors import misses
+
+    pages = pages_of_documents(table(spark, sf_dir, "documents"))
+    told = misses(made_spans(spark, sf_dir, "pred"), made_spans(spark, sf_dir, "gold"), pages)
+    return told.groupBy("type", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT doc_id, type, start, "end" FROM {P}), g AS (SELECT DISTINCT doc_id, type, start, "end" FROM {G})
+SELECT type, count(*) AS alarms FROM p a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE {_MET} AND a.type = b.type) GROUP BY type"""
+)
+def alarm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspan.operators.errors import ALL, alarm_tallies, alarms
+
+    pages = pages_of_documents(table(spark, sf_dir, "documents"))
+    told = alarm_tallies(alarms(made_spans(spark, sf_dir, "pred"), made_spans(spark, sf_dir, "gold"), pages)).where(F.col("category") == ALL)
+    return told.groupBy("type").agg(F.sum("alarms").alias("alarms"))
+
+
+@query(
+    rf"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{_MAIL}') AS found FROM documents), k AS (SELECT doc_id, len(found) AS items FROM m WHERE len(found) > 0)
+SELECT doc_id, CAST(items AS BIGINT) AS items, CAST(0 AS BIGINT) AS readable FROM k"""
+)
+def residue_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are still readable after all of them were redacted, by document."""
+    return residue(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("items"), F.count_if("readable").alias("readable"))
