@@ -20,6 +20,7 @@ HONORIFICS = (
 TITLE_WORDS = sorted({word.rstrip(".").lower() for title in TITLES for word in title.split()} | set(HONORIFICS.split()))
 EDGE = r""",;:!?()\[\]{}"'„“”«»"""
 OPENERS = r""" \t"'„“‚‘«»(\[{\-–—"""
+TAIL = 200  # characters
 HYPHENS = r"[-‐‑–'’ʼ]"
 
 
@@ -41,15 +42,17 @@ def shape(text: Column | str, start: Column, end: Column) -> Column:
     text = _col(text)
     value = piece(text, start, end)
     words = _words(value)
-    before = F.regexp_extract(piece(text, F.lit(0), start), r"[^\n]*\z", 0)
-    earlier = _words(before)
-    trimmed = F.regexp_replace(before, rf"[{OPENERS}]+\z", "")
+    before = F.substring_index(piece(text, F.lit(0), start), "\n", -1)
+    # No title or initial is as long as the tail, so its words tell the same as the whole line's.
+    tail = F.right(before, F.lit(TAIL))
+    earlier = _words(tail)
+    trimmed = F.regexp_replace(tail, rf"[{OPENERS}]+\z", "")
     last = F.try_element_at(_words(trimmed), F.lit(-1))
     head = F.substring_index(before, ":", 1)
-    label = before.contains(":") & F.size(_words(head)).between(1, 4) & F.ltrim(head).rlike(r"(?U)^\s*\p{L}")
+    label = F.when(before.contains(":"), F.size(_words(head)).between(1, 4) & F.ltrim(head).rlike(r"(?U)^\s*\p{L}")).otherwise(False)
     letters = F.regexp_replace(value, r"\P{L}", "")
     first_title = F.coalesce(_is_title(F.try_element_at(earlier, F.lit(-1))), F.lit(False)) | F.coalesce(_is_title(F.try_element_at(words, F.lit(1))), F.lit(False))
-    sentence = (trimmed == "") | (trimmed.rlike("[.!?…]$") & ~F.coalesce(_is_title(last) | _is_initial(last), F.lit(False)))
+    sentence = before.rlike(rf"^[{OPENERS}]*\z") | (trimmed.rlike("[.!?…]$") & ~F.coalesce(_is_title(last) | _is_initial(last), F.lit(False)))
     n = F.size(words)
     found = [
         F.when(n >= 3, "words=3+").when(n >= 0, F.concat(F.lit("words="), n)),
