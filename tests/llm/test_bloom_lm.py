@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -87,6 +88,30 @@ def test_a_filter_that_is_not_broadcast_gives_the_same(spark, monkeypatch, awkwa
         assert np.allclose([x[5:] for x in found], [x[5:] for x in want], atol=1e-6)
 
 
+def test_a_filter_that_is_not_broadcast_leaves_little_on_disk(spark, monkeypatch):
+    """Beside the model, what stays in the shared folder is no copy of the texts' words and pairs; several blocks and chunks give what one gives."""
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in draw.integers(0, 5000, 400)) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = sorted(B.score(rows).collect())
+    kept, staged = {}, B.staged
+
+    def noted(df, label, *more):
+        out = staged(df, label, *more)
+        kept[label] = kept.get(label, 0) + sum(Path(x.removeprefix("file:")).stat().st_size for x in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(B, "staged", noted)
+    monkeypatch.setattr(B, "MOST_BITS", 0)
+    for tokens, blocks in ((1 << 20, 8), (30_000, 2)):
+        monkeypatch.setattr(B, "ASKED_TOKENS", tokens, raising=False)
+        monkeypatch.setattr(B, "BLOCKS", blocks, raising=False)
+        kept.clear()
+        found = sorted(B.score(rows).collect())
+        assert [x[:5] for x in found] == [x[:5] for x in want] and np.allclose([x[5:] for x in found], [x[5:] for x in want], atol=1e-6)
+        assert sum(n for label, n in kept.items() if label not in ("vocabulary", "pairs", "words", "rests")) < 0.2 * sum(map(len, texts))
+
+
 def test_a_text_seen_twice_stands_out(spark):
     draw = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in draw.integers(0, 400, 80)) for _ in range(200)]

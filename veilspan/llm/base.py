@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -82,6 +83,21 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it has ended (else when the driver's garbage is collected). Only for queries that run once, as those of ``staged`` do."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: Keys that are joined by broadcast, as each of them has many rows; so many at most, at every size.
 MOST_HEAVY, LEAST_HEAVY = 10_000, 1_000
 

@@ -10,8 +10,8 @@ text's probability interpolates pairs with words:
 
 Every pair counts, also one that is seen once. The filter is cut into segments by a hash of the entry; one task builds a segment
 from the sorted counts of all partitions, so nothing is gathered whole but the filter itself, whose size follows the counted entries.
-Up to ``MOST_BITS`` it is broadcast. A larger one stays in its segments, and the distinct words and pairs of the texts go to them to be
-probed there: the same bits answer, so the scores are the same.
+Up to ``MOST_BITS`` it is broadcast. A larger one stays in its segments, and the distinct words and pairs of chunks of texts go to them, packed,
+to be probed there: the same bits answer, so the scores are the same.
 
 Exact counts (for the base score) come by a join: the ``HEAVY`` most frequent words are looked up in a broadcast table, each
 document's other words are joined with the table of all words, where no key is hot any more.
@@ -20,19 +20,22 @@ document's other words are joined with the table of all words, where no key is h
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import join_one, map_batches, pick, resident, staged
+from veilspan.llm.base import map_batches, pick, resident, shuffles_freed, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents whose hash has remainder HELD_OUT aren't learned from
 GROWTH = 1.25  # of the counts that bound the levels
@@ -48,6 +51,8 @@ FLUSH_PAIRS = 1_500_000
 REMEMBERED_WORDS = 300_000
 SALTS = 64
 PROBED_TOKENS = 250_000  # at once
+ASKED_TOKENS = 1 << 20  # of a chunk of texts whose keys go to the segments together
+BLOCKS = 8  # of chunks, one after the other
 
 END = b""  # no word is empty
 WORD, PAIR, REST = 1, 2, 3
@@ -469,10 +474,11 @@ class Scorer(dict):
 
 
 class Trained(NamedTuple):
-    """The table (word, n_all, n_train) of all words; tokens and distinct words learned from; texts learned from; the most frequent words' exact counts (at most ``HEAVY``); by
-    kind of entry the number of segments and the table (segment, bits)."""
+    """The table (word, n_all, n_train) of all words; all tokens; tokens and distinct words learned from; texts learned from; the most frequent words' exact counts (at most
+    ``HEAVY``); by kind of entry the number of segments and the table (segment, bits)."""
 
     vocabulary: DataFrame
+    tokens: int
     n: int
     v: int
     texts: float
@@ -484,10 +490,15 @@ class Trained(NamedTuple):
 
 
 def train(chosen: DataFrame) -> Trained:
-    """What is learned from ``chosen`` (doc_id, text)."""
+    """What is learned from ``chosen`` (doc_id, text). Each step is staged, and its shuffle is given up then."""
+    with shuffles_freed(chosen.sparkSession):
+        return _trained(chosen)
+
+
+def _trained(chosen: DataFrame) -> Trained:
     vocabulary = staged(word_counts(chosen), "vocabulary")
     step = F.floor(F.log2("n_all") * 8)
-    by_count = {row[0]: (row[1], row[2], row[3]) for row in vocabulary.groupBy(step).agg(F.count("*"), F.sum("n_train"), F.count(F.when(F.col("n_train") > 0, 1))).collect()}  # at most 512 rows
+    by_count = {row[0]: tuple(row[1:]) for row in vocabulary.groupBy(step).agg(F.count("*"), F.sum("n_train"), F.count(F.when(F.col("n_train") > 0, 1)), F.sum("n_all")).collect()}  # at most 512 rows
     n, v = sum(x[1] for x in by_count.values()), sum(x[2] for x in by_count.values())
     taken, least = 0, None
     for bucket in sorted(by_count, reverse=True):
@@ -506,7 +517,7 @@ def train(chosen: DataFrame) -> Trained:
     n_words = max(1, -(-v // SEGMENT_WORDS))
     words = staged(entry_segments(vocabulary.where("n_train > 0").select("word", "n_train"), WORD, n_words), "words")
     rests = staged(entry_segments(masses, REST, n_words), "rests")
-    return Trained(vocabulary, n, v, float(n_texts), heavy, {WORD: (n_words, words), PAIR: (n_segments, pairs.select("segment", "bits")), REST: (n_words, rests)})
+    return Trained(vocabulary, sum(x[3] for x in by_count.values()), n, v, float(n_texts), heavy, {WORD: (n_words, words), PAIR: (n_segments, pairs.select("segment", "bits")), REST: (n_words, rests)})
 
 
 def broadcastable(trained: Trained) -> Model:
@@ -537,75 +548,201 @@ class Shared:
         return Model(Filter(_laid(self.starts, self.total, loaded()), self.starts, texts), n, v, heavy)
 
 
-def probed_in_place(keys: DataFrame, kind: int, trained: Trained, name: str) -> DataFrame:
-    """(key, ``name``): what the model says of each distinct key, probed where its segment of the filter is. A key goes there once, so none is hot."""
-    count, table = trained.parts[kind]
+class Answers:
+    """Levels of the keys that were asked for, as the filter's segments told them; it stands in for a ``Filter``."""
 
-    def named(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(segments(own.view(np.uint64), count).astype(np.int64)), pa.array(own), pa.nulls(len(own), pa.binary())], names=["segment", "key", "bits"])
+    def __init__(self, told: dict[int, list[tuple[bytes, bytes]]], texts: float) -> None:
+        self.texts, self.at = texts, {}
+        for kind in (WORD, PAIR, REST):
+            keys = np.frombuffer(b"".join(x for x, _ in told.get(kind, [])), "<u8")
+            order = np.argsort(keys)
+            self.at[kind] = keys[order], np.frombuffer(b"".join(x for _, x in told.get(kind, [])), np.uint8)[order]
+
+    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        own, levels = self.at[kind]
+        at = np.searchsorted(own, keys)
+        if len(keys) and (not len(own) or not (own[np.minimum(at, len(own) - 1)] == keys).all()):
+            raise ValueError("a key has no answer")
+        return levels[at].astype(np.int64)
+
+
+def asked_keys(texts: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(kind, segment, chunk, keys): the distinct keys that scoring the chunks of ``texts`` (chunk, text; sorted by chunk) takes, packed by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, end, start = Words(), np.array([word_hash(END)], np.uint64), rest_keys(_START[None])
+        at, size = None, 0
+        held: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
+
+        def shorten() -> None:
+            nonlocal size
+            for kind in held:
+                held[kind] = [np.unique(np.concatenate(held[kind]))]
+            size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            shorten()
+            words, pairs = held[WORD][0], held[PAIR][0]
+            for kind, keys in ((WORD, words), (REST, np.unique(np.concatenate((rest_keys(words), start)))), (PAIR, pairs)):
+                own = segments(keys, counts[kind])
+                order = np.argsort(own, kind="stable")
+                keys, own = keys[order], own[order]
+                names, starts = np.unique(own, return_index=True)
+                cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True))
+                for i in range(0, len(names), 256):
+                    n = len(names[i : i + 256])
+                    packed = [keys[a:b].astype("<u8").tobytes() for a, b in cuts[i : i + 256]]
+                    columns = [pa.array([kind] * n, pa.int32()), pa.array(names[i : i + 256].astype(np.int64)), pa.array([at] * n, pa.int64()), pa.array(packed, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["kind", "segment", "chunk", "keys"])
+            held.update({WORD: [], PAIR: []})
+
+        for batch in batches:
+            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held[WORD] and chunk != at:
+                    yield from out()
+                at = chunk
+                own = np.concatenate((hashes(split_words(text.as_py())), end))
+                held[WORD].append(np.unique(own))
+                held[PAIR].append(pair_keys(np.concatenate((_START[None], own[:-1])), own))
+                size += len(own)
+                if size > FLUSH_PAIRS:
+                    shorten()
+        if held[WORD]:
+            yield from out()
+
+    return texts.mapInArrow(run, "kind int, segment long, chunk long, keys binary")
+
+
+def answered(asked: DataFrame, parts: dict[int, tuple[int, DataFrame]]) -> DataFrame:
+    """(chunk, kind, keys, levels) for ``asked``, probed where the segments of the filter are. A chunk asks for a key once, so none is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bits = None, np.zeros(0, np.uint64)
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            starts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
-            for start, end in zip(starts, starts[1:]):
-                if start == end:
+            chunks, kinds, every, levels = [], [], [], []
+            for kind, segment, chunk, keys in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if (kind.as_py(), segment.as_py()) != at:
+                    at, bits = (kind.as_py(), segment.as_py()), np.zeros(0, np.uint64)
+                if not chunk.is_valid:  # a segment's bits stand before what is asked of it
+                    bits = np.frombuffer(keys.as_py(), "<u8")
                     continue
-                if names[start] != at:
-                    at, bits = names[start], np.zeros(0, np.uint64)
-                if batch.column(2)[start].is_valid:  # a segment's bits stand before its keys
-                    bits, start = np.frombuffer(batch.column(2)[start].as_py(), "<u8"), start + 1
-                own = batch.column(1).slice(start, end - start).to_numpy(zero_copy_only=False).astype(np.int64)
-                levels = probed(bits, kind, own.view(np.uint64), np.zeros(len(own), np.int64), np.full(len(own), len(bits), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(value(levels))], names=["key", name])
+                own = np.frombuffer(keys.as_py(), "<u8")
+                found = probed(bits, at[0], own, np.zeros(len(own), np.int64), np.full(len(own), len(bits), np.uint64))
+                chunks.append(chunk.as_py())
+                kinds.append(at[0])
+                every.append(keys.as_py())
+                levels.append(np.minimum(found, len(VALUES) - 1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(kinds, pa.int32()), pa.array(every, pa.binary()), pa.array(levels, pa.binary())], names=["chunk", "kind", "keys", "levels"])
 
-    rows = map_batches(keys.where("key IS NOT NULL").distinct(), named, "segment long, key long, bits binary")
-    rows = rows.unionByName(table.select("segment", F.lit(None).cast("long").alias("key"), "bits"))
-    return rows.repartition("segment").sortWithinPartitions("segment", F.col("key").asc_nulls_first()).mapInArrow(run, f"key long, {name} double")
+    rows = asked
+    for kind, (_, table) in parts.items():
+        rows = rows.unionByName(table.select(F.lit(kind).alias("kind"), "segment", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("keys")))
+    dealt = rows.repartition("kind", "segment").sortWithinPartitions("kind", "segment", F.col("chunk").asc_nulls_first())
+    return dealt.mapInArrow(run, "chunk long, kind int, keys binary, levels binary")
 
 
 def score_in_place(chosen: DataFrame, trained: Trained) -> DataFrame:
-    """What ``score`` returns, for a filter that is too large to be broadcast."""
-    kind = dict(chosen.dtypes)["doc_id"]
-    names = ["row", "doc_id", "held_out", "n_tokens", "word", "tf", "v", "w", "rest", "pair"]
+    """What ``score`` returns, for a filter that is too large to be broadcast. Texts are dealt into chunks of about ``ASKED_TOKENS``; a chunk sends its distinct keys to the
+    segments, and their levels come back to the texts. At most ``BLOCKS`` blocks of chunks go one after the other, so what is on its way is a part of the whole."""
+    spark, kind = chosen.sparkSession, dict(chosen.dtypes)["doc_id"]
+    count = max(1, -(-trained.tokens // ASKED_TOKENS))
+    dealt = chosen.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
+    shared = spark.sparkContext.broadcast((trained.n, trained.v, trained.heavy))
+    texts, counts = trained.texts, {name: own for name, (own, _) in trained.parts.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, hashes = TaskContext.get().partitionId() << 36, Words()
+        n, v, heavy = shared.value
+        numbers, at, told, scorer = count_from(TaskContext.get().partitionId()), None, {}, None
         for batch in batches:
-            kinds = [pa.int64(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = [*split_words(text.as_py()), END]
-                counts = Counter(map(short, words))
-                own = hashes(words)
-                first = np.concatenate((_START[None], own[:-1]))
-                both, at, times = np.unique(pair_keys(first, own), return_index=True, return_counts=True)
-                v = pa.array(first[at].view(np.int64), mask=at == 0)
-                n, m = len(counts), len(both)
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([number, doc_id, is_held_out(doc_id), len(words), *[None] * 6], kinds, strict=True)], names=names)
-                parts = [pa.array([number] * n), *(pa.nulls(n, k) for k in kinds[1:4]), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(4))]
-                yield pa.RecordBatch.from_arrays(parts, names=names)
-                parts = [pa.array([number] * m), *(pa.nulls(m, k) for k in kinds[1:5]), pa.array(times), v, *(pa.array(x.view(np.int64)) for x in (own[at], rest_keys(first[at]), both))]
-                yield pa.RecordBatch.from_arrays(parts, names=names)
-                number += 1
-
-    rows = staged(chosen.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, word binary, tf long, v long, w long, rest long, pair long"), "probes")
-    tokens = rows.where("pair IS NOT NULL").select("row", "tf", F.coalesce("v", F.lit(int(_START.view(np.int64)))).alias("v"), F.col("v").isNull().alias("starts"), "w", "rest", "pair")
-    words = staged(probed_in_place(tokens.select(F.explode(F.array("v", "w")).alias("key")), WORD, trained, "count"), "word-figures")
-    for column, entries, figure in (("v", words, "before"), ("w", words, "count"), ("rest", probed_in_place(tokens.select(F.col("rest").alias("key")), REST, trained, "x"), "mass"), ("pair", probed_in_place(tokens.select(F.col("pair").alias("key")), PAIR, trained, "x"), "pairs")):
-        tokens = staged(join_one(tokens, entries.toDF(column, figure), column), f"with-{figure}")
-    below = F.greatest(F.when(F.col("starts"), F.lit(trained.texts)).otherwise(F.col("before")), "mass") + MU
-    total = trained.n + 0.5 * (trained.v + 1)
-    p = F.greatest(F.col("pairs") - DISCOUNT, F.lit(0.0)) / below + (1 - F.col("mass") / below) * (F.col("count") + 0.5) / total
-    logs = tokens.groupBy("row").agg(F.sum(F.col("tf") * F.log10(p)).alias("score"))
-    known = rows.where("word IS NOT NULL").select("row", "word", "tf")
+            chunks = batch.column(0).to_numpy(zero_copy_only=False)
+            answers = pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(answers.astype(np.int8)) != 0)) + 1).tolist(), len(chunks)]
+            for first, end in zip(cuts, cuts[1:]):
+                if first == end:
+                    continue
+                if chunks[first] != at:
+                    at, told, scorer = chunks[first], {}, None
+                part = batch.slice(first, end - first)
+                if answers[first]:  # they stand before the texts of their chunk
+                    for name, keys, levels in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                        told.setdefault(name, []).append((keys, levels))
+                    continue
+                if scorer is None:
+                    scorer = Scorer(Model(Answers(told, texts), n, v, heavy))
+                    told = {}
+                yield from scored(part.select([4, 5]), scorer, numbers)
+
+    parts = []
+    with shuffles_freed(spark):
+        blocks = min(BLOCKS, count)
+        for block in range(blocks):
+            own = dealt.where(F.col("chunk") % blocks == block)
+            asked = asked_keys(own.select("chunk", "text").repartition("chunk").sortWithinPartitions("chunk"), counts)
+            told = answered(asked, trained.parts).select("chunk", "kind", "keys", "levels", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+            nothing = [F.lit(None).cast(x).alias(name) for name, x in (("kind", "int"), ("keys", "binary"), ("levels", "binary"))]
+            both = told.unionByName(own.select("chunk", *nothing, "doc_id", "text")).repartition("chunk").sortWithinPartitions("chunk", F.col("kind").asc_nulls_last())
+            parts.append(staged(summed_scores(both.mapInArrow(run, scored_schema(kind)), trained), "scores"))
+    shared.unpersist()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scored_schema(kind: str) -> str:
+    return f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def count_from(partition: int) -> Iterator[int]:
+    """Numbers of a task's rows."""
+    return itertools.count(partition << 36)
+
+
+def scored(batch: pa.RecordBatch, scorer: Scorer, numbers: Iterator[int]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``scored_schema`` for a batch (doc_id, text): one for each document, and one for each of its words whose exact count isn't at hand."""
+    names = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    kind = batch.schema.field(0).type
+
+    def out(ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        logs = scorer.logs(texts)
+        rows = list(itertools.islice(numbers, len(ids)))
+        known, base, rest, times = zip(*map(scorer.exact, texts), strict=True)
+        kinds = [pa.int64(), pa.binary(), pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        n = len(ids)
+        # No word holds a space, so such a row's key meets none.
+        columns = [rows, [b" %d" % row for row in rows], [0] * n, ids, [is_held_out(x) for x in ids], [len(x) for x in texts], known, base, logs]
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
+        others = np.concatenate(rest)
+        if len(others):
+            words = list(map(short, map(scorer.names.__getitem__, others.tolist())))
+            columns = [np.repeat(rows, [len(x) for x in rest]), words, np.concatenate(times)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(column, kind) for column, kind in zip(columns, kinds, strict=False)), *(pa.nulls(len(words), kind) for kind in kinds[3:])], names=names)
+
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        texts.append(scorer.numbers(text.as_py()))
+        size += len(texts[-1])
+        if size > PROBED_TOKENS:
+            yield from out(ids, texts)
+            ids, texts, size = [], [], 0
+            scorer.shorten()
+    if ids:
+        yield from out(ids, texts)
+        scorer.shorten()
+
+
+def summed_scores(rows: DataFrame, trained: Trained) -> DataFrame:
+    """The result from rows of ``scored_schema``: words whose exact count wasn't at hand get it from the table of all words."""
+    n, total = trained.n, trained.n + 0.5 * (trained.v + 1)
+    counted = rows.join(trained.vocabulary.select("word", "n_train"), "word", "left")
     c = F.coalesce("n_train", F.lit(0))
-    exact = join_one(known, trained.vocabulary.select("word", "n_train"), "word").groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 0.5) / total)).alias("base_score"))
-    found = rows.where("n_tokens IS NOT NULL").select("row", "doc_id", "held_out", "n_tokens").join(logs, "row").join(exact, "row")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.n).cast("long").alias("train_tokens"), "base_score", "score")
+    part = F.when(F.col("tf") > 0, F.col("tf") * F.log10((c + 0.5) / F.lit(total)))
+    found = counted.select("row", "doc_id", "held_out", "n_tokens", "score", F.coalesce("n_known", F.when(c > 0, F.col("tf")), F.lit(0)).alias("n_known"), F.coalesce("base", part).alias("base"))
+    return (
+        found.groupBy("row")
+        .agg(*(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"))
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    )
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -620,55 +757,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if trained.bits() > MOST_BITS:
         return score_in_place(chosen, trained)
     shared = Shared(trained)  # the filter, at most MOST_BITS, and HEAVY words
-    n, total = trained.n, trained.n + 0.5 * (trained.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer = Scorer(resident(("bloom", shared.name), shared.model))
-        number = TaskContext.get().partitionId() << 36
-        names = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-
-        def out(ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            logs = scorer.logs(texts)
-            rows = list(range(number, number + len(ids)))
-            number += len(ids)
-            known, base, rest, times = zip(*map(scorer.exact, texts), strict=True)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), kind_, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            n = len(ids)
-            # No word holds a space, so such a row's key meets none.
-            columns = [rows, [b" %d" % row for row in rows], [0] * n, ids, [is_held_out(x) for x in ids], [len(x) for x in texts], known, base, logs]
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
-            others = np.concatenate(rest)
-            if len(others):
-                words = list(map(short, map(scorer.names.__getitem__, others.tolist())))
-                columns = [np.repeat(rows, [len(x) for x in rest]), words, np.concatenate(times)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(column, kind) for column, kind in zip(columns, kinds, strict=False)), *(pa.nulls(len(words), kind) for kind in kinds[3:])], names=names)
-
+        scorer, numbers = Scorer(resident(("bloom", shared.name), shared.model)), count_from(TaskContext.get().partitionId())
         for batch in batches:
-            kind_ = batch.schema.field(0).type
-            ids, texts, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                texts.append(scorer.numbers(text.as_py()))
-                size += len(texts[-1])
-                if size > PROBED_TOKENS:
-                    yield from out(ids, texts)
-                    ids, texts, size = [], [], 0
-                    scorer.shorten()
-            if ids:
-                yield from out(ids, texts)
-                scorer.shorten()
-
-    kind = dict(chosen.dtypes)["doc_id"]
-    rows = chosen.mapInArrow(run, f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    counted = rows.join(trained.vocabulary.select("word", "n_train"), "word", "left")
-    c = F.coalesce("n_train", F.lit(0))
-    part = F.when(F.col("tf") > 0, F.col("tf") * F.log10((c + 0.5) / F.lit(total)))
-    found = counted.select("row", "doc_id", "held_out", "n_tokens", "score", F.coalesce("n_known", F.when(c > 0, F.col("tf")), F.lit(0)).alias("n_known"), F.coalesce("base", part).alias("base"))
-    return (
-        found.groupBy("row")
-        .agg(*(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+            yield from scored(batch, scorer, numbers)
+
+    return summed_scores(chosen.mapInArrow(run, scored_schema(dict(chosen.dtypes)["doc_id"])), trained)
