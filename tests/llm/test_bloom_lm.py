@@ -6,6 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from veilspan.llm import base
 from veilspan.llm import bloom_lm as B
 
 
@@ -112,6 +113,25 @@ def test_a_filter_that_is_not_broadcast_leaves_little_on_disk(spark, monkeypatch
         assert sum(n for label, n in kept.items() if label not in ("vocabulary", "pairs", "words", "rests")) < 0.2 * sum(map(len, texts))
 
 
+def test_workers_share_the_filter_and_give_it_up(spark):
+    """A worker maps the broadcast's file instead of holding a copy, and the next training's steps don't hold the last model."""
+    draw = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in draw.integers(0, 9000, 300))) for i in range(400)], "doc_id long, text string")
+    trained = B.train(rows)
+    shared, own = B.Shared(trained), B.broadcastable(trained)
+    keys = np.concatenate([draw.integers(1, 1 << 63, 500).astype(np.uint64), np.array([B.word_hash(b"w%d" % i) for i in range(9000)], np.uint64)])
+
+    def look(_):
+        model = B.resident(("bloom", shared.name), shared.model)
+        held = all(isinstance(x, np.memmap) for x in model.table.chunks)
+        levels = model.table.levels(B.WORD, keys).tolist()
+        B.release()
+        yield held, levels, len(base._RESIDENT)
+
+    held, levels, left = spark.sparkContext.parallelize([0], 1).mapPartitions(look).first()
+    assert held and levels == own.table.levels(B.WORD, keys).tolist() and left == 0
+
+
 def test_a_text_seen_twice_stands_out(spark):
     draw = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in draw.integers(0, 400, 80)) for _ in range(200)]

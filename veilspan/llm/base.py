@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -155,6 +157,15 @@ _RESIDENT: dict[object, object] = {}
 def resident(key: object, load: Callable[[], object]) -> object:
     """A worker's model: loaded once for a key, and given up for the next one, so a worker that serves many stages holds one at a time."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        release()
         _RESIDENT[key] = load()
     return _RESIDENT[key]
+
+
+def release() -> None:
+    """Gives up a worker's resident model, for a step that has none: workers serve one stage after the other, and keep what they hold."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
+import pickle
 import uuid
 import zlib
 from collections import Counter
@@ -32,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import map_batches, pick, resident, shuffles_freed, staged
+from veilspan.llm.base import map_batches, pick, release, resident, shuffles_freed, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents whose hash has remainder HELD_OUT aren't learned from
 GROWTH = 1.25  # of the counts that bound the levels
@@ -198,6 +201,7 @@ def word_counts(chosen: DataFrame) -> DataFrame:
     """(word, n_all, n_train) over all documents; the end is the empty word. Summed within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         every: Counter[bytes] = Counter()
         train: Counter[bytes] = Counter()
 
@@ -229,6 +233,7 @@ def pair_blobs(chosen: DataFrame, count: int) -> DataFrame:
     """(segment, keys, counts): sorted pair counts of the training documents, in parts of a task, packed by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes, end = Words(), np.array([word_hash(END)], np.uint64)
         held: list[np.ndarray] = []
         size = 0
@@ -309,7 +314,7 @@ def pair_segments(blobs: DataFrame) -> DataFrame:
             first, where = np.unique(keys >> np.uint64(32), return_inverse=True)
             mass = np.bincount(where, np.maximum(value(levels) - DISCOUNT, 0.0), len(first))
             yield pa.RecordBatch.from_pydict(
-                {"segment": pa.array([name], pa.int64()), "bits": pa.array([segment_words(PAIR, keys, levels)], pa.binary()), "first": pa.array([first.tolist()], pa.list_(pa.int64())), "mass": pa.array([mass.tolist()], pa.list_(pa.float64()))}
+                {"segment": pa.array([name], pa.int64()), "bits": pa.array([segment_words(PAIR, keys, levels)], pa.binary()), "first": pa.array([first.astype(np.int64)], pa.list_(pa.int64())), "mass": pa.array([mass], pa.list_(pa.float64()))}
             )
 
     dealt = blobs.repartition("segment").sortWithinPartitions("segment")
@@ -388,7 +393,7 @@ def _laid(starts: dict[int, np.ndarray], total: int, chunks: Iterable[list[tuple
 class Model:
     """What the workers get: the filter, the totals and the most frequent words' exact counts (at most ``HEAVY``)."""
 
-    def __init__(self, table: Filter, n: int, v: int, heavy: dict[bytes, int]) -> None:
+    def __init__(self, table: Filter | SharedFilter | Answers, n: int, v: int, heavy: dict[bytes, int]) -> None:
         self.table, self.n, self.v, self.heavy = table, n, v, heavy
 
     @property
@@ -526,26 +531,60 @@ def broadcastable(trained: Trained) -> Model:
     return Model(Filter(_laid(starts, total, _chunks(trained.parts)), starts, trained.texts), trained.n, trained.v, trained.heavy)
 
 
+#: What stands before the bytes in a broadcast's file, and what fills it up to a whole word.
+PICKLED = len(pickle.dumps(bytes(1 << 17), pickle.HIGHEST_PROTOCOL)) - (1 << 17) - 2
+FILL = -PICKLED % 8
+
+
+def mapped(chunk: Broadcast) -> np.ndarray:
+    """The words of a broadcast chunk, in a worker. All workers of an executor map one file, so they don't hold copies; where there is no such file they load it."""
+    path, first = getattr(chunk, "_path", None), PICKLED + FILL
+    if path and (size := os.path.getsize(path)) >= 1 << 17 and (size - 2 - first) % 8 == 0:
+        with open(path, "rb") as file:
+            head = file.read(first)
+        if head.endswith((size - 2 - PICKLED).to_bytes(4, "little") + bytes(FILL)):
+            return np.memmap(path, "<u8", "r", first, ((size - 2 - first) // 8,))
+    raw = chunk.value
+    chunk.__dict__.pop("_value", None)
+    return np.frombuffer(raw, "<u8", offset=FILL)
+
+
+class SharedFilter:
+    """A filter in chunks, each of whole segments."""
+
+    def __init__(self, chunks: list[np.ndarray], places: dict[int, np.ndarray], texts: float) -> None:
+        self.chunks, self.places, self.texts = chunks, places, texts
+
+    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        places = self.places[kind]
+        chunk, base, size = places[segments(keys, len(places)).astype(np.int64)].T
+        out = np.zeros(len(keys), np.int64)
+        for i in np.unique(chunk):
+            at = np.flatnonzero(chunk == i)
+            out[at] = probed(self.chunks[i], kind, keys[at], base[at], size[at].astype(np.uint64))
+        return out
+
+
 class Shared:
-    """A model as the workers get it: the filter in broadcasts of ``CHUNK_BYTES``, each loaded and laid out in turn."""
+    """A model as the workers get it: the filter in broadcasts of ``CHUNK_BYTES``, which they map into memory."""
 
     def __init__(self, trained: Trained) -> None:
         context = trained.vocabulary.sparkSession.sparkContext
         self.name = uuid.uuid4().hex
-        self.starts, self.total = _starts(trained.parts)
-        self.chunks = [context.broadcast(chunk) for chunk in _chunks(trained.parts)]
+        self.places = {kind: np.zeros((count, 3), np.int64) for kind, (count, _) in trained.parts.items()}  # of a segment: chunk, first word, words
+        self.chunks = []
+        for chunk in _chunks(trained.parts):
+            at = 0
+            for kind, segment, bits in chunk:
+                self.places[kind][segment] = len(self.chunks), at, len(bits) // 8
+                at += len(bits) // 8
+            self.chunks.append(context.broadcast(bytes(FILL) + b"".join(bits for _, _, bits in chunk)))
         self.rest = context.broadcast((trained.n, trained.v, trained.heavy, trained.texts))
 
     def model(self) -> Model:
         """The whole model, in a worker."""
-
-        def loaded() -> Iterator[list[tuple[int, int, bytes]]]:
-            for chunk in self.chunks:
-                yield chunk.value
-                chunk.__dict__.pop("_value", None)  # laid out by now
-
         n, v, heavy, texts = self.rest.value
-        return Model(Filter(_laid(self.starts, self.total, loaded()), self.starts, texts), n, v, heavy)
+        return Model(SharedFilter([mapped(chunk) for chunk in self.chunks], self.places, texts), n, v, heavy)
 
 
 class Answers:
