@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -72,6 +73,23 @@ def test_each_round_takes_the_surest_of_all(spark, monkeypatch):
                 seen[view] |= set(own)
 
 
+def test_the_views_are_not_shuffled(spark, labelled, monkeypatch):
+    """Where the labels are too many to be broadcast, ids and probabilities meet them; the views of the texts stay where they are."""
+    docs, labels = labelled
+    monkeypatch.setattr(C, "EACH_ROUND", 5)
+    more = docs.crossJoin(spark.range(6).select(F.col("id").alias("k"))).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("k")).drop("k")
+    written = lambda: time.sleep(1) or spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = written()
+        C.train(more, labels)
+        moved = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < moved < 300 * more.count()
+
+
 def test_awkward_rows(spark, labelled, awkward, extra, empty):
     docs, labels = labelled
     assert C.classify(extra, labels).count() == 10

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import discard, groups_by_size, map_batches, pick, positional, staged
+from veilspan.llm.base import discard, groups_by_size, map_batches, pick, positional, resident, staged
 from veilspan.llm.toxicity import logistic
 
 #: Bound of the labelled documents of each label that are learned from.
@@ -44,8 +44,6 @@ class _Places(dict):
         return place
 
 
-_PLACES = _Places()
-
 
 def text_view(text: str | None) -> np.ndarray:
     """Figures of the whole text: shares of kinds of characters, of repeated lines and words, lengths; the roots of hashed words' shares."""
@@ -58,7 +56,7 @@ def text_view(text: str | None) -> np.ndarray:
     distinct = set(words)
     n_words, n_lines = max(len(words), 1), max(len(lines), 1)
     groups = [counts[97:123].sum(), counts[65:91].sum(), counts[48:58].sum(), counts[[9, 10, 11, 12, 13, 32]].sum(), counts[128:].sum()]
-    hashed = np.bincount(np.fromiter(map(_PLACES.__getitem__, words), np.int64, len(words)), minlength=HASHED)
+    hashed = np.bincount(np.fromiter(map(resident("places", _Places).__getitem__, words), np.int64, len(words)), minlength=HASHED)
     signed = sum(1 for word in distinct if word[-1:] in b"#*$%&|<>!@~^")
     return np.array(
         [
@@ -188,25 +186,37 @@ def _rows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return table[:, :N_TEXT], table[:, N_TEXT:]
 
 
-def _surest(frame: DataFrame, views: tuple[View, View], taken: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """The ``EACH_ROUND`` documents of each label that each view is most sure of, among all unlabelled ones that it hasn't told yet; ``taken`` notes them."""
+def _surest(frame: DataFrame, views: tuple[View, View], taken: list[str], labelled: DataFrame | None = None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The ``EACH_ROUND`` documents of each label that each view is most sure of, among all unlabelled ones that it hasn't told yet; ``taken`` notes them. Only ids and
+    probabilities meet the labels; the views stay where they are until the few rows are chosen."""
+    spark, paths = frame.sparkSession, []
+    named = frame.select(*([] if labelled is None else ["doc_id"]), "place", "x")
+    names = [*named.columns[:-1], "p0", "p1"]
 
     def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        p = [sigmoid(view.raw(x)) for view, x in zip(views, _rows(batch.column(1).to_pylist()), strict=True)] if batch.num_rows else [np.zeros(0)] * 2
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1])], names=["place", "x", "p0", "p1"])
-
-    judged = map_batches(frame.select("place", "x"), judge, "place string, x binary, p0 double, p1 double")
+        *own, x = batch.columns
+        p = [sigmoid(view.raw(x)) for view, x in zip(views, _rows(x.to_pylist()), strict=True)] if batch.num_rows else [np.zeros(0)] * 2
+        sure = np.logical_or.reduce([(x >= SURE) | (1 - x >= SURE) for x in p])
+        yield pa.RecordBatch.from_arrays([*own, pa.array(p[0]), pa.array(p[1])], names=names).filter(pa.array(sure))
+
+    judged = map_batches(named, judge, ", ".join(f"{name} {kind}" for name, kind in [*named.dtypes[:-1], ("p0", "double"), ("p1", "double")]))
+    if labelled is not None:
+        judged = judged.join(labelled, "doc_id", "left_anti")
+    judged = staged(judged.select("place", "p0", "p1"), "judged", paths)
     best = None
     for view in (0, 1):
         for label in (1, 0):
             sure = F.col(f"p{view}") if label else 1 - F.col(f"p{view}")
             told = F.lit(f"{1 - view} ")
             own = judged.where(sure >= SURE).where(~F.concat(told, F.col("place")).isin(taken) if taken else F.lit(True))
-            own = own.select(F.lit(view).alias("view"), F.lit(label).alias("label"), sure.alias("sure"), "place", "x").orderBy(F.desc("sure"), "place").limit(EACH_ROUND)
+            own = own.select(F.lit(view).alias("view"), F.lit(label).alias("label"), sure.alias("sure"), "place").orderBy(F.desc("sure"), "place").limit(EACH_ROUND)
             best = own if best is None else best.unionByName(own)
     rows = sorted(best.collect())  # at most 4 * EACH_ROUND
+    discard(spark, paths)
     taken += [f"{1 - row.view} {row.place}" for row in rows]
-    return {(view, label): _rows([bytes(row.x) for row in rows if (row.view, row.label) == (view, label)]) for view in (0, 1) for label in (0, 1)}
+    places = spark.createDataFrame([(place,) for place in sorted({row.place for row in rows})], "place string")
+    at = {row.place: bytes(row.x) for row in frame.select("place", "x").join(F.broadcast(places), "place").groupBy("place").agg(F.first("x").alias("x")).collect()} if rows else {}  # a place has one view
+    return {(view, label): _rows([at[row.place] for row in rows if (row.view, row.label) == (view, label)]) for view in (0, 1) for label in (0, 1)}
 
 
 def train(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> Model:
@@ -231,9 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
     frame = staged(map_batches(told, run, f"doc_id {kind}, x binary").withColumn("place", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), "x"))), "views", paths)
     known = frame.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("x", "place").alias("x"))  # at most 2 * MAX_LABELLED rows
     rows = sorted(known.select(order.alias("place"), "quality", "x").collect())
-    others = frame.join(named.select("doc_id"), "doc_id", "left_anti")
+    labelled = named.select("doc_id")
     taken: list[str] = []
-    model = co_train(*_rows([bytes(row.x) for row in rows]), np.array([row.quality for row in rows], int), lambda views: _surest(others, views, taken))
+    model = co_train(*_rows([bytes(row.x) for row in rows]), np.array([row.quality for row in rows], int), lambda views: _surest(frame, views, taken, labelled))
     discard(spark, paths)
     return model
 
