@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
+from veilspan.llm import base
 from veilspan.llm import near_copies as N
 
 
@@ -96,3 +98,10 @@ def test_common_shingles_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = N.near_copies(docs).select("doc_id", "component_id").collect()
     assert sorted(r.doc_id for r in found if r.doc_id == r.component_id) == plain_kept(rows)
+
+
+def test_steps_give_up_the_model_of_the_stage_before():
+    """A worker serves one stage after the other; what the rules' tokenisers hold isn't kept beside the sets."""
+    base._RESIDENT["model"] = object()
+    found = list(N._sets(pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"], "row": ["x"]})))
+    assert found[0].num_rows == 1 and not base._RESIDENT

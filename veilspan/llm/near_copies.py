@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import discard, heavy_keys, join_one, map_batches, pick, staged
+from veilspan.llm.base import discard, heavy_keys, join_one, map_batches, pick, release, staged
 from veilspan.llm.simhash import SEED, components, pivot_tables
 
 SHINGLE = 5
@@ -136,6 +136,7 @@ def keys_of(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): among how many texts' first shingles each one stands, summed within parts of a task."""
+    release()
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
@@ -153,6 +154,7 @@ def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    release()
     found = [shingles(x.as_py()) for x in batch.column(1)]
     names = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found), np.uint64, len(found)).view(np.int64)
     first = pa.array([x[:FIRST].tobytes() for x in found], pa.binary())
@@ -222,6 +224,7 @@ class _Pairs:
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, s, n) of the rows that have a possible partner under their key, by sizes, pivot distances and SimHash."""
+    release()
     tables, kept, many = pivot_tables(), [], 0
 
     def out() -> pa.RecordBatch:
@@ -252,6 +255,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of a star for each bundle of sets of a key whose sketches are close: the set with most close ones is the first star's middle."""
+    release()
     pairs = _Pairs()
     for _, s, n, odd in _groups(batches):
         left, sketches = np.arange(len(s)), Sketches(n, odd)
@@ -293,6 +297,7 @@ def _packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The close pairs of a key that are in different components: what stands outside the largest component, with all. A pair comes under its first key alone."""
+    release()
     pairs = _Pairs()
     for key, *columns, keys in _groups(batches):
         roots, where, counts = np.unique(columns[3], return_inverse=True, return_counts=True)
@@ -306,6 +311,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The close pairs of a cell (key, i, j) of a common key: rows marked as outside with the others."""
+    release()
     pairs = _Pairs()
     for _, _, _, outside, *columns in _groups(batches, 3):
         _across(pairs, [x[outside == 1] for x in columns], [x[outside == 0] for x in columns])
@@ -323,6 +329,7 @@ def _close_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of similar pairs, for rows (a, salt, b, text) where a row without ``b`` holds a's own text and stands before the others."""
+    release()
     center, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         found = ([], [])
