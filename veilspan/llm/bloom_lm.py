@@ -13,6 +13,8 @@ from the sorted counts of all partitions, so nothing is gathered whole but the f
 Up to ``MOST_BITS`` it is broadcast. A larger one stays in its segments, and the distinct words and pairs of chunks of texts go to them, packed,
 to be probed there: the same bits answer, so the scores are the same.
 
+Texts are split, and their distinct words told apart, a group of texts at a time by Arrow; a group's distinct pairs are probed once.
+
 Exact counts (for the base score) come by a join: the ``HEAVY`` most frequent words are looked up in a broadcast table, each
 document's other words are joined with the table of all words, where no key is hot any more.
 """
@@ -20,12 +22,12 @@ document's other words are joined with the table of all words, where no key is h
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import os
 import pickle
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -38,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.base import map_batches, pick, release, resident, shuffles_freed, staged
+from veilspan.llm.base import groups_by_size, map_batches, pick, release, resident, shuffles_freed, staged
 
 FOLDS, HELD_OUT = 5, 1  # documents whose hash has remainder HELD_OUT aren't learned from
 GROWTH = 1.25  # of the counts that bound the levels
@@ -53,7 +55,8 @@ SEGMENT_WORDS = 1 << 18
 FLUSH_PAIRS = 1_500_000
 REMEMBERED_WORDS = 300_000
 SALTS = 64
-PROBED_TOKENS = 250_000  # at once
+GROUP_BYTES = 1 << 21  # of texts that are split and scored at once
+PROBED_KEYS = 1 << 16  # at once, so that what is computed on the way stays in a core's cache
 ASKED_TOKENS = 1 << 20  # of a chunk of texts whose keys go to the segments together
 BLOCKS = 8  # of chunks, one after the other
 
@@ -131,6 +134,9 @@ class Filter:
 
 def probed(words: np.ndarray, kind: int, keys: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The level of each key in its segment, which begins at ``base`` and has ``size`` words."""
+    if len(keys) > PROBED_KEYS:
+        cuts = [slice(i, i + PROBED_KEYS) for i in range(0, len(keys), PROBED_KEYS)]
+        return np.concatenate([probed(words, kind, keys[x], base[x], size[x]) for x in cuts])
     out = np.zeros(len(keys), np.int64)
     at = np.flatnonzero(size > 0)
     keys, base, size, j = keys[at], base[at], size[at], 1
@@ -147,12 +153,16 @@ def level_hash(kind: int, keys: np.ndarray, j: int | np.ndarray) -> np.ndarray:
     return mixed(keys ^ (np.asarray(j, np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(kind)))
 
 
+#: The two bits that twelve bits of a hash name.
+_TWO_BITS = (np.uint64(1) << (np.arange(1 << 12, dtype=np.uint64) & np.uint64(63))) | (np.uint64(1) << (np.arange(1 << 12, dtype=np.uint64) >> np.uint64(6)))
+
+
 def probe(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word of a segment of ``size`` words, and its bits."""
     place = ((hashes >> np.uint64(36)) * size) >> np.uint64(28)
     mask = np.zeros(len(hashes), np.uint64)
-    for i in range(PROBES):
-        mask |= np.uint64(1) << ((hashes >> np.uint64(6 * i)) & np.uint64(63))
+    for i in range(0, PROBES, 2):
+        mask |= _TWO_BITS[((hashes >> np.uint64(6 * i)) & np.uint64(4095)).view(np.int64)]
     return place.astype(np.int64), mask
 
 
@@ -169,28 +179,55 @@ def segment_words(kind: int, keys: np.ndarray, levels: np.ndarray) -> bytes:
     return words.astype("<u8").tobytes()
 
 
-class Words:
-    """Hashes of words, remembered within a bound."""
+class Tokens(NamedTuple):
+    """Tokens of texts, end to end: the distinct words, the place there of each token's word, and where each text starts. A text's last token is its end."""
+
+    words: pa.BinaryArray
+    at: np.ndarray
+    starts: np.ndarray
+
+
+def tokenised(texts: pa.Array) -> Tokens:
+    """Lower-case words between white space and the end of each text (null: empty), split and told apart by Arrow: Python sees the distinct words alone."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # What follows the last space is the end; an empty text is split into one empty word, its end.
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(plain, ""), plain, pc.binary_join_element_wise(plain, *(pa.scalar(x, plain.type) for x in (" ", "")))))
+    words = found.flatten().dictionary_encode()
+    offsets = found.offsets.to_numpy()
+    return Tokens(words.dictionary.cast(pa.binary()), words.indices.to_numpy(), (offsets - offsets[0])[:-1].astype(np.int64))
+
+
+def objects(words: pa.BinaryArray) -> np.ndarray:
+    return words.to_numpy(zero_copy_only=False)
 
-    def __init__(self, most: int = REMEMBERED_WORDS) -> None:
-        self.most, self.at = most, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Hash of each word, then that of the end."""
-        at = self.at
-        try:
-            return np.fromiter(map(at.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(at) > self.most:
-                at.clear()
-            for word in words:
-                if word not in at:
-                    at[word] = word_hash(word)
-            return np.fromiter(map(at.__getitem__, words), np.uint64, len(words))
+def shortened(words: pa.BinaryArray) -> pa.BinaryArray:
+    """``short`` of each word."""
+    return pa.array(map(short, objects(words)), pa.binary()) if (pc.max(pc.binary_length(words)).as_py() or 0) > LONG_WORD else words
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def hashed(words: pa.BinaryArray) -> np.ndarray:
+    """``word_hash`` of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, objects(shortened(words)), itertools.repeat(7)), np.uint64, len(words))
+
+
+def hashed_pairs(found: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the distinct words, and the key of each token with the one before it."""
+    words = hashed(found.words)
+    own = words[found.at]
+    first = np.concatenate((own[:1], own[:-1]))
+    first[found.starts] = _START
+    return words, pair_keys(first, own)
+
+
+def grouped_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, whose second column is the text, with about ``GROUP_BYTES`` of text each."""
+    for first, end in groups_by_size(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), GROUP_BYTES):
+        yield batch.slice(first, end - first)
+
+
+def learned_from(ids: pa.Array) -> np.ndarray:
+    return np.array([not is_held_out(x) for x in ids.to_pylist()], bool)
 
 
 def is_held_out(doc_id: object) -> bool:
@@ -202,28 +239,26 @@ def word_counts(chosen: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        every: Counter[bytes] = Counter()
-        train: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(every)
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(map(short, words), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([train[w] for w in words], pa.int64())], names=["word", "n_all", "n_train"]
-            )
-            every.clear()
-            train.clear()
-            return rows
+        held: list[pa.Table] = []
+        size = 0
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = split_words(text.as_py())
-                words.append(END)
-                every.update(words)
-                if not is_held_out(doc_id):
-                    train.update(words)
-                if len(every) > REMEMBERED_WORDS:
-                    yield out()
-        yield out()
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n_all", "sum"), ("n_train", "sum")]).select([0, 1, 2]).rename_columns(["word", "n_all", "n_train"])
+
+        for part in itertools.chain.from_iterable(map(grouped_texts, batches)):
+            found = tokenised(part.column(1))
+            train = np.repeat(learned_from(part.column(0)), np.diff(found.starts, append=len(found.at)))
+            counts = [np.bincount(x, minlength=len(found.words)) for x in (found.at, found.at[train])]
+            held.append(pa.Table.from_arrays([shortened(found.words), *map(pa.array, counts)], names=["word", "n_all", "n_train"]))
+            size += len(found.words)
+            if size > 2 * REMEMBERED_WORDS:
+                held = [merged()]
+                size = len(held[0])
+                if size > REMEMBERED_WORDS:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from merged().to_batches()
 
     rows = chosen.mapInArrow(run, "word binary, n_all long, n_train long")
     return rows.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
@@ -234,7 +269,6 @@ def pair_blobs(chosen: DataFrame, count: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashes, end = Words(), np.array([word_hash(END)], np.uint64)
         held: list[np.ndarray] = []
         size = 0
 
@@ -255,15 +289,14 @@ def pair_blobs(chosen: DataFrame, count: int) -> DataFrame:
                     names=["segment", "keys", "counts"],
                 )
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if is_held_out(doc_id):
-                    continue
-                own = np.concatenate((hashes(split_words(text.as_py())), end))
-                held.append(pair_keys(np.concatenate((_START[None], own[:-1])), own))
-                size += len(own)
-                if size > FLUSH_PAIRS:
-                    yield from out()
+        for part in itertools.chain.from_iterable(map(grouped_texts, batches)):
+            texts = part.column(1).filter(pa.array(learned_from(part.column(0))))
+            if not len(texts):
+                continue
+            held.append(hashed_pairs(tokenised(texts))[1])
+            size += len(held[-1])
+            if size > FLUSH_PAIRS:
+                yield from out()
         if held:
             yield from out()
 
@@ -326,7 +359,7 @@ def entry_segments(entries: DataFrame, kind: int, count: int) -> DataFrame:
 
     def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if pa.types.is_binary(batch.schema.field(0).type):
-            keys = np.fromiter((word_hash(x) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            keys = hashed(batch.column(0))
         else:
             keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(segments(keys, count).astype(np.int64)), pa.array(keys.view(np.int64)), batch.column(1)], names=["segment", "key", "n"])
@@ -367,26 +400,19 @@ def _starts(parts: dict[int, tuple[int, DataFrame]]) -> tuple[dict[int, np.ndarr
     return starts, at
 
 
-def _chunks(parts: dict[int, tuple[int, DataFrame]]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(kind, segment, bits) of all segments, in lists of about ``CHUNK_BYTES``: the driver never holds the whole filter."""
-    held, size = [], 0
+def _segments(parts: dict[int, tuple[int, DataFrame]]) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, segment, bits) of all segments, one after the other: the driver never holds the whole filter."""
     for kind, (_, rows) in parts.items():
         for row in rows.select("segment", "bits").toLocalIterator():
-            held.append((kind, row.segment, bytes(row.bits)))
-            size += len(row.bits)
-            if size > CHUNK_BYTES:
-                yield held
-                held, size = [], 0
-    yield held
+            yield kind, row.segment, row.bits
 
 
-def _laid(starts: dict[int, np.ndarray], total: int, chunks: Iterable[list[tuple[int, int, bytes]]]) -> np.ndarray:
+def _laid(starts: dict[int, np.ndarray], total: int, found: Iterable[tuple[int, int, bytes]]) -> np.ndarray:
     laid = np.zeros(max(total, 1), np.uint64)
-    for chunk in chunks:
-        for kind, segment, bits in chunk:
-            own = np.frombuffer(bits, "<u8")
-            first = int(starts[kind][segment])
-            laid[first : first + len(own)] = own
+    for kind, segment, bits in found:
+        own = np.frombuffer(bits, "<u8")
+        first = int(starts[kind][segment])
+        laid[first : first + len(own)] = own
     return laid
 
 
@@ -403,7 +429,7 @@ class Model:
 
 class Scorer(dict):
     """Scores texts in a worker. Words have numbers, and by number what the model says of each: hash, count, discounted mass, exact count (or -1). A new word gets
-    the next number at once; ``fresh`` holds those that are yet to be looked up."""
+    the next number at once; what the model says of it is looked up before it is used."""
 
     def __init__(self, model: Model, most: int = REMEMBERED_WORDS) -> None:
         super().__init__()
@@ -413,18 +439,21 @@ class Scorer(dict):
         self.hashes = np.zeros(1 << 14, np.uint64)
         self.figures = np.zeros((1 << 14, 3))
         self.start_mass = float(value(model.table.levels(REST, rest_keys(_START[None])))[0])
-        self.end = self[END]
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        return number
+    def numbered(self, words: pa.BinaryArray) -> np.ndarray:
+        """Words by their numbers."""
+        every, first = objects(words), len(self.names)
+        numbers = np.fromiter(map(self.get, every, itertools.repeat(-1)), np.int64, len(every))
+        fresh = np.flatnonzero(numbers < 0)
+        numbers[fresh] = np.arange(first, first + len(fresh))
+        self.names += every[fresh].tolist()
+        self.update(zip(self.names[first:], range(first, len(self.names)), strict=True))
+        return numbers
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The words of a text and its end, by their numbers."""
-        words = split_words(text)
-        words.append(END)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = tokenised(pa.array([text], pa.string()))
+        return self.numbered(found.words)[found.at]
 
     def shorten(self) -> None:
         """Forgets half of the words where there are too many: those that came last, as words that come often come early."""
@@ -445,37 +474,40 @@ class Scorer(dict):
                 new[: len(old)] = old
                 setattr(self, name, new)
         fresh, table, heavy = self.names[first:n], self.model.table, self.model.heavy
-        hashes = np.fromiter(map(word_hash, fresh), np.uint64, n - first)
+        fresh = list(map(short, fresh))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, fresh, itertools.repeat(7)), np.uint64, n - first)
         self.hashes[first:n] = hashes
         self.figures[first:n, 0] = value(table.levels(WORD, hashes))
         self.figures[first:n, 1] = value(table.levels(REST, rest_keys(hashes)))
-        self.figures[first:n, 2] = [heavy.get(short(word), -1) for word in fresh]
+        self.figures[first:n, 2] = np.fromiter(map(heavy.get, fresh, itertools.repeat(-1)), np.float64, n - first)
         self.looked_up = n
 
     def logs(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text, given by its numbers; all are probed together."""
+        sizes = np.array([len(x) for x in texts])
+        return self.log_sums(np.concatenate(texts), np.cumsum(sizes) - sizes)
+
+    def log_sums(self, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each of the texts that lie end to end in ``own``, by numbers."""
         self.look_up()
         table = self.model.table
-        sizes = np.array([len(x) for x in texts])
-        own = np.concatenate(texts)
-        starts = np.cumsum(sizes) - sizes
         before = np.concatenate((own[:1], own[:-1]))
         hashes, first = self.hashes[own], self.hashes[before]
         count, mass = self.figures[before, 0], self.figures[before, 1]
         first[starts], count[starts], mass[starts] = _START, table.texts, self.start_mass
-        pairs = value(table.levels(PAIR, pair_keys(first, hashes)))
+        keys, where = np.unique(pair_keys(first, hashes), return_inverse=True)
+        pairs = value(table.levels(PAIR, keys))[where]
         word = (self.figures[own, 0] + 0.5) / self.model.total
         below = np.maximum(count, mass) + MU
         p = np.maximum(pairs - DISCOUNT, 0.0) / below + (1.0 - mass / below) * word
         return np.add.reduceat(np.log10(p), starts)
 
-    def exact(self, text: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
-        """Known tokens and base score of the words whose exact counts are at hand; the numbers and frequencies of the others."""
-        numbers, times = np.unique(text, return_counts=True)
-        counts = self.figures[numbers, 2]
+    def exact(self, own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens and base score of each text's words whose exact counts are at hand; which tokens are the others."""
+        counts = self.figures[own, 2]
         here = counts >= 0
-        base = float(times[here] @ np.log10((counts[here] + 0.5) / self.model.total))
-        return int(times[counts > 0].sum()), base, numbers[~here], times[~here]
+        base = np.add.reduceat(np.where(here, np.log10((np.where(here, counts, 0.0) + 0.5) / self.model.total), 0.0), starts)
+        return np.add.reduceat((counts > 0).astype(np.int64), starts), base, ~here
 
 
 class Trained(NamedTuple):
@@ -511,8 +543,8 @@ def _trained(chosen: DataFrame) -> Trained:
         if taken > HEAVY:
             break
         least = bucket
-    found = vocabulary.where(step >= least).select("word", "n_train").collect() if least is not None else []  # at most HEAVY
-    heavy = {bytes(row.word): row.n_train for row in found}
+    found = vocabulary.where(step >= least).select("word", "n_train").toArrow() if least is not None else None  # at most HEAVY
+    heavy = dict(zip(*(x.to_numpy().tolist() for x in found.columns), strict=True)) if found else {}
     ends = vocabulary.where(F.length("word") == 0).first()
     n_texts = ends.n_train if ends else 0
 
@@ -528,7 +560,7 @@ def _trained(chosen: DataFrame) -> Trained:
 def broadcastable(trained: Trained) -> Model:
     """The model on the driver, whole."""
     starts, total = _starts(trained.parts)
-    return Model(Filter(_laid(starts, total, _chunks(trained.parts)), starts, trained.texts), trained.n, trained.v, trained.heavy)
+    return Model(Filter(_laid(starts, total, _segments(trained.parts)), starts, trained.texts), trained.n, trained.v, trained.heavy)
 
 
 #: What stands before the bytes in a broadcast's file, and what fills it up to a whole word.
@@ -573,12 +605,16 @@ class Shared:
         self.name = uuid.uuid4().hex
         self.places = {kind: np.zeros((count, 3), np.int64) for kind, (count, _) in trained.parts.items()}  # of a segment: chunk, first word, words
         self.chunks = []
-        for chunk in _chunks(trained.parts):
-            at = 0
-            for kind, segment, bits in chunk:
-                self.places[kind][segment] = len(self.chunks), at, len(bits) // 8
-                at += len(bits) // 8
-            self.chunks.append(context.broadcast(bytes(FILL) + b"".join(bits for _, _, bits in chunk)))
+        held = io.BytesIO(bytes(FILL))  # a chunk grows in place, and its bytes aren't copied to be sent
+        held.seek(FILL)
+        for kind, segment, bits in _segments(trained.parts):
+            if held.tell() - FILL > CHUNK_BYTES:
+                self.chunks.append(context.broadcast(held.getvalue()))
+                held = io.BytesIO(bytes(FILL))
+                held.seek(FILL)
+            self.places[kind][segment] = len(self.chunks), (held.tell() - FILL) // 8, len(bits) // 8
+            held.write(bits)
+        self.chunks.append(context.broadcast(held.getvalue()))
         self.rest = context.broadcast((trained.n, trained.v, trained.heavy, trained.texts))
 
     def model(self) -> Model:
@@ -586,6 +622,11 @@ class Shared:
         n, v, heavy, texts = self.rest.value
         return Model(SharedFilter([mapped(chunk) for chunk in self.chunks], self.places, texts), n, v, heavy)
 
+    def destroy(self) -> None:
+        """Takes the broadcasts from the driver's memory too, when nothing is left to be scored."""
+        for chunk in (*self.chunks, self.rest):
+            chunk.destroy()
+
 
 class Answers:
     """Levels of the keys that were asked for, as the filter's segments told them; it stands in for a ``Filter``."""
@@ -609,7 +650,7 @@ def asked_keys(texts: DataFrame, counts: dict[int, int]) -> DataFrame:
     """(kind, segment, chunk, keys): the distinct keys that scoring the chunks of ``texts`` (chunk, text; sorted by chunk) takes, packed by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, end, start = Words(), np.array([word_hash(END)], np.uint64), rest_keys(_START[None])
+        start = rest_keys(_START[None])
         at, size = None, 0
         held: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
 
@@ -636,16 +677,19 @@ def asked_keys(texts: DataFrame, counts: dict[int, int]) -> DataFrame:
             held.update({WORD: [], PAIR: []})
 
         for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held[WORD] and chunk != at:
+            chunks = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for first, end in zip(cuts, cuts[1:]):
+                if held[WORD] and first < end and chunks[first] != at:
                     yield from out()
-                at = chunk
-                own = np.concatenate((hashes(split_words(text.as_py())), end))
-                held[WORD].append(np.unique(own))
-                held[PAIR].append(pair_keys(np.concatenate((_START[None], own[:-1])), own))
-                size += len(own)
-                if size > FLUSH_PAIRS:
-                    shorten()
+                for part in grouped_texts(batch.slice(first, end - first)):
+                    at = int(chunks[first])
+                    words, pairs = hashed_pairs(tokenised(part.column(1)))
+                    held[WORD].append(words)
+                    held[PAIR].append(pairs)
+                    size += len(pairs)
+                    if size > FLUSH_PAIRS:
+                        shorten()
         if held[WORD]:
             yield from out()
 
@@ -741,32 +785,21 @@ def scored(batch: pa.RecordBatch, scorer: Scorer, numbers: Iterator[int]) -> Ite
     names = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
     kind = batch.schema.field(0).type
 
-    def out(ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        logs = scorer.logs(texts)
-        rows = list(itertools.islice(numbers, len(ids)))
-        known, base, rest, times = zip(*map(scorer.exact, texts), strict=True)
+    for part in grouped_texts(batch):
+        found, n = tokenised(part.column(1)), part.num_rows
+        own = scorer.numbered(found.words)[found.at]
+        logs = scorer.log_sums(own, found.starts)
+        known, base, others = scorer.exact(own, found.starts)
+        sizes = np.diff(found.starts, append=len(own))
+        rows = np.array(list(itertools.islice(numbers, n)), np.int64)
         kinds = [pa.int64(), pa.binary(), pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        n = len(ids)
         # No word holds a space, so such a row's key meets none.
-        columns = [rows, [b" %d" % row for row in rows], [0] * n, ids, [is_held_out(x) for x in ids], [len(x) for x in texts], known, base, logs]
+        columns = [rows, [b" %d" % row for row in rows.tolist()], np.zeros(n, np.int64), part.column(0), ~learned_from(part.column(0)), sizes, known, base, logs]
         yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
-        others = np.concatenate(rest)
-        if len(others):
-            words = list(map(short, map(scorer.names.__getitem__, others.tolist())))
-            columns = [np.repeat(rows, [len(x) for x in rest]), words, np.concatenate(times)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(column, kind) for column, kind in zip(columns, kinds, strict=False)), *(pa.nulls(len(words), kind) for kind in kinds[3:])], names=names)
-
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        ids.append(doc_id)
-        texts.append(scorer.numbers(text.as_py()))
-        size += len(texts[-1])
-        if size > PROBED_TOKENS:
-            yield from out(ids, texts)
-            ids, texts, size = [], [], 0
-            scorer.shorten()
-    if ids:
-        yield from out(ids, texts)
+        if others.any():
+            pairs, times = np.unique(np.repeat(np.arange(n) << 32, sizes)[others] | found.at[others], return_counts=True)
+            columns = [pa.array(rows[pairs >> 32]), shortened(found.words.take(pa.array(pairs & 0xFFFFFFFF))), pa.array(times)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(pairs), kind) for kind in kinds[3:])], names=names)
         scorer.shorten()
 
 
@@ -804,4 +837,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             yield from scored(batch, scorer, numbers)
 
-    return summed_scores(chosen.mapInArrow(run, scored_schema(dict(chosen.dtypes)["doc_id"])), trained)
+    with shuffles_freed(chosen.sparkSession):
+        found = staged(summed_scores(chosen.mapInArrow(run, scored_schema(dict(chosen.dtypes)["doc_id"])), trained), "scores")
+    shared.destroy()
+    return found
