@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilspan.operators import windows
+from veilspan.operators import training, windows
 
 
 def test_widening_has_a_small_plan(spark):
@@ -17,3 +17,12 @@ def test_widening_over_long_words(spark):
     rows = spark.createDataFrame([(f"x {word} y", 280, 285), (word * 2, 299, 301), (f"({word}.)", 270, 280)], "text string, start int, end int")
     found = rows.select(windows.widen_to_words("text", F.col("start"), F.col("end")).alias("c")).select("c.*").collect()
     assert [tuple(x) for x in found] == [(2, 302), (0, 600), (1, 301)]
+
+
+def test_tokens_of_examples_are_never_rows(spark):
+    pages = spark.createDataFrame([(1, 0, "a b\nc d e")], "doc_id long, page_index int, text string")
+    gold = spark.createDataFrame([(1, 0, "person", 2, 5), (1, 0, "person", 2, 5), (1, 0, "date", 6, 7)], "doc_id long, page_index int, type string, start int, end int")
+    examples, spans = training.page_examples(pages, gold, 4, 3)
+    assert examples._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+    assert [tuple(x) for x in examples.orderBy("example").select("first", "last", "tokens").collect()] == [(0, 4, ["a", "b", "c", "d"]), (4, 5, ["e"])]
+    assert sorted(tuple(x) for x in spans.select("example", "type", "first", "last").collect()) == [(0, "date", 3, 3), (0, "person", 1, 2)]
