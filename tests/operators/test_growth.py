@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import unicodedata
+
+import pytest
 from pyspark.sql import functions as F
 
-from veilspan.operators import training, windows
+from veilspan.functions import text
+from veilspan.operators import detect, training, windows
+from veilspan.plans import scoring
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_widening_has_a_small_plan(spark):
@@ -26,3 +35,9 @@ def test_tokens_of_examples_are_never_rows(spark):
     assert examples._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
     assert [tuple(x) for x in examples.orderBy("example").select("first", "last", "tokens").collect()] == [(0, 4, ["a", "b", "c", "d"]), (4, 5, ["e"])]
     assert sorted(tuple(x) for x in spans.select("example", "type", "first", "last").collect()) == [(0, "date", 3, 3), (0, "person", 1, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_shapes_read_no_further_than_the_second_word(spark):
+    plan = scoring.error_shapes(spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in plan and "split(text" not in plan

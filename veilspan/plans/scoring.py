@@ -256,12 +256,12 @@ SELECT doc_id, n >= 2 AND regexp_matches(value, '[-‐‑–''’ʼ]') OR regexp
   length(regexp_replace(value, '\P{L}', '', 'g')) >= 2 AND NOT regexp_matches(regexp_replace(value, '\P{L}', '', 'g'), '\P{Lu}') AS all_caps, CAST(n AS INTEGER) AS n FROM v"""
 )
 def error_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veilspan.functions.spans import matches
-
-    spans = F.slice(matches("text", r"(?U)[^\s]+", "person"), 1, 2)
-    rows = table(spark, sf_dir, "documents").withColumn("s", spans).where(F.size("s") > 0)
-    ends = F.element_at("s", 1)["start"], F.element_at("s", -1)["end"]
-    value = rows.select("doc_id", F.size("s").alias("n"), shape("text", *ends).alias("c"))
+    # A shape reads nothing behind its span, so the text goes up to the second word.
+    head = F.regexp_extract("text", r"(?U)\A\s*+\S++(?:\s++\S++)?", 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", head.alias("head")).where("head <> ''")
+    lead = F.length(F.regexp_extract("head", r"(?U)\A\s*+", 0))
+    several = F.col("head").rlike(r"(?U)\S\s")
+    value = rows.select("doc_id", F.when(several, 2).otherwise(1).alias("n"), shape("head", lead, F.length("head")).alias("c"))
     has = lambda name: F.array_contains("c", name)
     return value.select("doc_id", has("hyphen_apostrophe").alias("hyphen"), has("diacritics").alias("diacritics"), has("all_caps").alias("all_caps"), "n")
 
