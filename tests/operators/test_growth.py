@@ -41,3 +41,17 @@ def test_tokens_of_examples_are_never_rows(spark):
 def test_shapes_read_no_further_than_the_second_word(spark):
     plan = scoring.error_shapes(spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "regexp_extract_all" not in plan and "split(text" not in plan
+
+
+
+def test_normal_ranges():
+    joining = {chr(int(parts[1], 16)) for i in range(sys.maxunicode + 1) if len(parts := unicodedata.decomposition(chr(i)).split()) == 2 and not parts[0].startswith("<")} | set(map(chr, range(0x1160, 0x1200)))
+    for first, last in text.NORMAL:
+        for c in map(chr, range(first, last + 1)):
+            assert unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in joining
+
+
+def test_normal_texts_do_not_travel(spark, monkeypatch):
+    monkeypatch.setattr(text, "_nfc", lambda x: x.map(lambda y: f"<{y}>", na_action="ignore"))
+    rows = spark.createDataFrame([(1, "plain"), (2, "příliš – €"), (3, "ř"), (4, None), (5, "漢字 한글 Ж")], "id int, text string")
+    assert [x[0] for x in rows.orderBy("id").select(text.normalize_text("text")).collect()] == ["plain", "příliš – €", "<ř>", None, "漢字 한글 Ж"]
