@@ -43,6 +43,10 @@ def test_shapes_read_no_further_than_the_second_word(spark):
     assert "regexp_extract_all" not in plan and "split(text" not in plan
 
 
+def test_languages_count_words_once(spark):
+    rows = spark.createDataFrame([("x",)], "text string").select(detect.recognised_language(F.col("text")).alias("c"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
 
 def test_normal_ranges():
     joining = {chr(int(parts[1], 16)) for i in range(sys.maxunicode + 1) if len(parts := unicodedata.decomposition(chr(i)).split()) == 2 and not parts[0].startswith("<")} | set(map(chr, range(0x1160, 0x1200)))
