@@ -59,3 +59,10 @@ def test_normal_texts_do_not_travel(spark, monkeypatch):
     monkeypatch.setattr(text, "_nfc", lambda x: x.map(lambda y: f"<{y}>", na_action="ignore"))
     rows = spark.createDataFrame([(1, "plain"), (2, "příliš – €"), (3, "ř"), (4, None), (5, "漢字 한글 Ж")], "id int, text string")
     assert [x[0] for x in rows.orderBy("id").select(text.normalize_text("text")).collect()] == ["plain", "příliš – €", "<ř>", None, "漢字 한글 Ж"]
+
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_decoys_are_looked_for_where_an_address_can_be(spark):
+    plan = scoring.decoys_removed(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(text") >= plan.count("Relation [") > 0
