@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import text
-from veilspan.operators import detect, training, windows
+from veilspan.operators import detect, metrics, training, windows
 from veilspan.plans import scoring
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +61,14 @@ def test_normal_texts_do_not_travel(spark, monkeypatch):
     assert [x[0] for x in rows.orderBy("id").select(text.normalize_text("text")).collect()] == ["plain", "příliš – €", "<ř>", None, "漢字 한글 Ж"]
 
 
+def test_matches_deal_both_sides_once(spark):
+    spans = spark.createDataFrame([(1, 0, "person", 0, 5), (1, 0, "date", 4, 6), (2, 0, "date", 1, 2)], "doc_id long, page_index int, type string, start int, end int")
+    gold = spark.createDataFrame([(1, 0, "person", 4, 9), (1, 0, "date", 6, 8), (3, 0, "date", 1, 2)], spans.schema)
+    counts = metrics.match_counts(spans, gold, ["person", "date"])
+    assert counts._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    found = {tuple(x)[:1] + tuple(x)[2:] for x in counts.where("mode = 'partial'").collect()}
+    assert found == {(1, "person", 1, 1, 1, 1), (1, "date", 1, 0, 1, 0), (1, "any", 2, 2, 2, 1), (2, "date", 1, 0, 0, 0), (2, "any", 1, 0, 0, 0), (3, "date", 0, 0, 1, 0), (3, "any", 0, 0, 1, 0)}
+
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_decoys_are_looked_for_where_an_address_can_be(spark):

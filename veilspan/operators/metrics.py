@@ -6,7 +6,7 @@ and groups are plain sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions.text import visible_length
@@ -33,21 +33,27 @@ def _kinds(spans: DataFrame, types: list[str]) -> DataFrame:
 
 
 def match_counts(predicted: DataFrame, gold: DataFrame, types: list[str]) -> DataFrame:
-    """(doc_id, mode, type, ``COUNTS``): strict matches are equal spans; partial ones overlap, counted on each side by itself."""
-    p, g = (_kinds(scoreable(x, types), types) for x in (predicted, gold))
-    strict = p.join(g, [*SPAN, "type"], "left_semi").groupBy("doc_id", "type").agg(F.count("*").alias("both"))
-
-    def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-        met = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-        return a.alias("a").join(b.alias("b"), met, "left_semi").groupBy("doc_id", "type").agg(F.count("*").alias("matched"))
-
-    sides = []
-    for name, own, other in (("predicted", p, g), ("gold", g, p)):
-        total = own.groupBy("doc_id", "type").agg(F.count("*").alias("n"))
-        counted = total.join(strict, ["doc_id", "type"], "left").join(overlapping(own, other), ["doc_id", "type"], "left")
-        modes = F.explode(F.array(F.struct(F.lit("strict").alias("mode"), F.coalesce("both", F.lit(0)).alias("matched")), F.struct(F.lit("partial").alias("mode"), F.coalesce("matched", F.lit(0)).alias("matched"))))
-        sides.append(counted.select("doc_id", "type", "n", modes.alias("m")).select("doc_id", "type", F.col("m.mode").alias("mode"), F.col("n").alias(name), F.col("m.matched").alias(f"{name}_matched")))
-    return sides[0].join(sides[1], ["doc_id", "mode", "type"], "full").na.fill(0, COUNTS).select("doc_id", "mode", "type", *COUNTS)
+    """(doc_id, mode, type, ``COUNTS``): strict matches are equal spans; partial ones overlap, counted on each side by itself.
+
+    Both sides are dealt once, by document. A place's spans are walked in order: a span overlaps one of the other side if, of those that begin before its end, one ends behind its start.
+    """
+    sided = lambda spans, own: scoreable(spans, types).select(*SPAN, "type", F.lit(own).alias("_p"), F.lit(not own).alias("_g"))
+    rows = sided(predicted, True).unionByName(sided(gold, False)).repartition("doc_id")
+    if len(types) > 1:
+        rows = rows.withColumn("type", F.explode(F.array("type", F.lit(ANY))))
+    spans = rows.groupBy(*SPAN, "type").agg(F.bool_or("_p").alias("_p"), F.bool_or("_g").alias("_g"))
+    events = spans.withColumn("_asks", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_at", F.when(F.col("_asks"), F.col("end")).otherwise(F.col("start")))
+    order = Window.partitionBy(*PLACE, "type").orderBy("_at", F.desc("_asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = lambda side: F.max(F.when(~F.col("_asks") & F.col(side), F.col("end"))).over(order)
+    seen = events.withColumns({"_to_p": reach("_p"), "_to_g": reach("_g")}).where("_asks")
+    placed = F.col("page_index").isNotNull()  # without a page nothing matches
+    n = lambda c, name: F.count_if(c & placed).alias(name)
+    tallies = seen.groupBy("doc_id", "type").agg(
+        F.count_if("_p").alias("predicted"), F.count_if("_g").alias("gold"), n(F.col("_p") & F.col("_g"), "both"), n(F.col("_p") & (F.col("_to_g") > F.col("start")), "p"), n(F.col("_g") & (F.col("_to_p") > F.col("start")), "g")
+    )
+    mode = lambda name, p, g: F.struct(F.lit(name).alias("mode"), F.col(p).alias("predicted_matched"), F.col(g).alias("gold_matched"))
+    modes = tallies.select("doc_id", "type", "predicted", "gold", F.explode(F.array(mode("strict", "both", "both"), mode("partial", "p", "g"))).alias("m"))
+    return modes.select("doc_id", "m.mode", "type", "predicted", "m.predicted_matched", "gold", "m.gold_matched")
 
 
 def coverage(predicted: DataFrame, gold: DataFrame, types: list[str], pages: DataFrame) -> DataFrame:
